@@ -75,6 +75,18 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], ix: str, values: dict, chunk
     return joined.select(*kept, *extra)
 
 
+def prefix_max(df: DataFrame, keys: Sequence[str], ix: str, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Inclusive running maximum along `ix`, carried between chunks by one row per chunk."""
+    keys = list(keys)
+    src = df.withColumn("_chunk", F.expr(f"{ix} div {chunk}")).withColumn("_v", value)
+    tops = src.groupBy(*keys, "_chunk").agg(F.max("_v").alias("_t"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "_chunk", F.max("_t").over(earlier).alias("_o"))
+    local = Window.partitionBy(*keys, "_chunk").orderBy(ix).rowsBetween(Window.unboundedPreceding, 0)
+    out = src.withColumn("_l", F.max("_v").over(local)).join(carried, [*keys, "_chunk"])
+    return out.withColumn(name, F.greatest("_l", "_o")).drop("_chunk", "_v", "_l", "_o")
+
+
 def coalesce_runs(
     df: DataFrame,
     keys: Sequence[str],

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 BINS_PER_OCTAVE = 1024
 
 
@@ -40,14 +42,16 @@ def exact_quantiles(
     if method not in ("linear", "lower"):
         raise ValueError("method is linear or lower")
     keys = list(keys)
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    v = df.select(*keys, F.col(value).cast("double").alias("_v"))
     v = v.withColumn("_bin", order_bin(F.col("_v")))
+    # The not-null filters are spelled out so that both readers below share one shuffle.
+    for c in [*keys, "_v", "_bin"]:
+        v = v.where(F.col(c).isNotNull())
     distinct = v.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
     low = F.lit(0).cast("bigint")
     if skip_at_most is not None:
-        low = F.when(F.col("_v") <= F.lit(float(skip_at_most)), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    # Counted from the rows, so the partial sums are made before the shuffle.
-    bins = v.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_bc"), F.sum(low).alias("_low"))
+        low = F.when(F.col("_v") <= F.lit(float(skip_at_most)), F.col("_c")).otherwise(F.lit(0)).cast("bigint")
+    bins = distinct.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"), F.sum(low).alias("_low"))
     whole = Window.partitionBy(*keys)
     up = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(
@@ -104,6 +108,6 @@ def median(df: DataFrame, keys: Sequence[str], value: str, name: str, count_name
 def median_mad(df: DataFrame, keys: Sequence[str], value: str, center: str, mad: str, count_name: str) -> DataFrame:
     """Median and median absolute deviation: the second pass measures distances from the first's median."""
     keys = list(keys)
-    mid = median(df, keys, value, center, count_name)
+    mid = stage(median(df, keys, value, center, count_name))
     dist = df.join(mid.select(*keys, center), keys).select(*keys, F.abs(F.col(value) - F.col(center)).alias("_d"))
     return mid.join(median(dist, keys, "_d", mad), keys)

@@ -45,13 +45,6 @@ rec as (select *, start_frame >= 1 and end_frame < sample_count and peak_ix >= s
 top as (select * from (select *, row_number() over (partition by capture_id order by kind = 'clipped' desc, confidence desc, start_frame, event_id desc) as r from rec) where r <= 20)"""
 
 
-def loud(spark, d):
-    s = sig(spark, d).select("capture_id", "sample_ix")
-    ev = sig_values(spark, d)
-    del s
-    return ev
-
-
 def sig_values(spark, d):
     from ..adapters import table
     from ..operators.ordered import dense_index
@@ -185,7 +178,7 @@ def h6(spark, d):
 def d3(spark, d):
     regions = lengths(spark, d).select("capture_id", F.inline(F.array(
         F.struct(F.lit(100).cast("bigint").alias("start_ix"), F.lit(400).cast("bigint").alias("end_ix")),
-        F.struct(F.lit(700).cast("bigint"), F.lit(1500).cast("bigint")))))
+        F.struct(F.lit(700).cast("bigint").alias("start_ix"), F.lit(1500).cast("bigint").alias("end_ix")))))
     hit = points_in(records(spark, d), regions, ["capture_id"], "peak_frame", how="left_semi")
     return hit.groupBy("capture_id").agg(F.count(F.lit(1)).alias("events"))
 
