@@ -130,14 +130,16 @@ def impulse_scores(x: np.ndarray, sigma: float = 10.0, window: int = 65, min_rat
     return score
 
 
-def impulse_events(blocks: DataFrame, halo: int = HALO, max_length: int = 16, sigma: float = 10.0) -> DataFrame:
+def impulse_events(
+    blocks: DataFrame, halo: int = HALO, max_length: int = 16, sigma: float = 10.0, min_ratio: float = 0.25
+) -> DataFrame:
     """Impulses per channel from the block table; an event belongs to the block that owns its peak."""
 
     def scan(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                score = impulse_scores(np.asarray(r.samples), sigma)
+                score = impulse_scores(np.asarray(r.samples), sigma, min_ratio=min_ratio)
                 hit = np.flatnonzero(score)
                 for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
                     if not run.size or run.size > max_length:
