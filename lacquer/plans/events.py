@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import impulses as imp
 from ..operators import repair as rep
 from ..operators import validate as va
+from ..operators.intervals import points_in
+from ..operators.ordered import coalesce_runs
 from ..session import stage
 
 
@@ -32,10 +34,17 @@ def repair_events(blocks: DataFrame, retained: DataFrame, decisions: DataFrame,
     """Fill the approved, repairable events and lay the patches over the blocks.
 
     decisions: (capture_id, event_id, decision, protected_class). A capture whose decisions are not complete is
-    not repaired; its problems are listed. `outside` holds changed samples outside the patches and must be empty.
+    not repaired, nor one whose approved windows touch on a channel; the problems are listed. `outside` holds changed samples outside the patches and must be empty.
     """
     cands = retained.select(F.col("capture_id").alias("scan"), "event_id", "repairable")
-    problems = stage(va.decision_problems(cands, decisions.withColumnRenamed("capture_id", "scan")))
+    problems = (va.decision_problems(cands, decisions.withColumnRenamed("capture_id", "scan")))
+    near = coalesce_runs(
+        retained.join(decisions.where("decision = 'approved'").select("capture_id", "event_id"), ["capture_id", "event_id"], "left_semi").select(
+            "capture_id", F.explode("channels").alias("channel"), F.col("start_frame").alias("start_ix"), F.col("end_frame").alias("end_ix")),
+        ["capture_id", "channel"])
+    touching = near.where("n_parts > 1").select(F.col("capture_id").alias("scan"), F.lit(None).cast("string").alias("event_id"),
+                                                F.array(F.lit("repair_windows_touch")).alias("reasons")).distinct()
+    problems = stage(problems.unionByName(touching))
     bad = problems.select(F.col("scan").alias("capture_id")).distinct()
     approved = retained.where("repairable").join(decisions.where("decision = 'approved'").select("capture_id", "event_id"), ["capture_id", "event_id"], "left_semi")
     approved = stage(approved.join(bad, "capture_id", "left_anti"))
@@ -46,7 +55,5 @@ def repair_events(blocks: DataFrame, retained: DataFrame, decisions: DataFrame,
     moved = pair.select("capture_id", "channel", "start_sample", F.posexplode(F.zip_with("old", "new", lambda a, b: a != b)).alias("_p", "changed")).where("changed")
     moved = moved.select("capture_id", "channel", (F.col("start_sample") + F.col("_p")).alias("sample_ix"))
     wins = patches.where("patch is not null").select("capture_id", "channel", F.col("start_frame").alias("start_ix"), F.col("end_frame").alias("end_ix"))
-    from ..operators.intervals import points_in
-
     outside = points_in(moved, wins, ["capture_id", "channel"], "sample_ix", how="left_anti")
     return {"problems": problems, "patches": patches, "blocks": out, "outside": outside}

@@ -111,12 +111,12 @@ def refit_topology(
         F.when(F.col("side_change") & none, "side_change_without_gap"),
         F.when(F.col("chosen_sample") != F.col("raw_sample"), "moved_for_spacing"),
         F.when(F.col("fitting_target") != F.col("target_sample"), "target_projected"),
-        F.when(F.abs("residual") > F.greatest(F.lit(2.0), average * 0.08), "differs_from_duration"),
+        F.when(F.coalesce(F.abs("residual") > F.greatest(F.lit(2.0), average * 0.08), F.lit(False)), "differs_from_duration"),
         F.when(F.col("mode") == "partial-imputed", "imputed_durations"),
     ))
     sure = F.when(none, F.when(F.col("target_sample").isNotNull(), 0.18).otherwise(0.08)).otherwise(
         0.52 + 0.43 * F.col("match_score") + F.when(F.col("side_change"), 0.03).otherwise(0.0)
-        - F.coalesce(F.least(F.lit(0.18), F.abs("residual") / 120.0), F.lit(0.0)))
+        - F.least(F.lit(0.18), F.coalesce(F.abs("residual"), F.lit(0.0)) / 120.0))
     b = b.withColumn("warnings", warnings).withColumn("confidence", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 6))
     boundaries = stage(b.withColumn("uncertain", (F.size("warnings") > 0) | (F.col("confidence") < 0.6)))
     tracks = tr.build_tracks(

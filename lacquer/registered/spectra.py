@@ -182,7 +182,7 @@ def f9(spark, d):
     r = active_runs(spark, d)
     base = extent(spark, d).select(F.col("capture_id").alias("scope_id"))
     g = r.groupBy("scope_id").agg(
-        F.min(F.when("start_sample < 300 and end_sample >= 300", F.col("start_sample")) if False else F.expr("case when start_sample < 300 and end_sample >= 300 then start_sample end")).alias("a"),
+        F.min(F.expr("case when start_sample < 300 and end_sample >= 300 then start_sample end")).alias("a"),
         F.max(F.expr("case when start_sample <= 500 and end_sample > 500 then end_sample end")).alias("b"))
     return base.join(g, "scope_id", "left").select("scope_id", F.coalesce("a", F.lit(300).cast("bigint")).alias("start_sample"), F.coalesce("b", F.lit(500).cast("bigint")).alias("end_sample"))
 
@@ -284,7 +284,9 @@ def i3(spark, d):
 
 @query("i16_transient_morphology")
 def i16(spark, d):
-    f = evidence_of(spark, d)["focus"]
+    # Cubed amplitudes give isolated steps well above their surroundings.
+    s = sig(spark, d).withColumn("channel", F.lit(0)).withColumn("amp", F.pow(F.abs("amp"), 3.0) * 4.0)
+    f = evidence.evidence_windows(stage(to_blocks(s, BLOCK)), requests(spark, d), RATE, BLOCK)["focus"]
     return f.select("request_id", F.explode("transients").alias("t")).select("request_id", "t.*")
 
 
@@ -387,9 +389,9 @@ def j10(spark, d):
 
 @query("j11_repair_events")
 def j11(spark, d):
-    b = loud_blocks(spark, d)
+    b = blocks(spark, d)
     kept = events.scan_events(b, lengths(spark, d), 200)["retained"]
-    dec = kept.select("capture_id", "event_id", F.when(F.col("repairable"), "approved").otherwise("rejected").alias("decision"), F.lit(None).cast("string").alias("protected_class"))
+    dec = kept.select("capture_id", "event_id", F.when(F.col("repairable") & (F.col("kind") == "impulse"), "approved").otherwise("rejected").alias("decision"), F.lit(None).cast("string").alias("protected_class"))
     out = events.repair_events(b, kept, dec, BLOCK)
     n = out["patches"].groupBy("capture_id").agg(F.count(F.lit(1)).alias("patches"), F.sum(F.size("patch")).alias("samples"))
     stray = out["outside"].groupBy("capture_id").agg(F.count(F.lit(1)).alias("outside"))
