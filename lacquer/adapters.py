@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.ordered import dense_index, prefix_sums
+from .operators.ordered import dense_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +40,8 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax",
              "side", "duration"]
     day = F.expr("datediff(l_shipdate, date'1990-01-01')")
-    ix = dense_index(li, ["project_id"], order, day, "ix")
-    ix = ix.withColumn("_len", (F.col("duration") * 1000).cast("bigint"))
-    summed = prefix_sums(ix, ["project_id"], "ix", {"end_sample": F.col("_len")})
+    li = li.withColumn("_len", (F.col("duration") * 1000).cast("bigint"))
+    summed = dense_index(li, ["project_id"], order, day, "ix", {"end_sample": F.col("_len")})
     return summed.select(
         "project_id", (F.col("ix") + 1).alias("number"), "side", F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supplier"), "duration",

@@ -15,24 +15,28 @@ from pyspark.sql import functions as F
 from ..config import CHUNK
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, name: str) -> DataFrame:
-    """0-based position of each row in its key's order.
+def dense_index(
+    df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, name: str, sums: dict | None = None
+) -> DataFrame:
+    """0-based position of each row in its key's order, and inclusive running sums (name -> column) along it.
 
     `bucket` must not decrease along the order. Rows are ranked inside (keys, bucket) and shifted by the
-    count of all earlier buckets, which are one row per bucket.
+    totals of all earlier buckets, which are one row per bucket.
     """
-    keys = list(keys)
+    keys, sums = list(keys), dict(sums or {})
     src = df.withColumn("_b", bucket)
-    counts = src.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    totals = src.groupBy(*keys, "_b").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_n_{s}") for s, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = totals.select(
+        *keys, "_b", earlier("_n").alias("_off"), *[earlier(f"_n_{s}").alias(f"_off_{s}") for s in sums])
     local = Window.partitionBy(*keys, "_b").orderBy(*order)
-    ranked = src.withColumn("_r", F.row_number().over(local))
-    return (
-        ranked.join(offsets, [*keys, "_b"])
-        .withColumn(name, (F.col("_off") + F.col("_r") - 1).cast("bigint"))
-        .drop("_b", "_r", "_off")
-    )
+    run = local.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = src.select("*", F.row_number().over(local).alias("_r"), *[F.sum(c).over(run).alias(f"_l_{s}") for s, c in sums.items()])
+    out = ranked.join(offsets, [*keys, "_b"])
+    extra = [(F.coalesce(F.col(f"_l_{s}"), F.lit(0)) + F.col(f"_off_{s}")).alias(s) for s in sums]
+    return out.select(*[c for c in df.columns if c != name], (F.col("_off") + F.col("_r") - 1).cast("bigint").alias(name), *extra)
 
 
 def with_halo(df: DataFrame, ix: str, before: int, after: int, chunk: int = CHUNK) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .ordered import coalesce_runs, dense_index, prefix_max, prefix_sums, windowed
 from .quantiles import median
 
@@ -14,7 +15,7 @@ TIME_TOLERANCE = 0.010
 def track_violations(tracks: DataFrame, sources: DataFrame, keys: list[str] = ["project_id"]) -> DataFrame:
     """Per track the broken rules; tracks: number, start_sample, end_sample, start_seconds, end_seconds,
     confidence; sources: sample_rate, sample_count."""
-    numbered = dense_index(tracks, keys, ["number", "start_sample"], F.expr("number div 4096"), "_ix")
+    numbered = dense_index(stage(tracks), keys, ["number", "start_sample"], F.expr("number div 4096"), "_ix")
     prev = windowed(numbered, keys, "_ix", 1, 0, {"_prev": lambda w: F.lag("end_sample").over(w)})
     j = prev.join(sources.select(*keys, "sample_rate", "sample_count"), keys)
     off = lambda s, t: F.abs(F.col(t) - F.col(s) / F.col("sample_rate")) > TIME_TOLERANCE
@@ -53,6 +54,7 @@ def side_group_status(tracks: DataFrame, keys: list[str] = ["project_id"]) -> Da
 
 def ordered_side_groups(tracks: DataFrame, keys: list[str] = ["project_id"]) -> DataFrame:
     """Side groups in order, only for projects with two or more, all labelled, none repeated."""
+    tracks = stage(tracks)
     good = side_group_status(tracks, keys).where((F.size("reasons") == 0) & (F.col("groups") >= 2)).select(*keys)
     isl = side_islands(tracks, keys).where("side <> ''").join(good, keys)
     ix = dense_index(isl, keys, ["start_ix"], F.expr("start_ix div 4096"), "group_ix")
@@ -69,6 +71,7 @@ def side_durations(tracks: DataFrame, keys: list[str] = ["project_id"]) -> DataF
 
 def effective_durations(tracks: DataFrame, spans: DataFrame, minimum: float, keys: list[str] = ["project_id"]) -> DataFrame:
     """Fill missing durations from what remains of the span, or the known median when that is too little."""
+    tracks = stage(tracks)
     agg = tracks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.count("duration").alias("_k"), F.sum("duration").alias("_s"))
     mid = median(tracks, keys, "duration", "_mid")
@@ -84,6 +87,7 @@ def effective_durations(tracks: DataFrame, spans: DataFrame, minimum: float, key
 
 def duration_targets(tracks: DataFrame, music: DataFrame, value: str = "effective", keys: list[str] = ["project_id"]) -> DataFrame:
     """Boundary targets start + round(span * cumulative / total), one per track but the last."""
+    tracks = stage(tracks)
     total = tracks.groupBy(*keys).agg(F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_n"))
     cum = prefix_sums(tracks, keys, "number", {"_cum": F.col(value)})
     j = cum.join(total, keys).join(music, keys).where("number < _n")
@@ -97,7 +101,7 @@ def feasible_targets(targets: DataFrame, minimum: int, keys: list[str] = ["proje
 
     Shifting by number * minimum turns the chained clamp into a running maximum under one constant ceiling.
     """
-    run = prefix_max(targets, keys, "number", F.col("target") - F.col("number") * minimum, "_run")
+    run = prefix_max(stage(targets), keys, "number", F.col("target") - F.col("number") * minimum, "_run")
     floor_ = F.greatest(F.col("music_start"), F.col("_run"))
     ceiling = F.col("music_end") - F.col("track_count") * minimum
     return run.withColumn("feasible", (F.least(ceiling, floor_) + F.col("number") * minimum).cast("bigint")).drop("_run")
@@ -114,7 +118,7 @@ def build_tracks(selected: DataFrame, bounds: DataFrame, rate: int) -> DataFrame
     at = F.greatest(F.col("start_sample") + 1, F.least(F.col("end_sample") - 1, F.col("cut_sample")))
     cuts = inner.groupBy("capture_id", at.alias("at")).agg(F.max("score").alias("s"))
     ends = b.select("capture_id", F.explode(F.array("start_sample", "end_sample")).alias("at"), F.lit(1.0).alias("s"))
-    marks = dense_index(cuts.unionByName(ends), ["capture_id"], ["at"], F.expr(f"at div {rate * 600}"), "ix")
+    marks = dense_index(stage(cuts.unionByName(ends)), ["capture_id"], ["at"], F.expr(f"at div {rate * 600}"), "ix")
     nxt = windowed(marks, ["capture_id"], "ix", 0, 1, {
         "end_sample": lambda w: F.lead("at").over(w), "_s2": lambda w: F.lead("s").over(w)})
     return nxt.where("end_sample is not null").select(

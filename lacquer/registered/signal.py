@@ -85,7 +85,7 @@ def staged_env(spark, d):
     from ..session import stage
 
     env = stage(smoothed(spark, d))
-    return env, env_ops.thresholds(env, CFG.margin_db)
+    return env, stage(env_ops.thresholds(env, CFG.margin_db))
 
 
 def durations(spark, d):
@@ -95,7 +95,9 @@ def durations(spark, d):
 
 def bounds_of(spark, d):
     env, th = staged_env(spark, d)
-    return env, th, gap_ops.music_bounds(env, th, durations(spark, d), CFG)
+    from ..session import stage
+
+    return env, th, stage(gap_ops.music_bounds(env, th, durations(spark, d), CFG))
 
 
 def candidates_of(spark, d):

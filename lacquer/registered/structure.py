@@ -8,6 +8,7 @@ from ..adapters import SIG, TRACKS, sig, table, tracks
 from ..functions import levels as lv
 from ..operators import choice
 from ..operators import tracks as tr
+from ..session import stage
 from ..plans.segment import refit_topology, segment_captures
 from .common import query
 from .signal import CAND, CFG, candidates_of, durations, rounded
@@ -174,7 +175,7 @@ ef as (select d.project_id, number, case when k = 0 then 'none' when k = n then
 
 
 def effective(spark, d):
-    t = gappy(spark, d)
+    t = stage(gappy(spark, d))
     spans = t.groupBy("project_id").agg((F.count(F.lit(1)) * 22.0).alias("span_seconds"))
     return tr.effective_durations(t, spans, 5.0)
 
@@ -190,7 +191,7 @@ tg as (select project_id, number, n, cast(100 + round_even(20000.0::double * c /
 
 
 def targets(spark, d):
-    e = effective(spark, d).where("effective is not null")
+    e = stage(effective(spark, d).where("effective is not null"))
     music = e.select("project_id").distinct().select(
         "project_id", F.lit(100).cast("bigint").alias("music_start"), F.lit(20100).cast("bigint").alias("music_end"))
     return tr.duration_targets(e, music)
@@ -310,8 +311,6 @@ def j8(spark, d):
 @query("g6_exact_count_choice")
 def g6(spark, d):
     _, _, b, c = candidates_of(spark, d)
-    from ..session import stage
-
     p = stage(b.select("capture_id", "core_start", "core_end", F.lit(6).alias("track_count"),
                        F.lit(None).cast("array<double>").alias("durations"), F.lit(None).cast("array<string>").alias("sides")))
     return choice.choose_exact_count(stage(c), p, CFG.rate, CFG.min_track_seconds)
@@ -320,8 +319,6 @@ def g6(spark, d):
 @query("g7_infeasible_count_choice")
 def g7(spark, d):
     _, _, b, c = candidates_of(spark, d)
-    from ..session import stage
-
     p = stage(b.select("capture_id", "core_start", "core_end", F.ceil(F.col("core_end") / 2).cast("int").alias("track_count"),
                        F.lit(None).cast("array<double>").alias("durations"), F.lit(None).cast("array<string>").alias("sides")))
     return choice.choose_exact_count(stage(c), p, CFG.rate, 2.6)
