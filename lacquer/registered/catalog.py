@@ -106,7 +106,7 @@ def c7(spark, d):
     return va.record_strictness(r).select(*K.split(", "), joined("reasons").alias("reasons"))
 
 
-@query("c8_payload_privacy")
+@query("c8_payload_privacy", "select doc_id, case doc_id % 3 when 0 then 'private_key' when 1 then 'key_not_supported' else case when contains(text, '/') or contains(text, chr(92)) then 'path_like_text' else '' end end as problem from documents")
 def c8(spark, d):
     docs = table(spark, d, "documents")
     key = F.when(F.col("doc_id") % 3 == 0, "file_path").when(F.col("doc_id") % 3 == 1, "Odd").otherwise("note")

