@@ -40,29 +40,32 @@ def source_split(source: Column, salt: str, basis_points: int) -> Column:
     return F.when(hash_bucket(text) < basis_points, "evaluation").otherwise("development")
 
 
-def set_hash(df: DataFrame, keys: Sequence[str], item: str, name: str) -> DataFrame:
-    """Order-free hash of a key's distinct items.
+LANES = 4
 
-    Items are hashed by the first three digits of their own hash (4096 groups at most), then the group
-    hashes in order, so a large set is never gathered in one place.
-    """
+
+def _sums(digest: Column) -> list[Column]:
+    """Sums of four 60-bit parts of a hash over a group; partial sums are made before the shuffle."""
+    part = lambda i: F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")
+    return [F.sum(part(i)).alias(f"_s{i}") for i in range(LANES)]
+
+
+def _folded() -> Column:
+    return F.sha2(F.concat_ws(",", F.col("_n").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(LANES)]), 256)
+
+
+def set_hash(df: DataFrame, keys: Sequence[str], item: str, name: str) -> DataFrame:
+    """Order-free hash of a key's distinct items: their hashes are added up, so no set is ever gathered."""
     keys = list(keys)
     one = df.select(*keys, F.sha2(F.col(item).cast("string"), 256).alias("_h")).distinct()
-    part = one.groupBy(*keys, F.substring("_h", 1, 3).alias("_p")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ","), 256).alias("_g")
-    )
-    whole = F.array_sort(F.collect_list(F.struct("_p", "_g")))
-    return part.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(whole, lambda x: x["_g"]), ","), 256).alias(name))
+    return one.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *_sums(F.col("_h"))).select(*keys, _folded().alias(name))
 
 
-def ordered_hash(df: DataFrame, keys: Sequence[str], ix: str, text: Column, name: str, chunk: int = 4096) -> DataFrame:
-    """Hash of a key's texts in the order of `ix`: chunks of positions are hashed, then the chunk hashes.
+def ordered_hash(df: DataFrame, keys: Sequence[str], ix: str, text: Column, name: str) -> DataFrame:
+    """Hash of a key's texts in the order of `ix`.
 
-    A chunk is bounded; the outer level holds one hash per chunk. The digest is our own definition.
+    The position is hashed with each text and the hashes are added up: one shuffle of partial sums, whatever
+    the length. The digest is our own definition.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(ix).alias("_i"), text.alias("_t"), F.expr(f"{ix} div {chunk}").alias("_c"))
-    inner = rows.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias("_a"))
-    part = inner.select(*keys, "_c", F.sha2(F.array_join(F.transform("_a", lambda x: x["_t"]), "\n"), 256).alias("_h"))
-    outer = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "_h"))).alias("_a"))
-    return outer.select(*keys, F.sha2(F.array_join(F.transform("_a", lambda x: x["_h"]), "\n"), 256).alias(name))
+    rows = df.select(*keys, F.sha2(F.concat(F.col(ix).cast("string"), F.lit("\n"), text), 256).alias("_h"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *_sums(F.col("_h"))).select(*keys, _folded().alias(name))

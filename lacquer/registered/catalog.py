@@ -15,7 +15,7 @@ from ..operators.ordered import dense_index, windowed
 from ..sources import sinks
 from ..sources import stores as st
 from ..sources.blocks import to_blocks
-from .common import query
+from .common import digest_sql, query
 
 K = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
 
@@ -528,8 +528,8 @@ def d16(spark, d):
     return j.select("project_id", "number", "block_ix", (F.least("end_ix", "r_end") - F.greatest("start_ix", "r_start")).alias("shared"))
 
 
-@query("e39_range_digest", "with" + SIG + """, p as (select capture_id, sample_ix // 4096 as c, sha256(string_agg(cast(cast(round_even(amp * 1000000, 0) as bigint) as varchar), chr(10) order by sample_ix)) as h from sig where sample_ix >= 200 and sample_ix < 1500 group by 1, 2)
-  select capture_id, sha256(string_agg(h, chr(10) order by c)) as digest from p group by 1""")
+@query("e39_range_digest", "with" + SIG + " select capture_id, " + digest_sql("sha256(sample_ix || chr(10) || cast(round_even(amp * 1000000, 0) as bigint))") + """ as digest from sig
+   where sample_ix >= 200 and sample_ix < 1500 group by 1""")
 def e39(spark, d):
     from ..functions.hashing import ordered_hash
 

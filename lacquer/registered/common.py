@@ -20,3 +20,9 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+def digest_sql(h: str) -> str:
+    """SQL aggregate of the additive digest over the hash expression `h`."""
+    parts = " || ',' || ".join(f"sum(('0x' || substr({h}, {15 * i + 1}, 15))::ubigint)::varchar" for i in range(4))
+    return f"sha256(count(*)::varchar || ',' || {parts})"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import table
 from ..functions.hashing import hash_bucket, source_split
 from ..operators import corpus as ev
-from .common import query
+from .common import digest_sql, query
 
 CFG = ev.EvaluationConfig(salt="a" * 64, evaluation_basis_points=5000)
 PAIR_CFG = ev.EvaluationConfig(salt="a" * 64, evaluation_basis_points=5000, minimum_pair_coverage=100)
@@ -106,8 +106,7 @@ def e18(spark, d):
 
 
 @query("e19_split_report", "with" + REC + """, s as (select split, count(*) as record_count, count(distinct source) as source_count from rec group by 1),
-  h as (select distinct split, sha256(source) as h from rec), p as (select split, substr(h, 1, 3) as p, sha256(string_agg(h, ',' order by h)) as g from h group by 1, 2),
-  w as (select split, sha256(string_agg(g, ',' order by p)) as source_set_sha256 from p group by 1) select * from s join w using (split)""")
+  h as (select distinct split, sha256(source) as h from rec), w as (select split, """ + digest_sql("h") + """ as source_set_sha256 from h group by 1) select * from s join w using (split)""")
 def e19(spark, d):
     return ev.split_report(records(spark, d))
 

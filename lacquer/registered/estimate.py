@@ -9,7 +9,7 @@ from ..functions.hashing import ordered_hash
 from ..operators import consensus as con
 from ..operators import speed as sp
 from ..operators.quantiles import exact_quantiles, median_mad
-from .common import query
+from .common import digest_sql, query
 
 CFG = sp.SpeedConfig()
 
@@ -157,7 +157,7 @@ def j6(spark, d):
 
 
 RANGES = TRACKS + """,
-rg as (select project_id, sha256(sha256(string_agg(number || ':' || start_sample || ':' || end_sample, chr(10) order by number))) as h, count(*) as n from tracks group by 1)"""
+rg as (select project_id, """ + digest_sql("sha256(number || chr(10) || number || ':' || start_sample || ':' || end_sample)") + """ as h from tracks group by 1)"""
 
 
 def ranges_hash(spark, d):

@@ -12,7 +12,7 @@ from ..operators import spectral as sx
 from ..plans import endpoints, evidence, events, noise
 from ..sources.blocks import to_blocks
 from ..session import stage
-from .common import query
+from .common import digest_sql, query
 from .corpus import CFG as CORPUS_CFG
 from .corpus import METRICS, records
 from .events import SPIKES, lengths, sig_values
@@ -146,8 +146,7 @@ FEAT = SIG + """,
 ff as (select capture_id as scope_id, sample_ix // 25 as win_ix, min(sample_ix) as start_sample, max(sample_ix) + 1 as end_sample, sqrt(avg(amp * amp)) as rms, max(abs(amp)) as pk from sig group by 1, 2)"""
 
 
-@query("e29_feature_hashes", "with" + FEAT + """, c as (select scope_id, win_ix // 4096 as c, sha256(string_agg(start_sample || ',' || end_sample || ',' || cast(cast(round_even(rms * 1000000, 0) as bigint) as varchar) || ',' || cast(cast(round_even(pk * 1000000, 0) as bigint) as varchar), chr(10) order by win_ix)) as h from ff group by 1, 2)
-  select scope_id, sha256(string_agg(h, chr(10) order by c)) as digest from c group by 1""")
+@query("e29_feature_hashes", "with" + FEAT + " select scope_id, " + digest_sql("sha256(win_ix || chr(10) || start_sample || ',' || end_sample || ',' || cast(round_even(rms * 1000000, 0) as bigint) || ',' || cast(round_even(pk * 1000000, 0) as bigint))") + " as digest from ff group by 1")
 def e29(spark, d):
     from ..functions.hashing import ordered_hash
 
