@@ -81,11 +81,11 @@ def smoothed(spark, d):
     return env_ops.smooth(envelope_of(spark, d), CFG.smoothing_windows)
 
 
-def staged_env(spark, d):
+def staged_env(spark, d, cfg=CFG):
     from ..session import stage
 
     env = stage(smoothed(spark, d))
-    return env, stage(env_ops.thresholds(env, CFG.margin_db))
+    return env, stage(env_ops.thresholds(env, cfg.margin_db))
 
 
 def durations(spark, d):
@@ -93,16 +93,23 @@ def durations(spark, d):
     return ev.groupBy(F.col("event_type").alias("capture_id")).agg((F.count(F.lit(1)) / 100.0).alias("duration_seconds"))
 
 
-def bounds_of(spark, d):
-    env, th = staged_env(spark, d)
+def bounds_of(spark, d, cfg=CFG):
+    env, th = staged_env(spark, d, cfg)
     from ..session import stage
 
-    return env, th, stage(gap_ops.music_bounds(env, th, durations(spark, d), CFG))
+    return env, th, stage(gap_ops.music_bounds(env, th, durations(spark, d), cfg))
 
 
-def candidates_of(spark, d):
-    env, th, b = bounds_of(spark, d)
-    return env, th, b, gap_ops.gap_candidates(env, gap_ops.quiet_runs(env, th, b, CFG), CFG)
+def candidates_of(spark, d, cfg=CFG):
+    env, th, b = bounds_of(spark, d, cfg)
+    return env, th, b, gap_ops.gap_candidates(env, gap_ops.quiet_runs(env, th, b, cfg), cfg)
+
+
+def flagship(spark, d):
+    """Gap candidates with a minimum track short enough for the two-second recordings of the smallest tables."""
+    from dataclasses import replace
+
+    return candidates_of(spark, d, replace(CFG, min_track_seconds=0.4))[3]
 
 
 def rounded(df, *names, places=6):

@@ -42,7 +42,7 @@ def cue_lines(tracks: DataFrame, rate: int) -> DataFrame:
 def write_cues(lines: DataFrame, path: str) -> None:
     """One text file per album: an album has at most 99 tracks, so its sheet is one short value."""
     body = lines.groupBy("album").agg(F.array_sort(F.collect_list(F.struct("side_order", "album_number", "line_no", "line"))).alias("_l"))
-    text = F.concat(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    text = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
     body.select("album", text.alias("value")).write.mode("errorifexists").partitionBy("album").text(path)
 
 
