@@ -109,7 +109,7 @@ def flagship(spark, d):
     """Gap candidates with a minimum track short enough for the two-second recordings of the smallest tables."""
     from dataclasses import replace
 
-    return candidates_of(spark, d, replace(CFG, min_track_seconds=0.4))[3]
+    return candidates_of(spark, d, replace(CFG, min_track_seconds=0.1))[3]
 
 
 def rounded(df, *names, places=6):
