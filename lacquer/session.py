@@ -27,12 +27,19 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local-mode session (driver and executors are one process) gets a temporary one; on a cluster
+    each executor would write to its own disk, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -47,3 +54,15 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete staged tables that no plan will read again."""
+    for df in staged:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if folder.rsplit("/", 1)[1].startswith("stage-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
