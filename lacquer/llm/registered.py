@@ -41,3 +41,10 @@ def op6(spark, sf_dir):
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
         public_tokenizers.PATTERN, keep=["doc_id"],
     )
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark, sf_dir):
+    from .jaccard import near_components
+
+    return near_components(table(spark, sf_dir, "documents"), width=4, percent=85)

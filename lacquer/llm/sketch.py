@@ -52,8 +52,8 @@ def touched(keys: np.ndarray, width: int) -> pa.RecordBatch:
 SCHEMA = "block long, once binary, more binary"
 
 
-def merge(parts: DataFrame) -> DataFrame:
-    """(block, bits): a bit for each cell that counts two or more over all partial sketches."""
+def merge(parts: DataFrame, least: int = 2) -> DataFrame:
+    """(block, bits): a bit for each cell that counts `least` (1 or 2) or more over all partial sketches."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(BLOCK, np.uint8)
@@ -62,7 +62,7 @@ def merge(parts: DataFrame) -> DataFrame:
                 cell = np.frombuffer(once, "<i4")
                 count[cell] = np.minimum(count[cell] + 1, 2)
                 count[np.frombuffer(more, "<i4")] = 2
-        bits = np.packbits(count > 1, bitorder="little").tobytes()
+        bits = np.packbits(count >= least, bitorder="little").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([bits], pa.binary())], names=["block", "bits"])
 
     return parts.groupBy("block").applyInArrow(run, "block long, bits binary")
@@ -77,6 +77,18 @@ def load(merged: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def members(ids: DataFrame, width: int) -> np.ndarray:
+    """Bits of all values of the one long column of `ids`, for repeated() as a test of membership without misses."""
+    name = ids.columns[0]
+
+    def run(batches):
+        for batch in batches:
+            keys = np.asarray(batch.column(name).drop_null()).astype(np.int64).view(np.uint64)
+            yield touched(np.unique(keys), width)
+
+    return load(merge(ids.mapInArrow(run, SCHEMA), 1), width)
+
+
 def repeated(bits: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
     """Whether the estimate (the lower of both rows) of each key is two or more."""
     if not len(keys):
