@@ -48,3 +48,10 @@ def op10(spark, sf_dir):
     from .jaccard import near_components
 
     return near_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query("op1_document_fingerprints")
+def op1(spark, sf_dir):
+    from .fingerprints import edited_pairs
+
+    return edited_pairs(table(spark, sf_dir, "documents"))
