@@ -55,3 +55,10 @@ def op1(spark, sf_dir):
     from .fingerprints import edited_pairs
 
     return edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query("op4_mix_sources")
+def op4(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), [1, 2, 3]).select("doc_id", "size", "source_size", "target", "taken")
