@@ -247,9 +247,10 @@ def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
 
 def _run(docs, ranks, pattern, text, keep, made):
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made and (c != text or keep is not None)]
+    mine = [f"c{i}" for i in range(len(keep))]
     kinds = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
-    sent = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema[:-1]), *(f"{c} {kinds[c]}" for c in made)])
+    sent = docs.select(*(F.col(f"`{c}`").alias(m) for c, m in zip(keep, mine)), F.col(f"`{text}`").alias("__text"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sent.schema[:-1]), *(f"{c} {kinds[c]}" for c in made)])
 
     def run(batches):
         codec = Codec(_place(ranks), pattern)
@@ -265,11 +266,11 @@ def _run(docs, ranks, pattern, text, keep, made):
                     rows["ids_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, hi - lo) for c in keep), *(pa.array(rows[c], t) for c, t in made.items())],
-                    names=[*keep, *made],
+                    [*(batch.column(c).slice(lo, hi - lo) for c in mine), *(pa.array(rows[c], t) for c, t in made.items())],
+                    names=[*mine, *made],
                 )
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema).toDF(*keep, *made)
 
 
 def decoded(ids: Column, ranks: str) -> Column:

@@ -76,7 +76,7 @@ def features(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[n
         while span < NEAR:
             reach = min(span, NEAR - span)
             nxt = np.full(n, np.int64(1) << 62)
-            nxt[: n - reach] = low[reach:]
+            nxt[: max(0, n - reach)] = low[reach:]
             low, span = np.minimum(low, nxt), span + reach
         at = np.flatnonzero(inside)
         d = np.searchsorted(offsets, at, "right") - 1
@@ -199,17 +199,18 @@ def fingerprint(docs: DataFrame, text: str = "text", rank: np.ndarray | None = N
     this table). A column named fingerprint is replaced."""
     rank = rarity(docs, text) if rank is None else rank
     keep = [c for c in docs.columns if c != "fingerprint"]
-    sent = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema[:-1]), "fingerprint string"])
+    mine = [f"c{i}" for i in range(len(keep))]
+    sent = docs.select(*(F.col(f"`{c}`").alias(m) for c, m in zip(keep, mine)), F.col(f"`{text}`").alias("__text"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sent.schema[:-1]), "fingerprint string"])
 
     def run(batches):
         for batch in batches:
             for part in _parts(batch):
                 own = [(t or "").encode() for t in part.column("__text").to_pylist()]
                 prints = [c.tobytes().hex() for c in _chains(own, rank)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(prints, pa.string())], names=[*keep, "fingerprint"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in mine), pa.array(prints, pa.string())], names=[*mine, "fingerprint"])
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema).toDF(*keep, "fingerprint")
 
 
 def _firsts(ids: DataFrame, rows_each: int, most: int = 100_000) -> np.ndarray:
