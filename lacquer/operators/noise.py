@@ -119,13 +119,32 @@ def decide_rumble(evidence: DataFrame) -> DataFrame:
                     F.coalesce("abstained", F.lit("diffuse_stationary_low_frequency_energy_agrees")).alias("reason"))
 
 
-def global_reasons(samples: DataFrame, silence_db: float = -88.0, clip: float = 0.999) -> DataFrame:
-    """Reasons that settle a scope before any spectrum: clipping or silence. samples: (capture_id, amp)."""
-    g = samples.groupBy("capture_id").agg(F.max(F.abs("amp")).alias("peak"), F.avg(F.col("amp") * F.col("amp")).alias("ms"))
+def global_reasons(blocks: DataFrame, scopes: DataFrame, silence_db: float = -88.0, clip: float = 0.999) -> DataFrame:
+    """(capture_id, global_reason): clipping or silence, which settle a scope before any spectrum; null otherwise.
+
+    Each block gives one row of sums over what lies in the scope; no sample becomes a row.
+    """
+    lo = F.greatest(F.lit(0), F.col("scope_start") - F.col("start_sample"))
+    hi = F.least(F.col("n"), F.col("scope_end") - F.col("start_sample"))
+    own = blocks.join(scopes, "capture_id").where(hi > lo).withColumn("_x", F.slice("samples", (lo + 1).cast("int"), (hi - lo).cast("int")))
+    part = own.select(
+        "capture_id", F.array_max(F.transform("_x", F.abs)).alias("peak"), F.size("_x").alias("n"),
+        F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
+    g = part.groupBy("capture_id").agg(F.max("peak").alias("peak"), (F.sum("energy") / F.sum("n")).alias("ms"))
     level = 20.0 * F.log10(F.greatest(F.sqrt("ms"), F.lit(TINY)))
     return g.select("capture_id", F.when(F.col("peak") >= clip, "clipping_invalidates_evidence").when(level < silence_db, "silence").alias("global_reason"))
 
 
+def unless_settled(decision: DataFrame, settled: DataFrame) -> DataFrame:
+    """Clipping or silence anywhere in a scope abstains whatever its spectra say. settled: global_reasons()."""
+    j = decision.join(settled, "capture_id", "left")
+    off = F.col("global_reason").isNotNull()
+    keep = {"status": F.when(off, "abstained").otherwise(F.col("status")), "confidence": F.when(off, 0.0).otherwise(F.col("confidence")),
+            "reason": F.coalesce("global_reason", "reason")}
+    keep |= {c: F.when(~off, F.col(c)) for c in ("fundamental_hz", "harmonics") if c in decision.columns}
+    return j.withColumns(keep).select(decision.columns)
+
+
 def decide_hiss(evidence: DataFrame, clipped: DataFrame, minimum_regions: int = 2) -> DataFrame:
     """clipped: (capture_id, clipped BOOLEAN). Profiles are compared with the first one of the capture, then pairwise
     through their least likeness, over the few regions and channels of a scope."""
@@ -169,7 +188,7 @@ def crackle_metrics(events: DataFrame, references: DataFrame, scopes: DataFrame,
     frames = F.col("scope_end") - F.col("scope_start")
     out = out.withColumn("events_per_second", F.col("events") / (frames / float(rate))).withColumn("repaired_share", F.col("repaired") / (frames * F.col("channel_count")))
     reasons = codes(
-        (F.col("events") > 4096, "event_count_exceeds_bounded_preview"), (F.col("events") < 4, "insufficient_conservative_crackle_events"),
+        (F.col("events") < 4, "insufficient_conservative_crackle_events"),
         (F.col("reference_events") < 2, "insufficient_noise_reference_crackle_evidence"), (F.col("events_per_second") < 0.10, "crackle_density_below_configured_minimum"),
         (F.col("events_per_second") > 80.0, "crackle_density_exceeds_conservative_limit"), (F.col("repaired_share") > 0.005, "proposed_repair_fraction_exceeds_conservative_limit"))
     return out.withColumn("reasons", reasons).withColumn("status", F.when(F.size("reasons") == 0, "proposed").otherwise("abstained")).drop("scope_start", "scope_end", "channel_count")

@@ -1,8 +1,8 @@
 """Exact order statistics per key without holding a large key's values in one task.
 
-The largest key is counted first. When no key is large, each key's values are sorted in place. Otherwise values
-fall into order-preserving bins (a fixed function of the value). Counts per bin say which bin holds
-each wanted rank; only those bins are ranked. Equal values are counted before the shuffle.
+Values fall into order-preserving bins (a fixed function of the value). Counts per bin say which bin holds each
+wanted rank; only those bins are ranked. Equal values are counted before the shuffle. The plan is the same for
+keys of every size, and nothing runs while it is built.
 """
 
 from __future__ import annotations
@@ -12,11 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
-
 BINS_PER_OCTAVE = 1024
-# Up to this many values of a key are sorted in one place; the count is measured before.
-SMALL_KEY = 50_000
 
 
 def order_bin(v: Column) -> Column:
@@ -35,7 +31,6 @@ def exact_quantiles(
     skip_at_most: float | None = None,
     min_kept: Column | None = None,
     count_name: str | None = None,
-    small: int = SMALL_KEY,
 ) -> DataFrame:
     """One row per key with the exact quantiles named in `probs`.
 
@@ -47,8 +42,6 @@ def exact_quantiles(
         raise ValueError("method is linear or lower")
     keys = list(keys)
     v = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    if small and largest_key(v, keys) <= small:
-        return _sorted_quantiles(v, keys, probs, method, skip_at_most, min_kept, count_name)
     v = v.withColumn("_bin", order_bin(F.col("_v")))
     # The not-null filters are spelled out so that both readers below share one shuffle.
     for c in [*keys, "_v", "_bin"]:
@@ -107,65 +100,13 @@ def exact_quantiles(
     return got.select(*keys, *out)
 
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key: one number, from partial counts."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(n or 0)
-
+def median(df: DataFrame, keys: Sequence[str], value: str, name: str, count_name: str | None = None) -> DataFrame:
+    return exact_quantiles(df, keys, value, {name: 0.5}, count_name=count_name)
 
-def _sorted_quantiles(v, keys, probs, method, skip_at_most, min_kept, count_name) -> DataFrame:
-    """The same statistics from one sorted array per key, for keys whose size has been checked."""
-    held = v.where(F.col("_v").isNotNull())
-    for k in keys:
-        held = held.where(F.col(k).isNotNull())
-    low = F.lit(0).cast("bigint") if skip_at_most is None else F.count_if(F.col("_v") <= float(skip_at_most))
-    a = held.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_a"), F.count("_v").alias("_n"), low.alias("_m"))
-    skip = F.lit(0).cast("bigint")
-    if skip_at_most is not None:
-        skip = F.when(F.col("_n") - F.col("_m") < min_kept, F.lit(0)).otherwise(F.col("_m")).cast("bigint")
-    a = a.withColumn("_skip", skip).withColumn("_k", F.col("_n") - F.col("_skip"))
-    out = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_k") - 1)
-        lo = F.element_at("_a", (F.floor(pos) + F.col("_skip") + 1).cast("int"))
-        if method == "linear":
-            hi = F.element_at("_a", (F.ceil(pos) + F.col("_skip") + 1).cast("int"))
-            out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-        else:
-            out.append(lo.alias(name))
-    if count_name:
-        out.append(F.col("_n").alias(count_name))
-    return a.select(*keys, *out)
 
-
-def median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, count_name: str | None = None, small: int = SMALL_KEY
-) -> DataFrame:
-    return exact_quantiles(df, keys, value, {name: 0.5}, count_name=count_name, small=small)
-
-
-def median_mad(
-    df: DataFrame, keys: Sequence[str], value: str, center: str, mad: str, count_name: str, small: int = SMALL_KEY
-) -> DataFrame:
-    """Median and median absolute deviation.
-
-    Small keys are measured on their sorted array; otherwise a second pass measures the distances from the
-    first pass's median.
-    """
+def median_mad(df: DataFrame, keys: Sequence[str], value: str, center: str, mad: str, count_name: str) -> DataFrame:
+    """Median and median absolute deviation: a second pass measures the distances from the first pass's median."""
     keys = list(keys)
-    v = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    if small and largest_key(v, keys) <= small:
-        held = v.where(F.col("_v").isNotNull())
-        a = held.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_a"))
-        a = a.withColumn(center, _middle(F.col("_a")))
-        far = F.sort_array(F.transform("_a", lambda x: F.abs(x - F.col(center))))
-        return a.select(*keys, center, _middle(far).alias(mad), F.size("_a").cast("bigint").alias(count_name))
-    mid = stage(median(df, keys, value, center, count_name, small=0))
+    mid = median(df, keys, value, center, count_name)
     dist = df.join(mid.select(*keys, center), keys).select(*keys, F.abs(F.col(value) - F.col(center)).alias("_d"))
-    return mid.join(median(dist, keys, "_d", mad, small=0), keys)
-
-
-def _middle(a: Column) -> Column:
-    n = F.size(a)
-    lo, hi = F.element_at(a, F.floor((n + 1) / 2).cast("int")), F.element_at(a, F.floor(n / 2).cast("int") + 1)
-    return F.when(n > 0, lo + (hi - lo) * 0.5)
+    return mid.join(median(dist, keys, "_d", mad), keys)

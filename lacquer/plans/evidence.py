@@ -22,7 +22,7 @@ def evidence_windows(blocks: DataFrame, requests: DataFrame, rate: int, block: i
     return {
         "waveform": envelope.minmax_buckets(flat, points, ["request_id", "channel"]),
         "spectrogram": sx.measured(side, sx.spectrogram(rate, bands), sx.SPECTROGRAM_SCHEMA, "channels"),
-        "focus": sx.measured(side, sx.focus_evidence(rate), sx.FOCUS_SCHEMA, "channels"),
+        "focus": sx.focus_compared(sx.measured(side, sx.focus_measures(rate), sx.FOCUS_SCHEMA, "channels"), rate),
     }
 
 

@@ -26,18 +26,23 @@ def evidence_windows(references: DataFrame, scopes: DataFrame, window: int) -> D
 
 def noise_evidence(blocks: DataFrame, references: DataFrame, scopes: DataFrame, rate: int, window: int, block: int) -> dict[str, DataFrame]:
     """Hum and rumble evidence per region and channel, and one decision each per capture."""
+    if not sx.resolves_mains(rate, window):
+        raise ValueError(f"windows of {window} samples at {rate} a second have no bin at a mains line")
     cut = stage(sx.cut_windows(blocks, evidence_windows(references, scopes, window), block, ["region", "role"]))
     hum = stage(nz.hum_evidence(sx.measured(cut, sx.hum_features(rate), sx.HUM_SCHEMA)))
     rumble = stage(nz.rumble_evidence(sx.measured(cut, sx.rumble_features(rate), sx.RUMBLE_SCHEMA)))
-    return {"hum_evidence": hum, "rumble_evidence": rumble, "hum": nz.decide_hum(hum), "rumble": nz.decide_rumble(rumble)}
+    settled = stage(nz.global_reasons(blocks, scopes))
+    return {"hum_evidence": hum, "rumble_evidence": rumble, "hum": nz.unless_settled(nz.decide_hum(hum), settled),
+            "rumble": nz.unless_settled(nz.decide_rumble(rumble), settled)}
 
 
-def hiss_evidence(blocks: DataFrame, references: DataFrame, rate: int, window: int, block: int, clipping: float = 0.999) -> dict[str, DataFrame]:
-    """Reference windows only; a clipped sample anywhere in the capture invalidates it."""
+def hiss_evidence(blocks: DataFrame, references: DataFrame, rate: int, window: int, block: int, clipping: float = 0.999,
+                  lower: float = 6000.0, upper: float = 18000.0) -> dict[str, DataFrame]:
+    """Reference windows only, in the band from `lower` to `upper` Hz; a clipped sample anywhere in the capture invalidates it."""
     ref = references.select("capture_id", F.col("label").alias("region"), F.lit("reference").alias("role"), "start_sample", "end_sample")
     t = rg.tiles(ref, window).select("capture_id", "region", "role", F.col("tile_start").alias("start_ix"), F.col("tile_end").alias("end_ix"))
     cut = sx.cut_windows(blocks, t, block, ["region", "role"])
-    ev = stage(nz.hiss_evidence(stage(sx.measured(cut, sx.hiss_features(rate), sx.HISS_SCHEMA))))
+    ev = stage(nz.hiss_evidence(stage(sx.measured(cut, sx.hiss_features(rate, lower, upper), sx.HISS_SCHEMA))))
     clipped = blocks.groupBy("capture_id").agg(F.max(F.exists("samples", lambda x: F.abs(x) >= clipping)).alias("clipped"))
     return {"evidence": ev, "decision": nz.decide_hiss(ev, clipped)}
 

@@ -18,6 +18,8 @@ from .corpus import METRICS, records
 from .events import SPIKES, lengths, sig_values
 
 RATE, BLOCK, WIN = 1000, 4096, 250
+# Mains lines: read at 500 samples a second, windows of 200 have a bin at every line and overtone.
+HUM_RATE, HUM_WIN = 500, 200
 
 
 def blocks(spark, d):
@@ -51,7 +53,7 @@ def windows(spark, d, b, size=WIN):
 @query("i4_line_excess")
 def i4(spark, d):
     b = blocks(spark, d)
-    return flat_text(sx.measured(windows(spark, d, b), sx.hum_features(RATE), sx.HUM_SCHEMA))
+    return flat_text(sx.measured(windows(spark, d, b, HUM_WIN), sx.hum_features(HUM_RATE), sx.HUM_SCHEMA))
 
 
 @query("i5_low_band_windows")
@@ -66,29 +68,29 @@ def i6(spark, d):
 
 @query("e10_hum_evidence")
 def e10(spark, d):
-    return flat_text(noise.noise_evidence(blocks(spark, d), references(spark, d), scopes(spark, d), RATE, WIN, BLOCK)["hum_evidence"])
+    return flat_text(noise.noise_evidence(blocks(spark, d), references(spark, d), scopes(spark, d), HUM_RATE, HUM_WIN, BLOCK)["hum_evidence"])
 
 
 @query("e11_rumble_evidence")
 def e11(spark, d):
-    return flat_text(noise.noise_evidence(blocks(spark, d), references(spark, d), scopes(spark, d), RATE, WIN, BLOCK)["rumble_evidence"])
+    return flat_text(noise.noise_evidence(blocks(spark, d), references(spark, d), scopes(spark, d), HUM_RATE, HUM_WIN, BLOCK)["rumble_evidence"])
 
 
 @query("e12_hiss_evidence")
 def e12(spark, d):
-    return flat_text(noise.hiss_evidence(blocks(spark, d), references(spark, d), RATE, WIN // 2, BLOCK)["evidence"])
+    return flat_text(noise.hiss_evidence(blocks(spark, d), references(spark, d), RATE, WIN // 2, BLOCK, lower=150.0, upper=450.0)["evidence"])
 
 
 @query("j3_noise_evidence")
 def j3(spark, d):
-    out = noise.noise_evidence(blocks(spark, d), references(spark, d), scopes(spark, d), RATE, WIN, BLOCK)
+    out = noise.noise_evidence(blocks(spark, d), references(spark, d), scopes(spark, d), HUM_RATE, HUM_WIN, BLOCK)
     both = out["hum"].select("capture_id", F.lit("hum").alias("family"), "status", "confidence", "reason")
     return both.unionByName(out["rumble"].select("capture_id", F.lit("rumble").alias("family"), "status", "confidence", "reason"))
 
 
 @query("j4_hiss_evidence")
 def j4(spark, d):
-    return noise.hiss_evidence(blocks(spark, d), references(spark, d), RATE, WIN // 2, BLOCK)["decision"]
+    return noise.hiss_evidence(blocks(spark, d), references(spark, d), RATE, WIN // 2, BLOCK, lower=150.0, upper=450.0)["decision"]
 
 
 CRACK = SPIKES + """,
@@ -105,7 +107,7 @@ def spiky(spark, d):
 
 
 @query("e13_crackle_metrics", "with" + CRACK + """ select capture_id, events, repaired, reference_events, round(med, 8) as median_confidence, round(events / (sample_count / 1000.0::double), 8) as events_per_second,
-   round(repaired / (sample_count * 2.0::double), 8) as repaired_share, concat_ws(',', case when events > 4096 then 'event_count_exceeds_bounded_preview' end, case when events < 4 then 'insufficient_conservative_crackle_events' end,
+   round(repaired / (sample_count * 2.0::double), 8) as repaired_share, concat_ws(',', case when events < 4 then 'insufficient_conservative_crackle_events' end,
    case when reference_events < 2 then 'insufficient_noise_reference_crackle_evidence' end, case when events / (sample_count / 1000.0) > 80 then 'crackle_density_exceeds_conservative_limit' end,
    case when repaired / (sample_count * 2.0) > 0.005 then 'proposed_repair_fraction_exceeds_conservative_limit' end) as reasons from ck""")
 def e13(spark, d):

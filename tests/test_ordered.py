@@ -65,33 +65,30 @@ def test_prefix_sum_and_max(spark, chunk):
     assert np.allclose(s, np.cumsum(x)) and np.allclose(m, np.maximum.accumulate(x))
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_exact_quantiles_equal_numpy(spark, small):
+def test_exact_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(5)
     data = {"mixed": np.r_[rng.normal(size=301), np.zeros(40), -rng.exponential(size=77)], "same": np.full(25, -3.5), "one": np.array([2.0])}
     rows = [(k, float(v)) for k, vs in data.items() for v in vs]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r for r in qt.exact_quantiles(df, ["k"], "v", {"a": 0.03, "b": 0.5, "c": 0.9}, count_name="n", small=small).collect()}
-    low = {r.k: r for r in qt.exact_quantiles(df, ["k"], "v", {"a": 0.05, "c": 0.9}, method="lower", small=small).collect()}
+    got = {r.k: r for r in qt.exact_quantiles(df, ["k"], "v", {"a": 0.03, "b": 0.5, "c": 0.9}, count_name="n").collect()}
+    low = {r.k: r for r in qt.exact_quantiles(df, ["k"], "v", {"a": 0.05, "c": 0.9}, method="lower").collect()}
     for k, vs in data.items():
         assert np.allclose([got[k].a, got[k].b, got[k].c], np.percentile(vs, [3, 50, 90])) and got[k].n == len(vs)
         o = np.sort(vs)
         assert low[k].a == o[int((len(o) - 1) * 0.05)] and low[k].c == o[int((len(o) - 1) * 0.9)]
 
 
-@pytest.mark.parametrize("small", [0, 1000])
 @pytest.mark.parametrize("silent", [10, 300])
-def test_silent_windows_are_left_out_unless_too_few_remain(spark, small, silent):
+def test_silent_windows_are_left_out_unless_too_few_remain(spark, silent):
     x = np.r_[np.full(silent, -120.0), np.random.default_rng(9).uniform(-60, -10, 25 if silent == 10 else 15)]
-    r = qt.exact_quantiles(series(spark, x), ["k"], "v", {"a": 0.5}, skip_at_most=-90.0, min_kept=F.greatest(F.lit(20), F.expr("_n div 200")), small=small).first()
+    r = qt.exact_quantiles(series(spark, x), ["k"], "v", {"a": 0.5}, skip_at_most=-90.0, min_kept=F.greatest(F.lit(20), F.expr("_n div 200"))).first()
     kept = x[x > -90]
     assert np.isclose(r.a, np.median(kept if kept.size >= 20 else x))
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_median_and_mad(spark, small):
+def test_median_and_mad(spark):
     x = np.random.default_rng(6).normal(size=99)
-    r = qt.median_mad(series(spark, x), ["k"], "v", "c", "m", "n", small=small).first()
+    r = qt.median_mad(series(spark, x), ["k"], "v", "c", "m", "n").first()
     assert np.isclose(r.c, np.median(x)) and np.isclose(r.m, np.median(np.abs(x - np.median(x)))) and r.n == 99
 
 

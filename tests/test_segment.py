@@ -91,11 +91,30 @@ def test_infeasible_count_keeps_what_fits():
     assert [g["ix"] for g in got] == [0]
 
 
-def test_sides_are_split_before_tracks():
-    pts = [{"cut": c, "start": c - 1, "end": c + 1, "score": s, "ix": i} for i, (c, s) in enumerate([(20.0, 0.6), (50.0, 0.9), (81.0, 0.6)])]
-    got = choice.choose_boundaries(pts, 0.0, 100.0, 4, [20.0, 30.0, 31.0, 19.0], ["A", "A", "B", "B"], 5.0)
-    assert [g["ix"] for g in got] == [0, 1, 2]
-    assert choice.side_runs(["A", "B", "A"], 3) == []
+def test_sides_are_split_before_tracks(spark):
+    pts = [("c", float(i), c, c - 1, c + 1, s) for i, (c, s) in enumerate([(20.0, 0.6), (50.0, 0.9), (81.0, 0.6)])]
+    cands = spark.createDataFrame(
+        [p for k in "cde" for p in [(k, *q[1:]) for q in pts]],
+        "capture_id string, cut_ix double, cut_seconds double, start_seconds double, end_seconds double, score double")
+    params = spark.createDataFrame(
+        [("c", 0.0, 100.0, 4, [20.0, 30.0, 31.0, 19.0], ["A", "a ", "B", "B"]), ("d", 0.0, 100.0, 4, None, None), ("e", 0.0, 100.0, 3, None, ["A", "B", "A"]),
+         ("f", 0.0, 100.0, 2, None, None)],
+        "capture_id string, core_start double, core_end double, track_count int, durations array<double>, sides array<string>")
+    got = {}
+    for r in choice.choose_exact_count(cands, params, 1000, 5.0).orderBy("capture_id", "boundary").collect():
+        got.setdefault(r.capture_id, []).append((round(r.cut_seconds, 3), r.measured))
+    assert [m for _, m in got["c"]] == [True] * 3 and [round(c) for c, _ in got["c"]] == [20, 50, 81]
+    assert len(got["d"]) == 3 and len(got["e"]) == 2 and got["f"] == [(50.0, False)]
+    spans = params.select("capture_id", choice.side_spans(F.col("sides"), F.col("track_count")).alias("s"))
+    assert {r.capture_id: r.s and [tuple(x) for x in r.s] for r in spans.collect()} == {"c": [(0, 2), (2, 4)], "d": None, "e": None, "f": None}
+
+
+def test_fallback_measures_from_the_cut():
+    """Two long gaps hold the first target; the one whose cut is nearer is taken, whatever its gap reaches over."""
+    pts = [{"cut": 3.0, "start": 2.9, "end": 8.0, "score": 0.5, "ix": 0}, {"cut": 6.0, "start": 5.9, "end": 6.1, "score": 0.5, "ix": 1}]
+    got = choice.choose_points(pts, 0.0, 9.0, 9, None, 2.9)
+    near = lambda c: min(abs(c - k) for k in range(1, 9))
+    assert all(near(g["cut"]) <= 1e-9 for g in got) and len(got) == 2
 
 
 def test_targets_keep_their_distance(spark):
