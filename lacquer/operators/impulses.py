@@ -26,6 +26,7 @@ def derivatives(samples: DataFrame, keys: list[str], chunk: int = CHUNK) -> Data
 # Fixed values of event detection.
 CLIP_PADDING = 16
 MAX_EVENT = 128
+MAX_IMPULSE = 16
 MIN_IMPULSE_CONFIDENCE = 0.15
 HALO = 1024
 
@@ -42,12 +43,13 @@ def group_events(flagged: DataFrame, keys: list[str], max_gap: int = 0, chunk: i
 
 def clipped_runs(
     samples: DataFrame, keys: list[str], full_scale: float = 1.0, ratio: float = 0.9999,
-    max_gap: int = 16, max_length: int = MAX_EVENT, chunk: int = CHUNK,
+    max_gap: int = 16, chunk: int = CHUNK,
 ) -> DataFrame:
-    """Runs at full scale, bridging up to `max_gap` samples; runs longer than `max_length` are refused."""
+    """Runs at full scale, bridging up to `max_gap` samples. Long ones stay events; event_records() says which can be
+    repaired."""
     hot = samples.where(F.abs("amp") >= full_scale * ratio)
     scored = hot.withColumn("score", F.least(F.lit(1.0), F.abs("amp") / full_scale))
-    return group_events(scored, keys, max_gap, chunk).where(F.col("end_ix") - F.col("start_ix") <= max_length)
+    return group_events(scored, keys, max_gap, chunk)
 
 
 def merge_channels(events: DataFrame, keys: list[str] = ["capture_id"]) -> DataFrame:
@@ -131,9 +133,10 @@ def impulse_scores(x: np.ndarray, sigma: float = 10.0, window: int = 65, min_rat
 
 
 def impulse_events(
-    blocks: DataFrame, halo: int = HALO, max_length: int = 16, sigma: float = 10.0, min_ratio: float = 0.25
+    blocks: DataFrame, halo: int = HALO, sigma: float = 10.0, min_ratio: float = 0.25
 ) -> DataFrame:
-    """Impulses per channel from the block table; an event belongs to the block that owns its peak."""
+    """Impulses per channel from the block table; an event belongs to the block that owns its peak. Those over
+    MAX_IMPULSE samples stay events that cannot be repaired."""
 
     def scan(batches):
         for pdf in batches:
@@ -142,7 +145,7 @@ def impulse_events(
                 score = impulse_scores(np.asarray(r.samples), sigma, min_ratio=min_ratio)
                 hit = np.flatnonzero(score)
                 for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
-                    if not run.size or run.size > max_length:
+                    if not run.size:
                         continue
                     peak = run[np.argmax(score[run])]
                     if r.own_start <= r.first_sample + peak < r.own_end:
@@ -186,6 +189,7 @@ def event_records(events: DataFrame, lengths: DataFrame, padding: int = CLIP_PAD
         (F.col("start_frame") >= 1) & (F.col("end_frame") < F.col("sample_count"))
         & (F.col("start_frame") <= F.col("peak_ix")) & (F.col("peak_ix") < F.col("end_frame"))
         & (F.col("end_frame") - F.col("start_frame") <= MAX_EVENT)
+        & ((F.col("kind") != "impulse") | (F.col("end_ix") - F.col("start_ix") <= MAX_IMPULSE))
     )
     ident = event_id(
         F.sha2("capture_id", 256), F.col("kind"), F.col("start_frame"), F.col("end_frame"), F.col("peak_ix"), F.col("channels")

@@ -12,7 +12,6 @@ from ..operators.ordered import coalesce_runs, windowed
 from ..operators.quantiles import exact_quantiles
 from ..session import stage
 
-MAX_CONFIRMATIONS = 16
 
 
 @dataclass(frozen=True)
@@ -55,7 +54,7 @@ def tonal_runs(f: DataFrame, cfg: EndpointConfig) -> DataFrame:
 
 
 def confirmations(f: DataFrame, anchors: DataFrame, rate: int, cfg: EndpointConfig) -> DataFrame:
-    """Transient windows near an anchor whose level jumps by 9 dB: drop at the start, pickup at the end; the first 16."""
+    """Transient windows near an anchor whose level jumps by 9 dB: drop at the start, pickup at the end."""
     q = exact_quantiles(f, ["scope_id"], "derivative_peak", {"_m": 0.5}, method="lower")
     dev = f.join(q, "scope_id").select("scope_id", F.abs(F.col("derivative_peak") - F.col("_m")).alias("_d"))
     limit = q.join(exact_quantiles(dev, ["scope_id"], "_d", {"_mad": 0.5}, method="lower"), "scope_id").select(
@@ -71,7 +70,7 @@ def confirmations(f: DataFrame, anchors: DataFrame, rate: int, cfg: EndpointConf
     far = F.when(F.col("kind") == "needle_drop_candidate", to("proposed_start")).otherwise(to("proposed_end"))
     # Only windows within the radius of two anchors are left here, so a scope's rows are bounded by the radius.
     rows = j.select("scope_id", F.struct(F.col("start_sample").alias("sample"), "kind", far.alias("distance"), F.bround(F.least(F.lit(1.0), F.abs(jump) / 30.0), 9).alias("score")).alias("c"))
-    return rows.groupBy("scope_id").agg(F.slice(F.array_sort(F.collect_list("c")), 1, MAX_CONFIRMATIONS).alias("confirmations"))
+    return rows.groupBy("scope_id").agg(F.array_sort(F.collect_list("c")).alias("confirmations"))
 
 
 def feature_hashes(f: DataFrame) -> DataFrame:

@@ -13,10 +13,12 @@ from ..operators.ordered import coalesce_runs
 from ..session import stage
 
 
-def scan_events(blocks: DataFrame, lengths: DataFrame, most: int = 5000, full_scale: float = 1.0) -> dict[str, DataFrame]:
-    """Clipped runs and impulses of every capture, the best `most` per capture, and what was found and kept.
+def scan_events(blocks: DataFrame, lengths: DataFrame, music: DataFrame, full_scale: float = 1.0) -> dict[str, DataFrame]:
+    """All clipped runs and impulses of every capture, a summary, what the scan covered of the music, and records
+    whose bounds or identity do not hold (none, unless a stage was damaged).
 
-    blocks: the block table, blocks at least 1024 samples long; lengths: (capture_id, sample_count).
+    blocks: the block table, blocks at least 1024 samples long; lengths: (capture_id, sample_count);
+    music: (capture_id, music_start, music_end).
     """
     flat = blocks.select("capture_id", "channel", "start_sample", F.posexplode(F.transform(
         "samples", lambda x, i: F.when(F.abs(x) >= full_scale * 0.9999, x))).alias("_p", "amp")).where("amp is not null")
@@ -26,8 +28,10 @@ def scan_events(blocks: DataFrame, lengths: DataFrame, most: int = 5000, full_sc
     hits = imp.suppress_near_clips(stage(imp.merge_channels(found)), clips)
     both = clips.withColumn("kind", F.lit("clipped")).unionByName(hits.withColumn("kind", F.lit("impulse")))
     records = stage(imp.event_records(both, lengths))
-    kept = stage(imp.top_events(records, most))
-    return {"records": records, "retained": kept, "summary": imp.scan_summary(records, kept)}
+    summary = imp.scan_summary(records, records)
+    reach = blocks.groupBy("capture_id").agg(F.min("start_sample").alias("scan_start"), F.max(F.col("start_sample") + F.col("n")).alias("scan_end"))
+    scans = reach.join(summary.select("capture_id", "detected", "retained"), "capture_id", "left").fillna(0, ["detected", "retained"])
+    return {"records": records, "summary": summary, "ledger": imp.coverage_ledger(scans, music), "invalid": imp.invalid_events(records, lengths)}
 
 
 def repair_events(blocks: DataFrame, retained: DataFrame, decisions: DataFrame, block: int) -> dict[str, DataFrame]:

@@ -49,7 +49,7 @@ def hiss_evidence(blocks: DataFrame, references: DataFrame, rate: int, window: i
 
 def crackle_evidence(blocks: DataFrame, references: DataFrame, scopes: DataFrame, rate: int) -> DataFrame:
     """Conservative impulses (12 sigma, at most 8 samples) in the scope, against those inside the references."""
-    ev = stage(imp.merge_channels(imp.impulse_events(blocks, max_length=8, sigma=12.0, min_ratio=0.35)))
+    ev = stage(imp.merge_channels(imp.impulse_events(blocks, sigma=12.0, min_ratio=0.35).where("end_ix - start_ix <= 8")))
     n = blocks.groupBy("capture_id").agg((F.max("channel") + 1).alias("channel_count"))
     ref = references.select("capture_id", F.col("start_sample").alias("start_ix"), F.col("end_sample").alias("end_ix"))
     return nz.crackle_metrics(ev, ref, scopes.join(n, "capture_id"), rate)

@@ -22,7 +22,7 @@ CLIPS = LOUD + """,
 hot as (select *, sample_ix - lag(sample_ix) over (partition by capture_id, channel order by sample_ix) as step from loud where abs(amp) >= 0.9999),
 hg as (select *, sum(case when step is null or step > 17 then 1 else 0 end) over (partition by capture_id, channel order by sample_ix) as g from hot),
 clips as (select capture_id, channel, min(sample_ix) as start_ix, max(sample_ix) + 1 as end_ix, min(sample_ix) as peak_ix, max(abs(amp)) as confidence
-  from hg group by capture_id, channel, g having max(sample_ix) + 1 - min(sample_ix) <= 128)"""
+  from hg group by capture_id, channel, g)"""
 MERGED = CLIPS + """,
 merged as (select capture_id, start_ix, end_ix, min(peak_ix) as peak_ix, max(confidence) as confidence,
   string_agg(cast(channel as varchar), ',' order by channel) as channels from clips group by 1, 2, 3)"""
@@ -39,7 +39,7 @@ len as (select event_type as capture_id, count(*) as sample_count from events gr
 ev as (select *, 'clipped' as kind, 16 as pad from merged union all select *, 'impulse', 0 from spc),
 rec0 as (select e.capture_id, kind, start_ix, end_ix, greatest(0, start_ix - pad) as start_frame, least(sample_count, end_ix + pad) as end_frame,
   peak_ix, channels, round_even(confidence, 8) as confidence, sample_count from ev e join len using (capture_id)),
-rec as (select *, start_frame >= 1 and end_frame < sample_count and peak_ix >= start_frame and peak_ix < end_frame and end_frame - start_frame <= 128 as repairable,
+rec as (select *, start_frame >= 1 and end_frame < sample_count and peak_ix >= start_frame and peak_ix < end_frame and end_frame - start_frame <= 128 and (kind <> 'impulse' or end_ix - start_ix <= 16) as repairable,
   'clk-' || substr(sha256('{"channels":[' || channels || '],"detector":"impulse-scan","end_frame_exclusive":' || end_frame || ',"peak_frame":' || peak_ix
    || ',"source_sha256":"' || sha256(capture_id) || '","start_frame":' || start_frame || ',"type":"' || kind || '"}'), 1, 20) as event_id from rec0),
 top as (select * from (select *, row_number() over (partition by capture_id order by kind = 'clipped' desc, confidence desc, start_frame, event_id desc) as r from rec) where r <= 20)"""

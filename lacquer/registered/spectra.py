@@ -400,15 +400,23 @@ def loud_blocks(spark, d):
     return stage(to_blocks(sig_values(spark, d), BLOCK))
 
 
+def music(n):
+    return n.select("capture_id", F.lit(0).cast("bigint").alias("music_start"), F.col("sample_count").alias("music_end"))
+
+
 @query("j10_scan_events")
 def j10(spark, d):
-    return events.scan_events(loud_blocks(spark, d), lengths(spark, d), 200)["summary"]
+    n = lengths(spark, d)
+    out = events.scan_events(loud_blocks(spark, d), n, music(n))
+    bad = out["invalid"].groupBy("capture_id").agg(F.count(F.lit(1)).alias("invalid"))
+    ledger = out["ledger"].select("capture_id", "music_frames", "scanned_frames", "status")
+    return out["summary"].join(ledger, "capture_id").join(bad, "capture_id", "left").fillna(0, ["invalid"])
 
 
 @query("j11_repair_events")
 def j11(spark, d):
     b = blocks(spark, d)
-    kept = events.scan_events(b, lengths(spark, d), 200)["retained"]
+    kept = events.scan_events(b, lengths(spark, d), music(lengths(spark, d)))["records"]
     dec = kept.select("capture_id", "event_id", F.when(F.col("repairable") & (F.col("kind") == "impulse"), "approved").otherwise("rejected").alias("decision"), F.lit(None).cast("string").alias("protected_class"))
     out = events.repair_events(b, kept, dec, BLOCK)
     n = out["patches"].groupBy("capture_id").agg(F.count(F.lit(1)).alias("patches"), F.sum(F.size("patch")).alias("samples"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..operators.impulses import CLIP_PADDING, HALO, MAX_EVENT, MIN_IMPULSE_CONFIDENCE, impulse_scores
+from ..operators.impulses import CLIP_PADDING, HALO, MAX_EVENT, MAX_IMPULSE, MIN_IMPULSE_CONFIDENCE, impulse_scores
 
 BLOCK_STREAM = "capture_id string, channel int, block_ix bigint, start_sample bigint, samples array<double>, last boolean"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -115,7 +115,7 @@ class EventCarry(InOrder):
         if not last:
             self.keep(x[-min(self.overlap, x.size) :])
         return pd.DataFrame(
-            [(key[0], int(key[1]), "clipped" if c else "impulse", a, b, p, s, b - a <= (MAX_EVENT if c else 16)) for c, s, a, b, p in own],
+            [(key[0], int(key[1]), "clipped" if c else "impulse", a, b, p, s, b - a <= (MAX_EVENT if c else MAX_IMPULSE)) for c, s, a, b, p in own],
             columns=["capture_id", "channel", "kind", "start_ix", "end_ix", "peak_ix", "confidence", "repairable"])
 
 

@@ -39,11 +39,14 @@ def test_impulses_are_found_once_across_block_edges(spark, block):
     assert sorted(r.peak_ix for r in got if r.confidence > 0.5) == at.tolist()
 
 
-def test_clipped_runs_bridge_and_refuse_long_ones(spark):
+def test_clipped_runs_bridge_and_long_ones_stay(spark):
     x = np.zeros(2000)
     x[100:110], x[115:120], x[500:700] = 1.0, -1.0, 1.0
     got = imp.clipped_runs(samples(spark, [x]), ["capture_id", "channel"], chunk=64).collect()
-    assert [(r.start_ix, r.end_ix, r.peak_ix, r.confidence) for r in got] == [(100, 120, 100, 1.0)]
+    assert [(r.start_ix, r.end_ix, r.peak_ix, r.confidence) for r in got] == [(100, 120, 100, 1.0), (500, 700, 500, 1.0)]
+    ev = imp.clipped_runs(samples(spark, [x]), ["capture_id", "channel"], chunk=64).withColumn("kind", F.lit("clipped")).withColumn("channels", F.array("channel"))
+    rec = imp.event_records(ev, spark.createDataFrame([("c", 2000)], "capture_id string, sample_count bigint"))
+    assert {(r.detected_start, r.repairable) for r in rec.collect()} == {(100, True), (500, False)}
 
 
 def test_equal_bounds_merge_over_channels_and_near_clips_win(spark):
@@ -73,8 +76,10 @@ def test_only_approved_windows_change(spark):
     block = 4096
     blocks = to_blocks(samples(spark, [x, x * 0.91]), block)
     n = spark.createDataFrame([("c", x.size)], "capture_id string, sample_count bigint")
-    out = scan_events(blocks, n, most=100)
-    kept = out["retained"].where("confidence > 0.5")
+    music = spark.createDataFrame([("c", 0, x.size)], "capture_id string, music_start bigint, music_end bigint")
+    out = scan_events(blocks, n, music)
+    assert [r.status for r in out["ledger"].collect()] == ["complete"] and out["invalid"].count() == 0
+    kept = out["records"].where("confidence > 0.5")
     assert kept.count() == at.size
     first = kept.agg(F.min("start_frame")).first()[0]
     dec = kept.select("capture_id", "event_id", F.when(F.col("start_frame") == first, "rejected").otherwise("approved").alias("decision"), F.lit(None).cast("string").alias("protected_class"))
