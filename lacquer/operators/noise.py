@@ -1,7 +1,7 @@
 """Stationary-noise evidence, decisions and previews.
 
-Evidence groups are (scope, region, channel); a scope is at most six million frames, so a region holds a few
-hundred windows at most and its medians are plain aggregates.
+Evidence groups are (scope, region, channel). Their medians are exact quantiles, so a region may hold any number of
+windows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import median, median_mad, medians
 from .spectral import TINY, cosine
 from .validate import codes
 
@@ -23,14 +24,14 @@ def spread(c: str):
 
 def hum_evidence(windows: DataFrame, persistence: float = 0.75) -> DataFrame:
     """Medians, persistence, peak spread and persistent harmonics of both mains frequencies per region and channel."""
-    aggs = [F.count(F.lit(1)).alias("windows"), F.median("rms_db").alias("rms_db"), spread("rms_db").alias("rms_spread")]
+    aggs = [F.count(F.lit(1)).alias("windows"), spread("rms_db").alias("rms_spread")]
     for b in (50, 60):
         ok = F.array_contains(f"clear_{b}", 1) & (F.size(f"clear_{b}") >= 2)
         peak = F.when(ok, F.col(f"peak_{b}"))
-        aggs += [F.median(f"score_{b}").alias(f"score_{b}"), F.avg(ok.cast("double")).alias(f"persistence_{b}"),
+        aggs += [F.avg(ok.cast("double")).alias(f"persistence_{b}"),
                  F.coalesce(F.max(peak) - F.min(peak), F.lit(0.0)).alias(f"spread_{b}")]
         aggs += [F.avg(F.array_contains(f"clear_{b}", h).cast("double")).alias(f"_h{b}_{h}") for h in (1, 2, 3, 4)]
-    g = windows.groupBy(*KEY).agg(*aggs)
+    g = windows.groupBy(*KEY).agg(*aggs).join(medians(windows, KEY, ["rms_db", "score_50", "score_60"]), KEY)
     for b in (50, 60):
         g = g.withColumn(f"harmonics_{b}", F.array_compact(F.array(*[F.when(F.col(f"_h{b}_{h}") >= persistence, F.lit(h)) for h in (1, 2, 3, 4)])))
     return g.drop(*[f"_h{b}_{h}" for b in (50, 60) for h in (1, 2, 3, 4)])
@@ -38,26 +39,24 @@ def hum_evidence(windows: DataFrame, persistence: float = 0.75) -> DataFrame:
 
 def rumble_evidence(windows: DataFrame) -> DataFrame:
     return windows.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("windows"), F.median("rms_db").alias("rms_db"), spread("rms_db").alias("rms_spread"),
-        F.median("ratio_db").alias("ratio_db"), spread("ratio_db").alias("ratio_spread"), F.median("share").alias("share"),
-        F.median("flatness").alias("flatness"), F.median("concentration").alias("concentration"),
-        F.avg(F.col("qualifies").cast("double")).alias("persistence"))
+        F.count(F.lit(1)).alias("windows"), spread("rms_db").alias("rms_spread"), spread("ratio_db").alias("ratio_spread"),
+        F.avg(F.col("qualifies").cast("double")).alias("persistence"),
+    ).join(medians(windows, KEY, ["rms_db", "ratio_db", "share", "flatness", "concentration"]), KEY)
 
 
 def hiss_evidence(windows: DataFrame) -> DataFrame:
     """Medians and spreads, the scaled median profile, and the median likeness of the windows to it."""
-    bins = windows.select(*KEY, F.posexplode("profile").alias("bin", "v")).groupBy(*KEY, "bin").agg(F.median("v").alias("v"))
+    bins = median(windows.select(*KEY, F.posexplode("profile").alias("bin", "p")), [*KEY, "bin"], "p", "v")
     prof = bins.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("bin", "v"))).alias("_p"))
     vals = F.transform("_p", lambda x: x["v"])
     total = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
     prof = prof.select(*KEY, F.when(total > TINY, F.transform(vals, lambda x: x / total)).otherwise(vals).alias("median_profile"))
     like = windows.join(prof, KEY).withColumn("_s", cosine(F.col("profile"), F.col("median_profile")))
     agg = like.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("windows"), F.median("rms_db").alias("rms_db"), F.median("high_db").alias("high_db"), spread("high_db").alias("high_spread"),
-        F.median("flatness").alias("flatness"), spread("flatness").alias("flatness_spread"), F.median("concentration").alias("concentration"),
-        F.median("crest").alias("crest"), F.median("sub_spread").alias("sub_spread"), F.median("_s").alias("similarity"),
+        F.count(F.lit(1)).alias("windows"), spread("high_db").alias("high_spread"), spread("flatness").alias("flatness_spread"),
         F.avg(F.col("qualifies").cast("double")).alias("persistence"))
-    return agg.join(prof, KEY)
+    middle = medians(like.withColumnRenamed("_s", "similarity"), KEY, ["rms_db", "high_db", "flatness", "concentration", "crest", "sub_spread", "similarity"])
+    return agg.join(middle, KEY).join(prof, KEY)
 
 
 def decide_hum(evidence: DataFrame) -> DataFrame:
@@ -177,7 +176,6 @@ def crackle_metrics(events: DataFrame, references: DataFrame, scopes: DataFrame,
     """
     from ..functions.hashing import set_hash
     from .intervals import points_in
-    from .quantiles import median
 
     e = events.join(scopes, "capture_id").where((F.col("start_ix") >= F.col("scope_start") + 1) & (F.col("end_ix") < F.col("scope_end")))
     hit = points_in(e.select("capture_id", "peak_ix"), references, ["capture_id"], "peak_ix", how="left_semi").groupBy("capture_id").agg(F.count(F.lit(1)).alias("reference_events"))
@@ -207,7 +205,7 @@ def fit_lines(cut: DataFrame, frequencies: list[float], rate: int) -> DataFrame:
         return pd.Series(out)
 
     per = cut.select("capture_id", "channel", F.posexplode(fit("samples", "start_ix")).alias("k", "v"))
-    med = per.groupBy("capture_id", "channel", "k").agg(F.median("v").alias("v"))
+    med = median(per, ["capture_id", "channel", "k"], "v", "v")
     n = len(frequencies)
     freq = F.element_at(F.array(*[F.lit(float(f)) for f in frequencies]), (F.col("k") % n + 1).cast("int"))
     cos = F.max(F.when(F.col("k") < n, F.col("v")))
@@ -262,7 +260,7 @@ def reference_psd(frames: DataFrame) -> DataFrame:
         return xs.map(lambda x: (np.abs(np.fft.rfft(np.asarray(x) * np.sqrt(np.hanning(len(x))))) ** 2).tolist())
 
     bins = frames.select("capture_id", "channel", F.posexplode(power("samples")).alias("bin", "p"))
-    med = bins.groupBy("capture_id", "channel", "bin").agg(F.median("p").alias("p"))
+    med = median(bins, ["capture_id", "channel", "bin"], "p", "p")
     return med.groupBy("capture_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "p"))), lambda x: x["p"]).alias("psd"))
 
 
@@ -323,7 +321,6 @@ def loudness_match(overlaid: DataFrame, window: int, floor_db: float = -55.0, mo
 
     overlaid: (capture_id, sample_ix, original, amp). Windows are counted per capture with exact quantiles.
     """
-    from .quantiles import median_mad
 
     w = overlaid.groupBy("capture_id", F.expr(f"sample_ix div {window}").alias("win_ix")).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("original") ** 2)).alias("a"), F.sqrt(F.avg(F.col("amp") ** 2)).alias("b"))

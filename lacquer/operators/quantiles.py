@@ -104,6 +104,15 @@ def median(df: DataFrame, keys: Sequence[str], value: str, name: str, count_name
     return exact_quantiles(df, keys, value, {name: 0.5}, count_name=count_name)
 
 
+def medians(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per key with the exact median of each named column, all from one pass over (key, column, value)."""
+    keys = list(keys)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_x")) for i, v in enumerate(values))))
+    long = df.select(*keys, each.alias("_e")).select(*keys, "_e._which", "_e._x")
+    got = median(long, [*keys, "_which"], "_x", "_m")
+    return got.groupBy(*keys).agg(*(F.max(F.when(F.col("_which") == i, F.col("_m"))).alias(v) for i, v in enumerate(values)))
+
+
 def median_mad(df: DataFrame, keys: Sequence[str], value: str, center: str, mad: str, count_name: str) -> DataFrame:
     """Median and median absolute deviation: a second pass measures the distances from the first pass's median."""
     keys = list(keys)
