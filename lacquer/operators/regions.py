@@ -44,12 +44,17 @@ def coalesce_overlaps(regions: DataFrame, wide: int = 1 << 20) -> DataFrame:
     return runs.select("scope_id", F.col("start_ix").alias("start_sample"), F.col("end_ix").alias("end_sample"))
 
 
-def tiles(ranges: DataFrame, size: int, hop: int | None = None, force_last: bool = False) -> DataFrame:
-    """Full windows of `size` at every `hop`; with `force_last` one more ends exactly at the range's end."""
+def tiles(ranges: DataFrame, size: int, hop: int | None = None, force_last: bool = False, chunk: int = 4096) -> DataFrame:
+    """Full windows of `size` at every `hop`; with `force_last` one more ends exactly at the range's end.
+
+    Tiles are numbered chunk by chunk, so no row holds all tiles of a long range. A range shorter than a tile has none.
+    """
     hop = hop or size
     last = F.col("end_sample") - size
-    starts = F.when(last >= F.col("start_sample"), F.sequence(F.col("start_sample"), last, F.lit(hop).cast("bigint")))
-    if force_last:
-        starts = F.array_union(starts, F.array(last))
-    out = ranges.withColumn("tile_start", F.explode(starts))
+    room = last - F.col("start_sample")
+    count = F.expr(f"cast(({'ceil' if force_last else 'floor'}((end_sample - {size} - start_sample) / {hop})) as bigint)") + 1
+    out = ranges.where(room >= 0).withColumn("_n", count)
+    out = out.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {chunk}"))))
+    out = out.withColumn("_i", F.explode(F.sequence(F.col("_k") * chunk, F.least(F.col("_n"), (F.col("_k") + 1) * chunk) - 1)))
+    out = out.withColumn("tile_start", F.least(last, F.col("start_sample") + F.col("_i") * hop)).drop("_n", "_k", "_i")
     return out.withColumn("tile_end", F.col("tile_start") + size)

@@ -136,7 +136,7 @@ def summarize(rows: DataFrame, cfg: SpeedConfig, safety: DataFrame | None = None
 
 
 def rpm_hypotheses(estimates: DataFrame, factor: str = "center_factor") -> DataFrame:
-    """Up to eight nominal speed pairs that explain the factor with a fine factor in 0.90..1.10, nearest first."""
+    """All nominal speed pairs that explain the factor with a fine factor in 0.90..1.10, nearest first."""
     pairs = [("same-nominal-speed-unspecified", None, None, 1.0)]
     for a in NOMINAL_RPM:
         for b in NOMINAL_RPM:
@@ -151,7 +151,7 @@ def rpm_hypotheses(estimates: DataFrame, factor: str = "center_factor") -> DataF
         for label, a, b, c in pairs
     ])
     fit = F.filter(options, lambda o: o["fine_factor"].between(0.90, 1.10))
-    best = F.slice(F.array_sort(fit), 1, 8)
+    best = F.array_sort(fit)
     out = estimates.where(f.between(0.25, 2.0)).select("project_id", F.posexplode(best).alias("_r", "h"))
     return out.select(
         "project_id", (F.col("_r") + 1).alias("rank"), "h.nominal_pair", "h.capture_rpm", "h.intended_rpm",

@@ -13,14 +13,15 @@ from ..session import stage
 
 
 def evidence_windows(references: DataFrame, scopes: DataFrame, window: int) -> DataFrame:
-    """Full windows of the reference regions, and of the program: what the scope holds outside them.
+    """Windows of the reference regions, and of the program: what the scope holds outside them. The last window of a
+    region ends with it, so every sample of a region that holds a window is measured.
 
     references: (capture_id, label, start_sample, end_sample); scopes: (capture_id, scope_start, scope_end).
     """
     ref = references.select("capture_id", F.col("label").alias("region"), F.lit("reference").alias("role"), "start_sample", "end_sample")
     hole = rg.complement(references.withColumnRenamed("capture_id", "scope_id"), scopes.withColumnRenamed("capture_id", "scope_id"))
     prog = hole.select(F.col("scope_id").alias("capture_id"), F.lit("program").alias("region"), F.lit("program").alias("role"), "start_sample", "end_sample")
-    t = rg.tiles(ref.unionByName(prog), window)
+    t = rg.tiles(ref.unionByName(prog), window, window, True)
     return t.select("capture_id", "region", "role", F.col("tile_start").alias("start_ix"), F.col("tile_end").alias("end_ix"))
 
 
@@ -40,7 +41,7 @@ def hiss_evidence(blocks: DataFrame, references: DataFrame, rate: int, window: i
                   lower: float = 6000.0, upper: float = 18000.0) -> dict[str, DataFrame]:
     """Reference windows only, in the band from `lower` to `upper` Hz; a clipped sample anywhere in the capture invalidates it."""
     ref = references.select("capture_id", F.col("label").alias("region"), F.lit("reference").alias("role"), "start_sample", "end_sample")
-    t = rg.tiles(ref, window).select("capture_id", "region", "role", F.col("tile_start").alias("start_ix"), F.col("tile_end").alias("end_ix"))
+    t = rg.tiles(ref, window, window, True).select("capture_id", "region", "role", F.col("tile_start").alias("start_ix"), F.col("tile_end").alias("end_ix"))
     cut = sx.cut_windows(blocks, t, block, ["region", "role"])
     ev = stage(nz.hiss_evidence(stage(sx.measured(cut, sx.hiss_features(rate, lower, upper), sx.HISS_SCHEMA))))
     clipped = blocks.groupBy("capture_id").agg(F.max(F.exists("samples", lambda x: F.abs(x) >= clipping)).alias("clipped"))
@@ -58,7 +59,7 @@ def crackle_evidence(blocks: DataFrame, references: DataFrame, scopes: DataFrame
 def preview_hum(samples: DataFrame, blocks: DataFrame, references: DataFrame, scopes: DataFrame, frequencies: list[float], rate: int,
                 window: int, block: int, fade: int) -> dict[str, DataFrame]:
     """Fit the lines on the references, subtract them in the scope, and report what was removed."""
-    ref = rg.tiles(references, window).select("capture_id", F.col("tile_start").alias("start_ix"), F.col("tile_end").alias("end_ix"))
+    ref = rg.tiles(references, window, window, True).select("capture_id", F.col("tile_start").alias("start_ix"), F.col("tile_end").alias("end_ix"))
     lines = stage(nz.fit_lines(sx.cut_windows(blocks, ref, block, []), frequencies, rate))
     out = stage(nz.remove_lines(samples, lines, scopes, rate, fade))
     return {"lines": lines, "samples": out, "metrics": nz.removal_metrics(out), "loudness": nz.loudness_match(out, window)}

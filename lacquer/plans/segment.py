@@ -9,6 +9,7 @@ from ..config import SegmentSettings
 from ..functions.levels import seconds_to_sample
 from ..operators import choice, envelope, gaps
 from ..operators import tracks as tr
+from ..operators import validate as va
 from ..session import stage
 
 
@@ -40,6 +41,21 @@ def segment_captures(samples: DataFrame, captures: DataFrame, cfg: SegmentSettin
     }
 
 
+def segment_admitted(samples: DataFrame, captures: DataFrame, metadata: DataFrame, cfg: SegmentSettings) -> dict[str, DataFrame]:
+    """segment_captures() for the captures that pass admission; the samples of the others are never looked at.
+
+    metadata: what admission() reads, with capture_id. `rejected` has the other captures with their reasons; a capture
+    without metadata is rejected too.
+    """
+    judged = va.admission(metadata).select("capture_id", "reasons")
+    judged = captures.select("capture_id").join(judged, "capture_id", "left").withColumn(
+        "reasons", F.coalesce("reasons", F.array(F.lit("capture_metadata_missing"))))
+    judged = stage(judged)
+    good = judged.where(F.size("reasons") == 0).select("capture_id")
+    out = segment_captures(samples.join(good, "capture_id", "left_semi"), captures.join(good, "capture_id", "left_semi"), cfg)
+    return {**out, "rejected": judged.where(F.size("reasons") > 0)}
+
+
 def refit_topology(
     release: DataFrame, music: DataFrame, cands: DataFrame, rate: int, minimum_seconds: float, previous: DataFrame
 ) -> dict[str, DataFrame]:

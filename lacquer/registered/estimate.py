@@ -9,6 +9,7 @@ from ..functions.hashing import ordered_hash
 from ..operators import consensus as con
 from ..operators import speed as sp
 from ..operators.quantiles import exact_quantiles, median_mad
+from ..plans import identify
 from .common import digest_sql, query
 
 CFG = sp.SpeedConfig()
@@ -98,7 +99,7 @@ pr as (select 'same-nominal-speed-unspecified' as nominal_pair, 1.0::double as c
 @query("g5_rpm_hypotheses", "with" + HYPO + """, f as (select p_partkey as project_id, 0.2::double + p_size * 0.04::double as factor from part where 0.2::double + p_size * 0.04::double between 0.25 and 2.0),
   h as (select project_id, nominal_pair, coarse, factor / coarse as fine, row_number() over (partition by project_id order by abs(ln(factor / coarse)), nominal_pair) as rank
    from f, pr where factor / coarse between 0.90 and 1.10)
-  select project_id, cast(rank as integer) as rank, nominal_pair, round(coarse, 9) as coarse_factor, round(fine, 9) as fine_factor from h where rank <= 8""")
+  select project_id, cast(rank as integer) as rank, nominal_pair, round(coarse, 9) as coarse_factor, round(fine, 9) as fine_factor from h""")
 def g5(spark, d):
     f = table(spark, d, "part").select(F.col("p_partkey").alias("project_id"), (0.2 + F.col("p_size") * 0.04).alias("center_factor"))
     out = sp.rpm_hypotheses(f).select("project_id", "rank", "nominal_pair", "coarse_factor", "fine_factor")
@@ -156,6 +157,28 @@ def j6(spark, d):
     return r6(out.drop("proposed_factor", "lower", "upper"), "center_factor", "dispersion")
 
 
+@query("j6_guarded_speed", "with" + SPEED + """,
+sf as (select o_orderkey as project_id, concat_ws(',', case o_orderkey % 7 when 0 then 'reference_duration_independence_unconfirmed' when 1 then 'reference_durations_not_independent' end,
+   case o_orderkey % 5 when 0 then 'boundary_review_evidence_stale' when 1 then 'boundary_review_evidence_missing' end,
+   case o_orderkey % 11 when 0 then 'release_metadata_mismatch' when 1 then 'project_release_metadata_missing' end) as safe from orders),
+e3 as (select e2.*, concat_ws(',', nullif(safe, ''), nullif(reasons, '')) as why from e2 join sf using (project_id))
+select project_id, tracks, sides, case when why = '' then 'proposed' else 'abstained' end as status, case when why <> '' then 'none' when high then 'high' else 'medium' end as confidence,
+   round(exp(center), 8) as center_factor, why as reasons, (select count(*) from pr where exp(center) between 0.25 and 2.0 and exp(center) / coarse between 0.90 and 1.10) as hypotheses from e3""".replace("e3 as", HYPO.strip() + ",\ne3 as", 1))
+def j6_guarded(spark, d):
+    p, r = project_and_reference(spark, d)
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(k.alias("project_id"))
+    k = F.col("project_id")
+    status = o.select(k, F.when(k % 5 == 0, "stale").when(k % 5 == 1, "missing").otherwise("current").alias("status"))
+    free = o.select(k, F.when(k % 7 == 1, False).when(k % 7 != 0, True).alias("independent"))
+    project = o.select(k, F.when(k % 11 == 1, "").otherwise("An Artist").alias("artist"), F.lit(None).cast("string").alias("album_artist"), F.lit("Album").alias("album"))
+    other = o.select(k, F.when(k % 11 == 0, "Other").otherwise("an  artist").alias("artist"), F.lit("album").alias("album"))
+    out = identify.estimate_speeds(p, r, status, free, sp.release_identity(project, other), CFG)
+    n = out["hypotheses"].groupBy("project_id").agg(F.count("*").alias("hypotheses"))
+    e = out["estimates"].join(n, "project_id", "left").fillna(0, ["hypotheses"]).withColumn("reasons", F.array_join("reasons", ","))
+    return r6(e.select("project_id", "tracks", "sides", "status", "confidence", "center_factor", "reasons", "hypotheses"), "center_factor")
+
+
 RANGES = TRACKS + """,
 rg as (select project_id, """ + digest_sql("sha256(number || chr(10) || number || ':' || start_sample || ':' || end_sample)") + """ as h from tracks group by 1)"""
 
@@ -233,7 +256,7 @@ def f18(spark, d):
     return out.select("album", "release", "rank", "margin")
 
 
-@query("j7_identify_release", "with" + OBS + """,
+J7 = "with" + OBS + """,
   cl as (select s.* from sc s join fc f using (album, release) where not f.conflict),
   rk as (select *, row_number() over w as rank, round(evidence - lead(evidence) over w, 9) as margin from cl window w as (partition by album order by evidence desc, tracks desc, sides desc, release)),
   cf as (select album, count(*) filter (conflict) as nc from fc group by 1),
@@ -244,7 +267,10 @@ def f18(spark, d):
   select album, status, margin, release as top_ranked, case when status = 'proposed' then release end as selected,
    case status when 'abstained' then 'none' when 'ambiguous' then 'low' else case when coverage >= 0.75 and mean_score >= 0.9 and sides = total_sides and (margin is null or margin >= 0.15) then 'high' else 'medium' end end as confidence,
    case when nc > 0 then 'conflicting_network_release_facts_require_review' when release is null then 'no_consistent_exact_release_candidates' when low <> '' then low
-     when margin < 0.10 then 'top_release_candidates_are_not_separated' else 'cross_track_release_consensus_requires_owner_review' end as reasons from d2""")
+     when margin < 0.10 then 'top_release_candidates_are_not_separated' else 'cross_track_release_consensus_requires_owner_review' end as reasons from d2"""
+
+
+@query("j7_identify_release", J7)
 def j7(spark, d):
     o = observations(spark, d)
     totals = con.album_totals(o)
@@ -252,6 +278,22 @@ def j7(spark, d):
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
+@query("j7_guarded_identity", "with j7 as (" + J7 + """), now as (select l_suppkey as album, l_returnflag as side, l_linenumber as track from lineitem where l_suppkey % 7 <> 3 or l_linenumber <> 6),
+  stale as (select distinct l_suppkey as album, 'unknown_track' as reason from lineitem l where not exists (select 1 from now where album = l_suppkey and side = l_returnflag and track = l_linenumber)),
+  many as (select l_suppkey as album, 'too_many_release_references' as reason from lineitem group by 1 having sum(case when l_suppkey % 7 = 4 then 500 else 1 end) > 32768),
+  bad as (select album, string_agg(reason, ',' order by reason) as reasons from (select * from stale union all select * from many) group by 1)
+  select album, status, top_ranked, selected, confidence, reasons from j7 where album not in (select album from bad)
+  union all select album, 'refused', null, null, 'none', reasons from bad""")
+def j7_guarded(spark, d):
+    o = observations(spark, d).withColumns({
+        "references": F.when(F.col("album") % 7 == 4, 500).otherwise(1).cast("bigint"), "bytes": F.lit(100).cast("bigint")})
+    now = o.where("album % 7 <> 3 or track <> 6").groupBy("album", "side", "track").agg(F.lit(1).alias("kept")).withColumn("kept", F.lit(1))
+    out = identify.identify_releases(o.withColumn("kept", F.lit(1)), now, ["kept"], FIELDS, con.ConsensusConfig())
+    said = out["decisions"].select("album", "status", "top_ranked", "selected", "confidence", F.array_join("reasons", ",").alias("reasons"))
+    refused = out["refused"].select("album", F.lit("refused").alias("status"), F.lit("none").alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
+    return said.unionByName(refused, allowMissingColumns=True)
+
+
 @query("j7_pressing_gaps", "with" + OBS + """, cl as (select s.*, f.country from sc s join fc f using (album, release) where not f.conflict),
   rk as (select *, row_number() over (partition by album order by evidence desc, tracks desc, sides desc, release) as rank from cl)
   select a.album, r.release, case when coalesce(r.country, '') = '' then 'country,' else '' end || 'date,label,catalog_number,barcode,media_formats,matrix_runout' as missing

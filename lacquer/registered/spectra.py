@@ -9,6 +9,7 @@ from ..operators import impulses as imp
 from ..operators import noise as nz
 from ..operators import points
 from ..operators import spectral as sx
+from ..operators.regions import tiles
 from ..plans import endpoints, evidence, events, noise
 from ..sources.blocks import to_blocks
 from ..session import stage
@@ -273,8 +274,8 @@ def f13(spark, d):
 
 def requests(spark, d):
     n = extent(spark, d)
-    r = n.select("capture_id", "sample_count", F.explode(F.expr("sequence(0l, (sample_count - 600) div 600)")).alias("k"))
-    return r.select("capture_id", F.concat_ws("-", "capture_id", "k").alias("request_id"), (F.col("k") * 600).alias("start_ix"), (F.col("k") * 600 + 600).alias("end_ix"))
+    r = n.select("capture_id", "sample_count", F.explode(F.expr("sequence(0l, (sample_count - 1) div 600)")).alias("k"))
+    return r.select("capture_id", F.concat_ws("-", "capture_id", "k").alias("request_id"), (F.col("k") * 600).alias("start_ix"), F.least("sample_count", F.col("k") * 600 + 600).alias("end_ix"))
 
 
 def evidence_of(spark, d):
@@ -299,8 +300,9 @@ def i16(spark, d):
     return f.select("request_id", F.explode("transients").alias("t")).select("request_id", "t.*")
 
 
-@query("j17_evidence_window", "with" + SIG + """, r as (select *, sample_ix // 600 as k, count(*) over (partition by capture_id) as n from sig), q as (select capture_id || '-' || k as request_id, sample_ix % 600 as i, amp from r where (k + 1) * 600 <= n),
-  g as (select request_id, amp, i, ((i + 1) * 240 - 1) // 600 as g from q), b as (select request_id, amp, case when i < floor(g * 2.5::double) then g - 1 when i >= case when g + 1 >= 240 then 600 else floor((g + 1) * 2.5::double) end then g + 1 else g end as bucket from g)
+@query("j17_evidence_window", "with" + SIG + """, r as (select *, sample_ix // 600 as k, count(*) over (partition by capture_id) as n from sig), q as (select capture_id || '-' || k as request_id, sample_ix % 600 as i, amp, least(600, n - k * 600) as m from r),
+  g as (select request_id, amp, i, m, ((i + 1) * 240 - 1) // m as g, m / 240.0::double as st from q),
+  b as (select request_id, amp, case when m <= 240 then i when i < floor(g * st) then g - 1 when i >= case when g + 1 >= 240 then m else floor((g + 1) * st) end then g + 1 else g end as bucket from g)
   select request_id, 0 as channel, cast(bucket as bigint) as bucket, round(min(amp), 9) as lo, round(max(amp), 9) as hi, round(sqrt(avg(amp * amp)), 9) as rms from b group by all""")
 def j17(spark, d):
     return evidence_of(spark, d)["waveform"].select("request_id", "channel", "bucket", *[F.round(c, 9).alias(c) for c in ("lo", "hi", "rms")])
@@ -364,14 +366,14 @@ def i12(spark, d):
 
 @query("e30_reference_psd")
 def e30(spark, d):
-    t = references(spark, d).select("capture_id", F.col("start_sample").alias("start_ix"), (F.col("start_sample") + 128).alias("end_ix"))
+    t = tiles(references(spark, d), 128, 128, True).select("capture_id", F.col("tile_start").alias("start_ix"), F.col("tile_end").alias("end_ix"))
     return flat_text(nz.reference_psd(sx.cut_windows(blocks(spark, d), t, BLOCK, [])))
 
 
 BANDS = SIG + """,
 nn as (select event_type as capture_id, count(*) as n from events group by 1),
 rg as (select capture_id, 'lead_in' as region, 0 as a, n // 5 as b from nn union all select capture_id, 'program', n // 5, n - n // 5 from nn union all select capture_id, 'lead_out', n - n // 5, n from nn),
-wn as (select capture_id, region, unnest(range(a, b - 250 + 1, 250)) as start_ix from rg),
+wn as (select capture_id, region, unnest(range(a, b - 250 + 1, 250)) as start_ix from rg union select capture_id, region, b - 250 from rg where b - a >= 250),
 sp as (select w.capture_id, region, start_ix, sample_ix - start_ix as i, amp * (0.5 - 0.5 * cos(2 * pi() * (sample_ix - start_ix) / 249.0::double)) as x from wn w join sig s on s.capture_id = w.capture_id and sample_ix >= start_ix and sample_ix < start_ix + 250),
 ft as (select capture_id, region, start_ix, k, pow(sum(x * cos(2 * pi() * k * i / 250.0::double)), 2) + pow(sum(x * sin(2 * pi() * k * i / 250.0::double)), 2) as p from sp, (select unnest(range(2, 41)) as k) group by all)"""
 

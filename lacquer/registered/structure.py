@@ -9,7 +9,7 @@ from ..functions import levels as lv
 from ..operators import choice
 from ..operators import tracks as tr
 from ..session import stage
-from ..plans.segment import refit_topology, segment_captures
+from ..plans.segment import refit_topology, segment_admitted, segment_captures
 from .common import query
 from .signal import CAND, CFG, candidates_of, durations, rounded
 
@@ -48,6 +48,21 @@ def j1(spark, d):
     return rounded(out, "confidence", places=8)
 
 
+@query("j1_admitted_segments", "with recursive" + JOINED + """ select capture_id, number, start_sample, end_sample, confidence, null::varchar as refused from tk where end_sample is not null and capture_id[1] <> 'c'
+  union all select capture_id, null, null, null, null, 'container_not_supported,codec_container_not_supported' from dur where capture_id[1] = 'c'""")
+def j1_admitted(spark, d):
+    n = durations(spark, d)
+    mp3 = F.substring("capture_id", 1, 1) == "c"
+    meta = n.select(
+        "capture_id", F.when(mp3, "a.mp3").otherwise("a.wav").alias("filename"), F.when(mp3, "mp3").otherwise("pcm_s16le").alias("codec_name"),
+        F.lit(44100).alias("sample_rate"), F.lit(2).alias("channels"), F.lit(16).alias("bits_per_raw_sample"), "duration_seconds",
+        F.lit(1000).cast("bigint").alias("size_bytes"), F.bround(F.col("duration_seconds") * 44100).cast("bigint").alias("sample_count"))
+    out = segment_admitted(sig(spark, d), n, meta, AUTO_CFG)
+    tracks = rounded(out["tracks"], "confidence", places=8).withColumn("refused", F.lit(None).cast("string"))
+    refused = out["rejected"].select("capture_id", F.array_join("reasons", ",").alias("refused"))
+    return tracks.unionByName(refused, allowMissingColumns=True).select("capture_id", "number", "start_sample", "end_sample", "confidence", "refused")
+
+
 @query("f15_build_tracks", """with s as (select l_orderkey, max(l_partkey) + 100 as hi, min(l_partkey) as lo from lineitem group by 1),
   m as (select l.l_orderkey, greatest(lo + 1, least(hi - 1, l_partkey)) as pos, max(l_discount) as sc from lineitem l join s using (l_orderkey) group by 1, 2
    union all select l_orderkey, lo, 1.0 from s union all select l_orderkey, hi, 1.0 from s),
