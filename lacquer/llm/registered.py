@@ -24,7 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op5_substring_dedup")
+OP5 = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (
+  select doc_id, k, array_to_string(ws[k:k + 19], ' ') as s
+  from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as k from w where len(ws) >= 20)
+), later as (
+  select doc_id, k from (select *, row_number() over (partition by s order by doc_id, k) as r from win) where r > 1
+), gone as (select distinct doc_id, k + j as p from later, (select unnest(range(0, 20)) as j)),
+words as (select doc_id, unnest(ws) as x, generate_subscripts(ws, 1) as p from w),
+kept as (
+  select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by 1
+)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
+
+
+@query("op5_substring_dedup", OP5)
 def op5(spark, sf_dir):
     from .substring import remove_repeats
 
@@ -43,7 +60,27 @@ def op6(spark, sf_dir):
     )
 
 
-@query("op10_ngram_jaccard_join")
+OP10 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as ws from documents
+), sh as (
+  select distinct doc_id, s from (
+    select doc_id, array_to_string(ws[k:k + 3], ' ') as s
+    from (select doc_id, ws, unnest(range(1, len(ws) - 2)) as k from w where len(ws) >= 4)
+    union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 3)
+), sizes as (select doc_id, count(*) as n from sh group by 1),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * k >= 85 * (p.n + q.n - k)
+), both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id as a, doc_id as b from w union select a, y from reach join both_ways on b = x)
+select w.doc_id, coalesce(max(n), 0)::bigint as n_shingles, min(b) as component_id
+from w join reach on w.doc_id = a left join sizes on sizes.doc_id = w.doc_id group by w.doc_id
+"""
+
+
+@query("op10_ngram_jaccard_join", OP10)
 def op10(spark, sf_dir):
     from .jaccard import near_components
 
