@@ -22,9 +22,13 @@ from .substring import _slices
 #: Most rows of a cell that meet in one task; larger cells are cut into parts, and every two parts meet.
 CELL = 4096
 FAN = 8
+#: Bytes of bitmaps that a task lays side by side.
+BYTES = 16_000_000
+#: Bytes of text that a task describes at a time.
+SLICE = 3_000_000
 _SEEDS = np.arange(8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Most shingles that count as frequent: with all counts together known, only so many can reach the threshold.
-FREQUENT = 500_000
+FREQUENT = 2_000_000
 
 
 def shingle_sets(data, offsets, width: int):
@@ -81,7 +85,7 @@ def _describe(part, width, percent, frequent):
     flags[base[doc] + (words.mix(token).astype(np.int64) & (bits[doc] - 1))] = 1
     packed = np.packbits(flags, bitorder="little").tobytes()
     maps = pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(packed)])
-    last = np.isin(token, frequent)
+    last = frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token if len(frequent) else np.zeros(len(token), bool)
     order = np.lexsort((token, last, doc))
     rank = np.arange(len(doc)) - at[doc]
     chosen = rank < prefix_size(n, percent)[doc]
@@ -100,7 +104,7 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
 
     def count(batches):
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, SLICE):
                 _, token = shingle_sets(*words.utf8(part.column("__text")), width)
                 token, n = np.unique(token, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -109,10 +113,10 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
 
     counts = stage(rows.select("__text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(64, total // FREQUENT + 1)
+    least = max(8, total // FREQUENT + 1)
     found = counts.where(F.col("n") >= least).select("token").toArrow().column("token")
     unstage(counts)
-    return np.asarray(found.combine_chunks() if found.num_chunks else pa.array([], pa.int64())).astype(np.int64).view(np.uint64)
+    return np.sort(np.asarray(found.combine_chunks() if found.num_chunks else pa.array([], pa.int64())).astype(np.int64).view(np.uint64))
 
 
 def _unpack(maps: list[bytes]) -> np.ndarray:
@@ -132,35 +136,37 @@ def _overlap(maps, x, y):
     return both + min(x - int(np.bitwise_count(one).sum()), y - int(np.bitwise_count(two).sum()))
 
 
-def tree_pairs(n: np.ndarray, maps: list[bytes], percent: int, allowed=None) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(n: np.ndarray, maps: list[bytes], percent: int, comp=None, left=None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sets whose bitmaps and sizes leave the needed overlap possible.
 
-    Nodes of a level are FAN consecutive nodes below; members are laid out by size. `allowed(i, j)` may rule out
-    pairs of members.
+    Nodes of a level are FAN consecutive nodes below, with OR-combined bitmaps, size range and the most shingles that
+    may share bits. Members are laid out by size, those of a large component side by side. Pairs of one component, and
+    pairs without a `left` member, are not wanted: nodes that can give no others are dropped too.
     """
-    order = np.argsort(n, kind="stable")
+    comp = np.arange(len(n)) if comp is None else comp
+    left = np.ones(len(n), bool) if left is None else left.astype(bool)
+    _, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.lexsort((n, np.where(count[which] > FAN, which, -1)))
     size, bits = n[order], _unpack([maps[i] for i in order])
     spare = size - np.bitwise_count(bits).sum(1)
-    levels = [(bits, size, size, spare)]
+    levels = [(bits, size, size, spare, which[order], which[order], left[order])]
     while len(levels[-1][0]) > FAN:
-        b, lo, hi, ex = levels[-1]
-        cut = np.arange(0, len(b), FAN)
-        levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(ex, cut)))
-    top = len(levels[-1][0])
-    i, j = np.triu_indices(top)
+        cut = np.arange(0, len(levels[-1][0]), FAN)
+        ways = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum, np.logical_or)
+        levels.append(tuple(f.reduceat(x, cut) for f, x in zip(ways, levels[-1])))
+    i, j = np.triu_indices(len(levels[-1][0]))
     todo, found = [(len(levels) - 1, i, j)], []
     while todo:
         level, i, j = todo.pop()
-        if len(i) > 200_000:
-            half = len(i) // 2
-            todo += [(level, i[:half], j[:half]), (level, i[half:], j[half:])]
-            continue
-        b, lo, hi, ex = levels[level]
-        keep = (100 * hi[i] >= percent * lo[j]) & (100 * hi[j] >= percent * lo[i])
+        most_pairs = max(256, BYTES // (8 * bits.shape[1] * (FAN if level else 1)))
+        if len(i) > most_pairs:
+            todo += [(level, i[most_pairs:], j[most_pairs:])]
+            i, j = i[:most_pairs], j[:most_pairs]
+        b, lo, hi, ex, first, last, own = levels[level]
+        keep = (100 * hi[i] >= percent * lo[j]) & (100 * hi[j] >= percent * lo[i]) & (own[i] | own[j])
+        keep &= (first[i] != last[i]) | (first[j] != last[j]) | (first[i] != first[j])
         if level == 0:
             keep &= i < j
-            if allowed is not None:
-                keep &= allowed(order[i], order[j])
         i, j = i[keep], j[keep]
         both = np.bitwise_count(b[i] & b[j]).sum(1).astype(np.int64)
         most = np.minimum(both + np.minimum(ex[i], ex[j]), np.minimum(hi[i], hi[j]))
@@ -170,9 +176,8 @@ def tree_pairs(n: np.ndarray, maps: list[bytes], percent: int, allowed=None) ->
             found.append((order[i], order[j]))
             continue
         below = len(levels[level - 1][0])
-        a = (i[:, None] * FAN + np.arange(FAN))[:, :, None]
-        c = (j[:, None] * FAN + np.arange(FAN))[:, None, :]
-        a, c = np.broadcast_to(a, (len(i), FAN, FAN)).ravel(), np.broadcast_to(c, (len(i), FAN, FAN)).ravel()
+        a = np.repeat(i, FAN * FAN) * FAN + np.tile(np.repeat(np.arange(FAN), FAN), len(i))
+        c = np.repeat(j, FAN * FAN) * FAN + np.tile(np.arange(FAN), FAN * len(j))
         keep = (a < below) & (c < below) & (a <= c)
         todo.append((level - 1, a[keep], c[keep]))
     if not found:
@@ -185,10 +190,7 @@ def _cells(cells: DataFrame, percent: int) -> DataFrame:
 
     def flush(rows):
         group, rep, comp, n, left, maps = rows
-        a, b = tree_pairs(
-            n, maps, percent,
-            lambda i, j: (comp[i] != comp[j]) & (left[i] | left[j]),
-        )
+        a, b = tree_pairs(n, maps, percent, comp, left)
         return rep[a], rep[b]
 
     def run(batches):
@@ -266,7 +268,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, p
 
     def sets(batches):
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, SLICE):
                 ids = part.column("__id")
                 keys = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)
                 part = part.filter(pa.array(sketch.repeated(shared.value, keys, size)))
@@ -312,7 +314,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def describe(batches):
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, SLICE):
                 yield _describe(part, width, percent, frequent.value)
 
     kinds = "__id long, n long, d1 long, d2 long, m0 long, m1 long, m2 long, bits binary, prefix array<long>"
@@ -350,17 +352,19 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         meet.withColumn("own", band)
         .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
         .withColumns({"lo": F.min("comp").over(cell), "hi": F.max("comp").over(cell), "rows": F.count("*").over(cell),
-                      "lefts": F.max(F.col("own") == F.col("band")).over(cell)})
+                      "lefts": F.max(F.col("own") == F.col("band")).over(cell),
+                      "who": F.bit_xor(F.xxhash64("rep")).over(cell), "too": F.bit_xor(F.xxhash64("rep", F.lit(1))).over(cell)})
         .where("lo < hi and lefts")
         .withColumn("parts", F.ceil(F.col("rows") / CELL).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            F.xxhash64("token", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"),
+            F.xxhash64("who", "too", "rows", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"),
             "rep", "comp", "n", (F.col("own") == F.col("band")).alias("left"),
         )
     )
-    meet = stage(meet)
+    # a passage gives many shingles to the same documents: cells with the same members are one
+    meet = stage(meet.distinct())
     cells = meet.join(grouped.select("rep", "bits"), "rep").repartition("g").sortWithinPartitions("g")
     second = stage(_cells(cells.select("g", "rep", "comp", "n", "left", "bits"), percent).distinct())
     more = _verify(second, rows, classes, width, percent)
