@@ -3,7 +3,7 @@
 Pass 1 gives every window a key, the least hash among the 8-word runs in it (neighbouring windows mostly share one),
 and counts the places of keys in partition sketches, which merge by aggregation. Equal windows have their key at the
 same place inside, so a window found twice has a key counted twice: the sketch overestimates and loses none. Pass 2
-groups exactly, by 128-bit hashes of the word sequence, only windows whose key is estimated repeated.
+groups exactly, by 96-bit hashes of the word sequence, only windows whose key is estimated repeated.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             for part in _slices(batch):
                 yield _suspects(part, shared.value, size, width)
 
-    found = rows.mapInArrow(suspects, "ha long, hb long, __id long, __tie long, at int, n int")
+    found = rows.mapInArrow(suspects, "ha long, hb int, __id long, __tie long, at int, n int")
     place = F.struct("__id", "__tie", "at")
     first = F.min(F.when(F.col("n") == 0, place)).over(Window.partitionBy("ha", "hb"))
     return found.withColumn("first", first).where((F.col("n") > 0) | (place > F.col("first"))).select(
@@ -100,7 +100,8 @@ def _suspects(part: pa.RecordBatch, bits: np.ndarray, size: int, width: int) ->
     own = words.whole(firsts, width)
     own = own[sketch.repeated(bits, window_keys(a, width)[0][own], size)] if len(own) else own
     b = words.hashes(data, starts, ends, 7)
-    ha, hb = (words.signed(words.windows(x, width)[own]) for x in (a, b))
+    ha = words.signed(words.windows(a, width)[own])
+    hb = (words.windows(b, width)[own] >> np.uint64(32)).astype(np.uint32).view(np.int32)
     doc = np.searchsorted(firsts, own, "right") - 1
     ids, tie = (np.asarray(part.column(c).fill_null(-(2**63)))[doc] for c in ("__id", "__tie"))
     at = own - firsts[doc]
@@ -116,7 +117,7 @@ def _suspects(part: pa.RecordBatch, bits: np.ndarray, size: int, width: int) ->
     heads = np.flatnonzero(heads)
     lengths = np.diff(np.r_[heads, len(run)])
     take = np.r_[go, run[heads]]
-    spread = words.signed(words.mix((own[run[heads]] + 1).astype(np.uint64)))
+    spread = (words.mix((own[run[heads]] + 1).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     idc = pa.array(ids[take], mask=ids[take] == -(2**63))
     return pa.RecordBatch.from_arrays(
         [
