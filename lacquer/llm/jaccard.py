@@ -186,12 +186,15 @@ def tree_pairs(n: np.ndarray, maps: list[bytes], percent: int, comp=None, left=N
 
 
 def _cells(cells: DataFrame, percent: int) -> DataFrame:
-    """(a, b) candidates of every cell; rows of a cell stand together, a cell may span batches."""
+    """(a, b) candidates of every cell; rows of a cell stand together, a cell may span batches. A pair that meets in
+    several cells comes from the least of them only: rows name the cells they are in, as `left` ones and as others."""
 
     def flush(rows):
-        group, rep, comp, n, left, maps = rows
+        group, rep, comp, n, left, maps, lefts, others = rows
         a, b = tree_pairs(n, maps, percent, comp, left)
-        return rep[a], rep[b]
+        here = [_least_meeting(lefts[i], others[i], lefts[j], others[j]) == group[0] for i, j in zip(a.tolist(), b.tolist())]
+        here = np.array(here, bool)
+        return rep[a[here]], rep[b[here]]
 
     def run(batches):
         held = None
@@ -207,6 +210,12 @@ def _cells(cells: DataFrame, percent: int) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
+def _least_meeting(lefts_a, others_a, lefts_b, others_b):
+    """The least cell in which two rows meet and at least one of them is a left one."""
+    one, two = set(lefts_a), set(lefts_b)
+    return min((one & two) | (one & set(others_b)) | (two & set(others_a)))
+
+
 class _Rows:
     """Rows of cells in order, with the end of the batch before in front."""
 
@@ -214,7 +223,7 @@ class _Rows:
 
     def __init__(self, batch):
         self.columns = {c: np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in self.NAMES}
-        self.maps = batch.column("bits").to_pylist()
+        self.maps, self.lefts, self.others = (batch.column(c).to_pylist() for c in ("bits", "lefts", "others"))
 
     def __len__(self):
         return len(self.maps)
@@ -222,7 +231,7 @@ class _Rows:
     def append(self, batch):
         more = _Rows(batch)
         self.columns = {c: np.concatenate([v, more.columns[c]]) for c, v in self.columns.items()}
-        self.maps = self.maps + more.maps
+        self.maps, self.lefts, self.others = self.maps + more.maps, self.lefts + more.lefts, self.others + more.others
         return self
 
     def starts(self):
@@ -230,11 +239,11 @@ class _Rows:
         return np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1] if len(g) else np.zeros(1, np.int64)
 
     def part(self, lo, hi):
-        return (*(self.columns[c][lo:hi] for c in self.NAMES), self.maps[lo:hi])
+        return (*(self.columns[c][lo:hi] for c in self.NAMES), self.maps[lo:hi], self.lefts[lo:hi], self.others[lo:hi])
 
     def tail(self, lo):
         self.columns = {c: v[lo:] for c, v in self.columns.items()}
-        self.maps = self.maps[lo:]
+        self.maps, self.lefts, self.others = self.maps[lo:], self.lefts[lo:], self.others[lo:]
         return self
 
 
@@ -365,8 +374,9 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     # a passage gives many shingles to the same documents: cells with the same members are one
     meet = stage(meet.distinct())
-    cells = meet.join(grouped.select("rep", "bits"), "rep").repartition("g").sortWithinPartitions("g")
-    second = stage(_cells(cells.select("g", "rep", "comp", "n", "left", "bits"), percent).distinct())
+    where = meet.groupBy("rep").agg(F.collect_set(F.when(F.col("left"), F.col("g"))).alias("lefts"), F.collect_set(F.when(~F.col("left"), F.col("g"))).alias("others"))
+    cells = meet.join(where, "rep").join(grouped.select("rep", "bits"), "rep").repartition("g").sortWithinPartitions("g")
+    second = stage(_cells(cells.select("g", "rep", "comp", "n", "left", "bits", "lefts", "others"), percent).distinct())
     more = _verify(second, rows, classes, width, percent)
     final = stage(components(linked.union(more)))
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
