@@ -20,36 +20,46 @@ MARGIN = 0.12
 
 def _line(x: Column) -> Column:
     """What is compared: the line without white space around it."""
-    return F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def _key(x: Column) -> Column:
     return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))
 
 
-def spread_lines(docs: DataFrame, sites: int, text: str = "text", site: str = "source") -> DataFrame:
-    """(a, b): 128-bit hashes of the lines that are on `sites` or more distinct sites. Blank lines have none; a null
-    site is one site."""
-    lines = docs.select(
-        F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("\u0000")).alias("site"),
-        F.explode(F.array_distinct(F.split(F.col(f"`{text}`"), "\n"))).alias("line"),
+def _narrow(docs: DataFrame, doc_id: str | None, text: str, site: str) -> DataFrame:
+    """(id, tie, site, a, b): one row for each distinct line of a text, written once; lines are 128-bit hashes, blank
+    ones have no row. `tie` is the xxhash64 of the text."""
+    own = F.col(f"`{doc_id}`") if doc_id else F.lit(None).cast("long")
+    lines = docs.where(F.col(f"`{text}`").isNotNull()).select(
+        own.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("\u0000")).alias("site"),
+        F.explode(F.array_distinct(F.transform(F.split(F.col(f"`{text}`"), "\n"), _line))).alias("line"),
     )
-    lines = lines.withColumn("line", _line(F.col("line"))).where("line <> ''").select("site", _key(F.col("line")).alias("k"))
+    return stage(lines.where("line <> ''").select("id", "tie", "site", _key(F.col("line")).alias("k")).select("id", "tie", "site", "k.a", "k.b"))
+
+
+def _spread(lines: DataFrame, sites: int) -> DataFrame:
+    """(a, b) of the lines on `sites` or more distinct sites. A line in fewer documents than that needs no sketch."""
+    often = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("a", "b")
     known = stage(
-        lines.select("site", "k.a", "k.b").groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG)).alias("s"), F.count("*").alias("n"))
-        .where(F.col("n") >= sites)
-        .select("a", "b", F.hll_sketch_estimate("s").alias("about"))
-        .where(F.col("about") >= sites * (1 - MARGIN))
+        lines.join(often, ["a", "b"]).groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG)).alias("s"))
+        .select("a", "b", F.hll_sketch_estimate("s").alias("about")).where(F.col("about") >= sites * (1 - MARGIN))
     )
     sure = known.where(F.col("about") > sites * (1 + MARGIN)).select("a", "b")
     near = known.where(F.col("about") <= sites * (1 + MARGIN)).select("a", "b")
     exact = (
-        lines.select("site", "k.a", "k.b").join(near, ["a", "b"], "left_semi").groupBy("a", "b", "site").agg(F.lit(1).alias("one"))
+        lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b", "site").agg(F.lit(1).alias("one"))
         .groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("a", "b")
     )
     return stage(sure.union(exact))
 
 
+def spread_lines(docs: DataFrame, sites: int, text: str = "text", site: str = "source") -> DataFrame:
+    """(a, b): 128-bit hashes of the lines that are on `sites` or more distinct sites. Blank lines have none; a null
+    site is one site."""
+    return _spread(_narrow(docs, None, text, site), sites)
+
+
 def remove_spread(
     docs: DataFrame, sites: int = 10, most: float = 0.5, doc_id: str = "doc_id", text: str = "text", site: str = "source"
 ) -> DataFrame:
@@ -60,15 +70,12 @@ def remove_spread(
     blank text is left as it is (no lines). Rows that repeat a doc_id are cleaned each by its own text; an empty table
     gives an empty result. Columns of any other name pass through; lines that stay are joined by \\n as they were.
     """
-    bad = spread_lines(docs, sites, text, site)
+    found = _narrow(docs, doc_id, text, site)
+    bad = _spread(found, sites)
     mine = [f"__c{i}" for i in range(len(docs.columns))]
     body = mine[docs.columns.index(text)]
     rows = docs.toDF(*mine).withColumn("__tie", F.xxhash64(body))
-    parts = rows.where(F.col(body).isNotNull()).select(
-        F.col(mine[docs.columns.index(doc_id)]).alias("id"), F.col("__tie").alias("tie"),
-        F.explode(F.array_distinct(F.transform(F.split(body, "\n"), _line))).alias("line"),
-    ).where("line <> ''").select("id", "tie", _key(F.col("line")).alias("k")).select("id", "tie", "k.a", "k.b")
-    hits = parts.join(bad, ["a", "b"]).groupBy("id", "tie").agg(F.collect_set("a").alias("hit"))
+    hits = found.join(bad, ["a", "b"]).groupBy("id", "tie").agg(F.collect_set("a").alias("hit"))
     met = rows.join(
         hits, F.col(mine[docs.columns.index(doc_id)]).eqNullSafe(F.col("id")) & (F.col("__tie") == F.col("tie")), "left"
     ).select(*mine, "hit")
