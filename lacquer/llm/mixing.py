@@ -102,7 +102,7 @@ def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
         t = pa.Table.from_batches(list(batches))
         order = np.lexsort((t["size"].to_numpy(), t["h"].to_numpy()))
         p, size = t["p"].to_numpy()[order].copy(), t["size"].to_numpy()[order].astype(float)
-        draws = (t["h"].to_numpy()[order].view(np.uint64) >> np.uint64(11)).astype(float) / 2**53
+        draws = (t["draw"].to_numpy()[order].view(np.uint64) >> np.uint64(11)).astype(float) / 2**53
         left = pivot(p, size, draws)
         back = np.empty(len(p))
         back[order] = p
@@ -110,11 +110,13 @@ def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
         if left >= 0:
             opened[order[left]] = True
         t = t.set_column(t.schema.get_field_index("p"), "p", pa.array(back)).append_column("open", pa.array(opened))
-        yield from t.drop_columns(["part"]).to_batches()
+        yield from t.drop_columns(["part", "draw"]).to_batches()
 
     dealt = rows.withColumn("h", F.xxhash64("id", "tie", "nth", F.lit(seed + level)))
+    # rows stand in the order of h, so the draws are of another hash: h itself would rise along them
+    dealt = dealt.withColumn("draw", F.xxhash64(F.lit("draw"), "id", "tie", "nth", F.lit(seed + level)))
     dealt = dealt.withColumn("part", F.pmod(F.shiftright("h", 7), F.col("parts")))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name != "part")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name not in ("part", "draw"))
     return dealt.groupBy("sx", "part").applyInArrow(run, kinds + ", open boolean").drop("h")
 
 

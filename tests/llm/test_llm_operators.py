@@ -344,6 +344,25 @@ def test_mixing_reaches_targets_and_keeps_sums(spark):
     assert mixing.mix(frame(spark, []), [1]).count() == 0
 
 
+def test_long_and_short_documents_are_taken_at_their_fraction(spark):
+    from pyspark.sql import functions as F
+
+    # 40 sources of 2000 documents, 4 of them long; weights 3 and 17 of 20 make fractions of 0.3 and 0.7
+    n = F.when(F.col("id") < 160, 2000).otherwise(5 + F.col("id") % 37).cast("int")
+    df = spark.range(80000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), n).alias("text"), F.format_string("s%02d", F.col("id") % 40).alias("source"),
+    )
+    rates = {}
+    for seed in range(4):
+        for r in mixing.mix(df, [3, 17], seed).select("doc_id", "size", "source_size", "target", "copies").collect():
+            each = r.target / r.source_size
+            rates.setdefault((each > 1, r.doc_id < 160), []).append((r.copies - int(each), each % 1))
+    assert len(rates) == 4
+    for taken in map(np.array, rates.values()):
+        got, want = taken.mean(axis=0)
+        assert 0.2 < want < 0.8 and abs(got - want) < (0.02 if len(taken) > 1000 else 0.1)
+
+
 def test_pivot_is_fair():
     r = np.random.default_rng(2)
     size, p0 = np.array([3.0, 1, 7, 2, 5]), np.array([0.3, 0.6, 0.2, 0.9, 0.5])
