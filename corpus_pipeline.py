@@ -31,10 +31,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near-equal texts the document with the least doc_id stays."""
-    found = jaccard.near_components(docs, width=5, percent=80)
-    gone = stage(found.where("component_id < doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of every component of near-equal texts one row stays, that with the least doc_id.
+
+    Rows that repeat a doc_id are linked each by its own text; of those equal in doc_id and text one stays, also
+    where the text is empty. A row without doc_id stays.
+    """
+    mine = [F.col(f"`{c}`") for c in docs.columns]
+    rows = stage(docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    found = jaccard.near_components(rows, doc_id="__row", width=5, percent=80).where("doc_id is not null")
+    # rows are numbered as they lie: which of a group stays rests on what they hold
+    held = rows.where("__row is not null").select("__row", F.struct("doc_id", F.xxhash64("text").alias("tie"), F.xxhash64(*mine).alias("all"), "__row").alias("held"))
+    alone = F.col("n_shingles") == 0
+    both = stage(found.withColumnRenamed("doc_id", "__row").join(held, "__row").select(
+        "__row", "held", F.when(~alone, F.col("component_id")).alias("c"), F.when(alone, F.col("held.doc_id")).alias("i"),
+        F.when(alone, F.col("held.tie")).alias("t"),
+    ))
+    stays = both.groupBy("c", "i", "t").agg(F.min("held").alias("held")).select("held.__row")
+    gone = stage(both.select("__row").join(stays, "__row", "left_anti"))
+    return rows.join(gone, "__row", "left_anti").select(mine)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,14 @@ def test_one_document_of_each_group_stays(stages):
     assert {r.doc_id for r in after} == {i for i, (_, c) in found.items() if c == i}
 
 
+def test_repeated_ids_go_by_their_own_text(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("b")), (7, text("c")), (7, text("c")), (8, ""), (8, ""), (9, None), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs.repartition(3), "").collect())
+    assert got == Counter([(1, text("a")), (5, text("b")), (7, text("c")), (8, ""), (9, None), (None, text("a"))])
+
+
 def test_mix_comes_near_its_targets(stages):
     before, after = stages[0][3], stages[0][4]
     size = {r.doc_id: len(WORD.findall(r.text)) for r in before}
