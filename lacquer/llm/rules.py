@@ -50,15 +50,15 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(True)
 
 
-def learn(rows: DataFrame, names: list[str] = SHARES, most: int = 12) -> list[Rule]:
+def learn(rows: DataFrame, names: list[str] = SHARES) -> list[Rule]:
     """Rules that tell `bad` rows (boolean) from the others; `rows` also needs a stable long `id`. Without rows of
-    both kinds the list is empty. `most` only ends a run-away list: every rule must cover rows of its own."""
+    both kinds the list is empty. It ends where no rule gains, and it does end: every rule covers rows of its own."""
     cuts = rows.agg(*(F.percentile_approx(n, [k / BINS for k in range(1, BINS)], 10_000).alias(n) for n in names)).first()
     cuts = {n: sorted(set(cuts[n] or [])) for n in names}
     low = {n: _bin(F.col(n), cuts[n]) for n in names}
     known = stage(rows.select("bad", (F.pmod(F.xxhash64("id", F.lit(17)), F.lit(3)) < 2).alias("grow"), *(low[n].alias(n) for n in names)))
     left, rules = F.lit(True), []
-    while len(rules) < most:
+    while True:
         tests: list[tuple[str, bool, int]] = []
         while len(tests) < LONGEST:
             best = _best(known.where("grow").where(left & _all(tests)), names)

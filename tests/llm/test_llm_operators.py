@@ -513,6 +513,14 @@ def test_decision_list_is_learned_and_applied(spark):
     assert rules.judge(frame(spark, []), learned).count() == 0
 
 
+def test_decision_list_goes_on_while_it_gains(spark):
+    names = [f"f{k}" for k in range(14)]
+    data = [(i, i % 20 < 14, *(float(i % 20 == k) for k in range(14))) for i in range(2000)]
+    df = spark.createDataFrame(data, f"id long, bad boolean, {', '.join(n + ' double' for n in names)}")
+    learned = rules.learn(df, names)
+    assert sorted(t[0] for r in learned for t in r.tests) == sorted(names)
+
+
 def test_preference_scores(spark):
     docs, labels = quality_corpus(spark)
     scores = preference.learned(docs, labels)
