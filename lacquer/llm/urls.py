@@ -174,7 +174,7 @@ def _split(rows: DataFrame) -> dict:
 
 def judge(pages: DataFrame, rules: list[Rule], rows: int = SAMPLE, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row: the verdict of the longest rule that fits, else block
-    where the trees, learned from the URLs that rules decide (`rows` of them at most, by hash), give odds of one or more.
+    where the trees, learned from the distinct URLs that rules decide (`rows` of them at most, by hash), give odds of one or more.
 
     A null URL or one without :// has an empty host and path, fits no rule and is judged by the trees like any other.
     Repeated rows get equal verdicts; an empty table gives an empty result; other columns are not read.
@@ -183,9 +183,11 @@ def judge(pages: DataFrame, rules: list[Rule], rows: int = SAMPLE, page_id: str
     known = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url")).withColumns({"host": host, "path": path})
     known = known.withColumn("hit", matched(F.col("host"), F.col("path"), rules))
     decided = known.where("hit is not null")
-    n = decided.count()
-    some = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, rows / max(1, n))))
-    sample = stage(lexical(decided.where(some).select("url", "host", "path", F.col("hit.block").alias("block"))))
+    # a URL counts once, however often it is repeated; twice the rows come by hash, so that enough are left to choose from
+    n = decided.agg(F.approx_count_distinct("url")).first()[0]
+    some = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < F.lit(max(1, int((1 << 20) * min(1.0, 2 * rows / max(1, n)))))
+    once = decided.where(some).select("url", "host", "path", F.col("hit.block").alias("block")).dropDuplicates(["url"])
+    sample = stage(lexical(once.orderBy(F.xxhash64("url"), "url").limit(rows)))
     model = learn(sample)
     scored = model.scored(lexical(known))
     block = F.coalesce(F.col("hit.block"), F.col("score") >= 0)

@@ -582,6 +582,16 @@ def test_url_rules_and_trees(spark):
     assert urls.judge(pages, []).select("verdict").distinct().count() == 1
 
 
+def test_repeated_urls_are_learned_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(urls, "learn", lambda rows, learn=urls.learn: (seen.append(rows.select("url").collect()), learn(rows))[1])
+    some = [f"http://h.example.{'net' if i % 2 else 'com'}/de/{i}" for i in range(60)] + ["http://h.example.net/hot"] * 300
+    pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+    assert urls.judge(pages, RULES, rows=50).count() == len(some)
+    assert urls.judge(pages, RULES).count() == len(some)
+    assert [len(s) for s in seen] == [50, 61] and all(len({r.url for r in s}) == len(s) for s in seen)
+
+
 def test_trees_learn_held_out_urls(spark):
     from pyspark.sql import functions as F
 
