@@ -209,3 +209,96 @@ def op2(spark, sf_dir):
     from .secrets import digests
 
     return digests(table(spark, sf_dir, "documents"))
+
+
+def _op11(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """The rounds written out, one set of common table expressions each."""
+    distance = "list_sum(list_transform(range(1, len(x.p) + 1), lambda i: (x.p[i] - b.p[i]) * (x.p[i] - b.p[i])))"
+    sql = f"""
+with v as (
+  select vec_id, label, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+), x as (
+  select vec_id, label, j::int as part, v[j * len(v) // {parts} + 1:(j + 1) * len(v) // {parts}] as p
+  from v, (select unnest(range(0, {parts})) as j)
+), b0 as (
+  select part, (row_number() over (partition by part order by vec_id) - 1)::int as entry, p from x
+  qualify row_number() over (partition by part order by vec_id) <= {entries}
+)"""
+    for r in range(rounds + 1):
+        sql += f""", a{r} as (
+  select vec_id, label, part, p, arg_min({{'entry': entry, 'd': d}}, {{'d': d, 'entry': entry}}) as n
+  from (select x.*, b.entry, {distance} as d from x join b{r} b on x.part = b.part) group by 1, 2, 3, 4
+)"""
+        if r < rounds:
+            sql += f""", m{r} as (
+  select part, entry, list((s - ((s % c) + c) % c) // c order by i) as p
+  from (select part, (n).entry as entry, i, sum(p[i])::bigint as s, count(*) as c from (select *, unnest(range(1, len(p) + 1)) as i from a{r}) group by 1, 2, 3)
+  group by 1, 2
+), b{r + 1} as (select b.part, b.entry, coalesce(m.p, b.p) as p from b{r} b left join m{r} m using (part, entry))"""
+    return sql + f""", codes as (
+  select vec_id, label, string_agg(lpad(lower(to_hex((n).entry)), 2, '0'), '' order by part) as code, sum((n).d)::bigint as error
+  from a{rounds} group by 1, 2
+), said as (
+  select sha256(string_agg(c, ',' order by part, entry, i)) as s
+  from (select part, entry, unnest(range(1, len(p) + 1)) as i, unnest(p)::varchar as c from b{rounds})
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, s as codebooks_sha256 from codes, said
+"""
+
+
+@query("op11_vector_codes", _op11())
+def op11(spark, sf_dir):
+    from .codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+OP12 = r"""
+with recursive tab as (
+  select list(list_reduce(list_concat([i], range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from (select unnest(range(0, 256)) as i)
+), runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{C0}-\x{FF}]+')) as w from documents
+), each as (select doc_id, w, count(*) as k from runs group by 1, 2),
+bytes as (
+  select *, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c:
+    case when ord(c) < 128 then [ord(c)::bigint] else [192 | (ord(c)::bigint >> 6), 128 | (ord(c)::bigint & 63)] end)) as bs from each
+), hashed as (
+  select w, k, xor(4294967295, list_reduce(list_concat([4294967295], bs), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h from bytes, tab
+), garbled as (
+  select case when h % 97 = 0 then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, k from hashed
+), words as (
+  select word, sum(k)::bigint as n from garbled where length(word) >= 5 group by 1 having sum(k) >= 3
+), less as (select word, n, p, left(word, p - 1) || substr(word, p + 1) as s from (select *, unnest(range(1, length(word) + 1)) as p from words)),
+near as (
+  select distinct a.word, b.word as near, b.n from less a join less b on a.p = b.p and a.s = b.s and a.word <> b.word and length(a.word) = length(b.word)
+  union select distinct a.word, b.word, b.n from less a join words b on a.s = b.word
+  union select distinct b.word, a.word, a.n from less a join words b on a.s = b.word
+), best as (select word, count(*) as n_near, arg_min({'near': near, 'n': n}, {'m': -n, 'near': near}) as f from near group by 1),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when (f).n >= 2 * w.n then (f).near end as form, case when (f).n >= 2 * w.n then (f).n end as form_n
+  from words w left join best using (word)
+), walk as (
+  select word, word as here, 0 as steps from forms
+  union all select walk.word, form, steps + 1 from walk join forms on forms.word = walk.here where form is not null
+)
+select word, form, root, n, n_near::bigint as n_near, form_n from forms join (select word, arg_max(here, steps) as root from walk group by 1) using (word)
+"""
+
+
+@query("op12_spelling_variants", OP12)
+def op12(spark, sf_dir):
+    from .spelling import corpus_words, variants
+
+    return variants(corpus_words(table(spark, sf_dir, "documents")))
+
+
+@query("op13_best_fit_packing")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack, pieces
+
+    return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
