@@ -9,6 +9,8 @@ other groups in the next round, so the bins that stay half empty do not add up w
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from functools import cache
 
@@ -19,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage, unstage
+from .bpe import _blocks
 
-#: Most chunks whose ids a task remembers, and the longest that it does; beyond the first the memory starts anew.
-REMEMBER, LONGEST = 400_000, 64
+#: Most pieces whose ids a task remembers, and the longest that it does; beyond the first the memory starts anew.
+REMEMBER, LONGEST = 1_000_000, 64
 
 
 @cache
@@ -32,29 +35,72 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(SparkFiles.get(path[len("sent:") :]) if path.startswith("sent:") else path)
 
 
+# The classes of the vocabulary's pattern, for texts of these characters only. None of them changes under
+# NFC, and its lower case is one letter; the first classes begin differently, so their order does not matter.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[\x00-\x7f{_LETTERS}–—‘’“”„…€]*")
+_PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[^{_LETTERS}0-9\x20\t-\r]+")
+_CHUNK = re.compile(r"[^\x20\t-\r]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as they are, the others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes.
+    """Ids of whole texts as little-endian 32-bit bytes, each distinct piece given to the tokenizer once.
 
     The vocabulary's pattern never matches white space, and neither its normal form nor its lower case looks past a
-    blank, so a text's ids are those of its chunks between ASCII blanks, and known chunks are looked up.
+    blank, so a text's ids are those of its chunks between ASCII blanks. Chunks of common characters are lower-cased and
+    cut on into the pattern's own pieces, which go to the tokenizer's model; others and those that may hold a special
+    token go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.encode().split()
-        rows = list(map(self.known.get, chunks))
-        if None in rows:
-            new = sorted({c for c, row in zip(chunks, rows) if row is None})
-            if len(self.known) + len(new) > REMEMBER:
-                self.known = {}
-                new = sorted(set(chunks))
-            got = self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)
-            fresh = {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(new, got)}
-            rows = [fresh[c] if c in fresh else self.known[c] for c in chunks]
-            self.known.update((c, x) for c, x in fresh.items() if len(c) <= LONGEST)
-        return b"".join(rows)
+        self.tokenizer, self.known, self.letters = _tokenizer(path), {}, _byte_letters()
+        self.model = self.tokenizer.model
+
+    def cut(self, text: str) -> list:
+        """Pieces as texts, whole chunks as 1-tuples."""
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return _PIECE.findall(text.lower())
+        out = []
+        for c in _CHUNK.findall(text):
+            if _PLAIN.fullmatch(c) and "<|" not in c:
+                out += _PIECE.findall(c.lower())
+            else:
+                out.append((c,))
+        return out
+
+    def learn(self, new: set) -> None:
+        letters, tokenize = self.letters, self.model.tokenize
+        for c in new:
+            if isinstance(c, tuple):
+                ids = self.tokenizer.encode(c[0], add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in tokenize(c if c.isascii() and c.isprintable() else "".join([letters[b] for b in c.encode()]))]
+            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBER:
+            self.known = {}
+        cut = [self.cut(t) for t in texts]
+        new = set().union(*cut).difference(self.known)
+        self.learn(new)
+        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for c in new:
+            if len(c if isinstance(c, str) else c[0]) > LONGEST:
+                del self.known[c]
+        return out
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def pieces(
@@ -74,20 +120,22 @@ def pieces(
         made["ids"], said = pa.list_(pa.int32()), said + ", ids array<int>"
 
     def run(batches):
-        encoder, last = Encoder(tokenizer), np.asarray([end], "<u4").tobytes()
+        encoder, last = _encoder(tokenizer), struct.pack("<I", end)
         for batch in batches:
-            at, rows = [], {c: [] for c in made}
-            for i, t in enumerate(batch.column("t")):
-                raw = encoder.encode(t.as_py() or "") + last
-                for p, lo in enumerate(range(0, len(raw), 4 * size)):
-                    part = raw[lo : lo + 4 * size]
-                    at.append(i)
-                    for c, x in zip(made, (p, lo // 4, len(part) // 4, zlib.crc32(part))):
-                        rows[c].append(x)
-                    if ids:
-                        rows["ids"].append(np.frombuffer(part, "<i4").tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k").take(pa.array(at, pa.int64())), *(pa.array(rows[c], t) for c, t in made.items())], names=["k", *made])
+            keys, texts = batch.column("k"), batch.column("t").to_pylist()
+            for lo, hi in _blocks(texts):
+                at, rows = [], {c: [] for c in made}
+                for i, raw in enumerate(encoder.encode([t or "" for t in texts[lo:hi]]), lo):
+                    raw += last
+                    for p, first in enumerate(range(0, len(raw), 4 * size)):
+                        part = raw[first : first + 4 * size]
+                        at.append(i)
+                        for c, x in zip(made, (p, first // 4, len(part) // 4, zlib.crc32(part))):
+                            rows[c].append(x)
+                        if ids:
+                            rows["ids"].append(np.frombuffer(part, "<i4").tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(at, pa.int64())), *(pa.array(rows[c], t) for c, t in made.items())], names=["k", *made])
 
     return sent.mapInArrow(run, said).withColumnRenamed("k", key)
 

@@ -23,8 +23,10 @@ def test_encoder_equals_whole_texts():
 
     whole = Tokenizer.from_file(WORDS)
     encoder = packing.Encoder(WORDS)
-    for t in NASTY + NASTY[::-1]:
-        assert np.frombuffer(encoder.encode(t or ""), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
+    texts = [t or "" for t in NASTY + NASTY[::-1]] + [chr(c) + "x'S" + chr(c) + "0" + chr(c) for c in range(0x2100)]
+    for t, raw in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    assert encoder.encode([]) == [] and all(len(c if isinstance(c, str) else c[0]) <= packing.LONGEST for c in encoder.known)
 
 
 def test_pieces_are_the_ids_of_whole_texts(spark):
