@@ -3,7 +3,7 @@
 The words are the paths of a trie whose chains without branches are one edge, so a level of the walk is a branching
 and not a character. A state is (word, position, node, edits). A word walks its own path without edits; where another
 edge leaves the path the states that spend the one edit there go on alone and have to match to the end. Two words one
-edit apart part in one node only, where the edit can be taken at the first difference, so each pair comes once.
+edit apart part in one node only, where the edit can be taken at the first difference, so a walk finds each pair once.
 """
 
 from __future__ import annotations
@@ -86,23 +86,37 @@ def trie(words: DataFrame) -> DataFrame:
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near): each ordered pair of distinct `word`s that differ by one inserted, deleted or replaced code point.
 
+    Two words one edit apart share the first half of the one or its last half. So one walk spends the edit in the
+    second half of a word only, where the trie has few branches, and another does so over the reversed words.
+    """
+    words = words.where("word <> ''").select("word")
+    ahead = _walk(words, F.floor(F.length("word") / 2).cast("int"))
+    back = _walk(words.select(F.reverse("word").alias("word")), F.ceil(F.length("word") / 2).cast("int"))
+    back = back.select(F.reverse("word").alias("word"), F.reverse("near").alias("near"))
+    half = F.expr("cast(floor(length(word) / 2) as int)")
+    return ahead.union(back.where(F.left("word", half) != F.left("near", half)))
+
+
+def _walk(words: DataFrame, spend: Column) -> DataFrame:
+    """(word, near) whose words part at the code point `spend` of the word or behind it.
+
     Every round takes all states over one edge of the trie; the rounds end when no state is left, after as many as the
     most branchings on a path. A state is kept only if its node is an end for it or has an edge to go on with.
     """
     edges = stage(_looking_ahead(trie(words)))
-    states = stage(words.where("word <> ''").select(
+    states = stage(words.select(
         "word", F.lit(0).alias("at"), F.lit("").alias("node"), F.lit(0).alias("edits"), F.lit(False).alias("ends")))
     found: list[DataFrame] = []
     while not states.isEmpty():
-        moved = stage(_step(states, edges))
+        moved = stage(_step(states, edges, spend))
         unstage(states)
         found.append(stage(_reached(moved)))
         states = moved
     unstage(states, edges)
-    whole = found[0] if found else None
-    for x in found[1:]:
+    whole = words.select("word", F.col("word").alias("near")).limit(0)
+    for x in found:
         whole = whole.union(x)
-    return words.select("word", F.col("word").alias("near")).limit(0) if whole is None else whole
+    return whole
 
 
 def _looking_ahead(edges: DataFrame) -> DataFrame:
@@ -119,22 +133,23 @@ def _reached(states: DataFrame) -> DataFrame:
     return states.where(F.col("ends") & end).select("word", F.col("node").alias("near"))
 
 
-def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """All states one edge further: those without the edit left over the one edge that begins as they go on, those with
-    it over every edge of their node. `rest` is what a state has still to match. Nodes near the root hold states of most
-    words, so the few edges there are copied and the states dealt over the copies."""
+def _step(states: DataFrame, edges: DataFrame, spend: Column) -> DataFrame:
+    """All states one edge further: those that may spend the edit at their place over every edge of their node, the
+    others over the one edge that begins as they go on. `rest` is what a state has still to match. Nodes near the root
+    hold states of most words, so the few edges there are copied and the states dealt over the copies."""
     rest = F.expr("substr(word, at + 1)")
-    here = states.select("word", "at", "edits", F.col("node").alias("parent"), rest.alias("rest"))
+    here = states.select("word", "at", "edits", F.col("node").alias("parent"), rest.alias("rest"), spend.alias("spend"))
     shallow = F.length("parent") <= 1
     salt = F.when(shallow, F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("salt")
     copied = edges.select("*", F.explode(F.sequence(F.lit(0), F.when(shallow, F.lit(SALTS - 1)).otherwise(F.lit(0)))).alias("salt"))
     size = F.length("label")
+    may = (F.col("edits") == 0) & (F.col("at") >= F.col("spend"))
 
-    spent = here.where("edits = 1").select("*", F.left("rest", F.lit(1)).alias("first"), salt)
-    spent = spent.join(copied, ["parent", "first", "salt"]).where("startswith(rest, label)").select(
-        "word", (F.col("at") + size).alias("at"), "node", F.lit(1).alias("edits"), "ends", "on")
+    bound = here.where(~may).select("*", F.left("rest", F.lit(1)).alias("first"), salt)
+    bound = bound.join(copied, ["parent", "first", "salt"]).where("startswith(rest, label)").select(
+        "word", (F.col("at") + size).alias("at"), "node", "edits", "ends", "on")
 
-    free = here.where("edits = 0").select("*", salt).join(copied, ["parent", "salt"])
+    free = here.where(may).select("*", salt).join(copied, ["parent", "salt"])
     leaves = F.expr("first <> left(rest, 1)")
     go = lambda when, by, edits: F.when(when, F.struct((F.col("at") + by).alias("at"), F.lit(edits).alias("edits")))
     steps = F.array_compact(F.array(
@@ -147,7 +162,7 @@ def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
 
     end = F.col("at") == F.length("word")
     alive = (F.col("edits") == 0) | (end & F.col("ends")) | (~end & F.contains("on", F.expr("substr(word, at + 1, 1)")))
-    return free.union(spent.select(free.columns)).where(alive).drop("on")
+    return free.union(bound.select(free.columns)).where(alive).drop("on")
 
 
 def variants(words: DataFrame) -> DataFrame:
