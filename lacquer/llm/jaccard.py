@@ -345,6 +345,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     first = stage(_possible(pairs, percent))
     linked = _verify(first, rows, classes, width, percent)
+    unstage(first)
     label = components(linked)
     # second round, exact: every two classes of different components that share a prefix shingle and a size band
     grouped = able.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
@@ -377,8 +378,10 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     where = meet.groupBy("rep").agg(F.collect_set(F.when(F.col("left"), F.col("g"))).alias("lefts"), F.collect_set(F.when(~F.col("left"), F.col("g"))).alias("others"))
     cells = meet.join(where, "rep").join(grouped.select("rep", "bits"), "rep").repartition("g").sortWithinPartitions("g")
     second = stage(_cells(cells.select("g", "rep", "comp", "n", "left", "bits", "lefts", "others"), percent).distinct())
+    unstage(meet, grouped, able)
     more = _verify(second, rows, classes, width, percent)
     final = stage(components(linked.union(more)))
+    unstage(second, linked, more)
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component_id")
     )

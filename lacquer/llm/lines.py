@@ -2,8 +2,7 @@
 
 The distinct sites of a line are estimated by HyperLogLog sketches that merge by aggregation. Lines whose estimate is
 near the threshold are counted exactly; the others are decided by the estimate. A line decided as boilerplate goes
-from every document, but for documents of which too little would stay: those are copies of one text, not boilerplate
-around an own text, and near-duplicate removal is for them.
+from every document that has a line of its own; texts of nothing but such lines stay for near-duplicate removal.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage, unstage
 
 #: Sketches of 2^LG cells have a relative error of about 1.04 / 2^(LG / 2); MARGIN is over five times that.
 LG = 11
@@ -38,56 +37,89 @@ def _narrow(docs: DataFrame, doc_id: str | None, text: str, site: str) -> DataFr
     return stage(lines.where("line <> ''").select("id", "tie", "site", _key(F.col("line")).alias("k")).select("id", "tie", "site", "k.a", "k.b"))
 
 
-def _spread(lines: DataFrame, sites: int) -> DataFrame:
+#: A line with this part of all rows or more is hot; there are at most as many such lines as this says.
+HOT = 1000
+
+
+class _Hot:
+    """Joins of the lines with some of their keys in which no key's rows meet in one task.
+
+    Lines that hold a HOT-th of the rows or more are at most HOT, whatever the table's size, so theirs is a broadcast
+    join; the other lines are shuffled by their key.
+    """
+
+    def __init__(self, lines: DataFrame):
+        self.lines = lines
+        counts = lines.groupBy("a", "b").agg(F.count("*").alias("n"))
+        self.often = stage(counts.where("n > 1"))
+        least = F.greatest(F.lit(2), F.ceil(F.lit(lines.count() / HOT)))
+        self.hot = F.broadcast(self.often.where(F.col("n") >= least).select("a", "b"))
+
+    def join(self, keys: DataFrame) -> DataFrame:
+        """The lines whose (a, b) is in `keys`, which holds each once."""
+        few = F.broadcast(keys.join(self.hot, ["a", "b"], "left_semi"))
+        rest = self.lines.join(self.hot, ["a", "b"], "left_anti")
+        return self.lines.join(few, ["a", "b"], "left_semi").union(
+            rest.join(keys.join(self.hot, ["a", "b"], "left_anti"), ["a", "b"], "left_semi"))
+
+
+def _spread(hot: _Hot, sites: int) -> DataFrame:
     """(a, b) of the lines on `sites` or more distinct sites. A line in fewer documents than that needs no sketch."""
-    often = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("a", "b")
+    often = hot.often.where(F.col("n") >= sites).select("a", "b")
     known = stage(
-        lines.join(often, ["a", "b"]).groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG)).alias("s"))
+        hot.join(often).groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG)).alias("s"))
         .select("a", "b", F.hll_sketch_estimate("s").alias("about")).where(F.col("about") >= sites * (1 - MARGIN))
     )
     sure = known.where(F.col("about") > sites * (1 + MARGIN)).select("a", "b")
     near = known.where(F.col("about") <= sites * (1 + MARGIN)).select("a", "b")
     exact = (
-        lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b", "site").agg(F.lit(1).alias("one"))
+        hot.join(near).groupBy("a", "b", "site").agg(F.lit(1).alias("one"))
         .groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("a", "b")
     )
-    return stage(sure.union(exact))
+    out = stage(sure.union(exact))
+    unstage(known)
+    return out
 
 
 def spread_lines(docs: DataFrame, sites: int, text: str = "text", site: str = "source") -> DataFrame:
     """(a, b): 128-bit hashes of the lines that are on `sites` or more distinct sites. Blank lines have none; a null
     site is one site."""
-    return _spread(_narrow(docs, None, text, site), sites)
+    return _spread(_Hot(_narrow(docs, None, text, site)), sites)
 
 
 def remove_spread(
-    docs: DataFrame, sites: int = 10, most: float = 0.5, doc_id: str = "doc_id", text: str = "text", site: str = "source"
+    docs: DataFrame, sites: int = 10, doc_id: str = "doc_id", text: str = "text", site: str = "source",
+    counts: tuple[str, str] = ("__lines", "__removed"),
 ) -> DataFrame:
-    """All columns of `docs` with boilerplate lines taken out of the text, and __lines, __removed (long).
+    """All columns of `docs` with boilerplate lines taken out of the text, and two counts (long) named by `counts`:
+    of lines and of removed ones.
 
     A line is boilerplate when it is on `sites` or more distinct sites; lines are compared without white space around
-    them. A document keeps all its lines if more than `most` of the characters of its lines would go. A null or
-    blank text is left as it is (no lines). Rows that repeat a doc_id are cleaned each by its own text; an empty table
-    gives an empty result. Columns of any other name pass through; lines that stay are joined by \\n as they were.
+    them. It goes from every document that has a line of its own; a text all of whose lines are boilerplate stays as it
+    is: there is nothing around which they stand. A null or blank text is left as it is (no lines). Rows that repeat a
+    doc_id are cleaned each by its own text; an empty table gives an empty result. Other columns pass through, whatever
+    their names; those named as the counts are replaced. Lines that stay are joined by \\n as they were.
     """
     found = _narrow(docs, doc_id, text, site)
-    bad = _spread(found, sites)
-    mine = [f"__c{i}" for i in range(len(docs.columns))]
-    body = mine[docs.columns.index(text)]
-    rows = docs.toDF(*mine).withColumn("__tie", F.xxhash64(body))
-    hits = found.join(bad, ["a", "b"]).groupBy("id", "tie").agg(F.collect_set("a").alias("hit"))
+    hot = _Hot(found)
+    bad = _spread(hot, sites)
+    kept = [c for c in docs.columns if c not in counts]
+    mine = [f"c{i}" for i in range(len(kept))]
+    body = mine[kept.index(text)]
+    rows = docs.select(*(F.col(f"`{c}`").alias(m) for c, m in zip(kept, mine))).withColumn("mytie", F.xxhash64(body))
+    hits = stage(hot.join(bad).groupBy("id", "tie").agg(F.collect_set("a").alias("hit")))
+    unstage(found, hot.often, bad)
     met = rows.join(
-        hits, F.col(mine[docs.columns.index(doc_id)]).eqNullSafe(F.col("id")) & (F.col("__tie") == F.col("tie")), "left"
+        hits, F.col(mine[kept.index(doc_id)]).eqNullSafe(F.col("id")) & (F.col("mytie") == F.col("tie")), "left"
     ).select(*mine, "hit")
-    split = met.withColumn("__l", F.split(body, "\n"))
+    split = met.withColumn("l", F.split(body, "\n"))
     # only lines of documents with a hit are looked at again
-    kept = F.when(F.col("hit").isNotNull(), F.filter("__l", lambda x: (_line(x) == "") | ~F.array_contains(F.col("hit"), F.xxhash64(_line(x)))))
-    split = split.withColumn("__k", kept)
-    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(_line(x)))
-    split = split.withColumn("__cut", F.coalesce(chars(F.col("__k")) >= (1 - most) * chars(F.col("__l")), F.lit(False)))
-    n = F.when(F.col(body).isNull(), 0).otherwise(F.size("__l")).cast("long")
+    own = F.when(F.col("hit").isNotNull(), F.filter("l", lambda x: (_line(x) == "") | ~F.array_contains(F.col("hit"), F.xxhash64(_line(x)))))
+    split = split.withColumn("k", own)
+    split = split.withColumn("cut", F.coalesce(F.exists("k", lambda x: _line(x) != ""), F.lit(False)))
+    n = F.when(F.col(body).isNull(), 0).otherwise(F.size("l")).cast("long")
+    gone = F.when(F.col("cut"), F.size("l") - F.size("k")).otherwise(0).cast("long")
     out = split.select(
-        *(F.when(F.col("__cut"), F.array_join("__k", "\n")).otherwise(F.col(c)).alias(c) if c == body else F.col(c) for c in mine),
-        n.alias("__lines"), F.when(F.col("__cut"), F.size("__l") - F.size("__k")).otherwise(0).cast("long").alias("__removed"),
-    )
-    return out.toDF(*docs.columns, "__lines", "__removed")
+        *(F.when(F.col("cut"), F.array_join("k", "\n")).otherwise(F.col(c)).alias(c) if c == body else F.col(c) for c in mine),
+        n.alias("n"), gone.alias("gone"))
+    return out.toDF(*kept, *counts)

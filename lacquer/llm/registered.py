@@ -141,10 +141,7 @@ with lines as (
 ), kept as (
   select doc_id, text, ls, list_filter(ls, lambda z: z.l = '' or not list_contains(every, z.l)) as ks
   from split, (select coalesce(list(l), []) as every from spread)
-), cut as (
-  select *, coalesce(list_sum(list_transform(ks, lambda z: length(z.l))), 0)
-    >= 0.5 * coalesce(list_sum(list_transform(ls, lambda z: length(z.l))), 0) as is_cut from kept
-)
+), cut as (select *, len(list_filter(ks, lambda z: z.l <> '')) > 0 and len(ks) < len(ls) as is_cut from kept)
 select doc_id, coalesce(len(ls), 0)::bigint as n_lines,
   (case when is_cut then len(ls) - len(ks) else 0 end)::bigint as n_removed,
   sha256(coalesce(case when is_cut then array_to_string(list_transform(ks, lambda z: z.x), chr(10)) else text end, '')) as kept_sha256
@@ -158,9 +155,9 @@ def op7(spark, sf_dir):
 
     from .lines import remove_spread
 
-    out = remove_spread(table(spark, sf_dir, "documents"))
+    out = remove_spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), counts=("n_lines", "n_removed"))
     return out.select(
-        "doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),
+        "doc_id", "n_lines", "n_removed",
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
@@ -168,14 +165,16 @@ def op7(spark, sf_dir):
 OP2_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 OP2 = r"""
 with docs as (select doc_id, coalesce(text, '') as t from documents),
-forms(rank, kind, p) as (values (0, 'assign', '@assign'), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (9, 'candidate', '[A-Za-z0-9+/_-]{20,}')),
+forms(rank, kind) as (values (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'entropy_hex'), (4, 'entropy_alnum'), (5, 'entropy_base64')),
 cut as (
-  select doc_id, rank, kind, p, m, list_transform(m, lambda x: length(x)) as ml, list_transform(g, lambda x: length(x)) as gl
-  from (select doc_id, rank, kind, p,
+  select doc_id, rank, kind, m, list_transform(m, lambda x: length(x)) as ml, list_transform(g, lambda x: length(x)) as gl
+  from (select doc_id, rank, kind,
       case rank when 0 then regexp_extract_all(t, '@assign') when 1 then regexp_extract_all(t, 'AKIA[A-Z0-9]+')
-        when 2 then regexp_extract_all(t, '[0-9a-f]+') else regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}') end as m,
+        when 2 then regexp_extract_all(t, '[0-9a-f]+') when 3 then regexp_extract_all(t, '[0-9a-fA-F]{20,}')
+        when 4 then regexp_extract_all(t, '[0-9A-Za-z]{20,}') else regexp_extract_all(t, '[0-9A-Za-z+/_-]{20,}') end as m,
       case rank when 0 then string_split_regex(t, '@assign') when 1 then string_split_regex(t, 'AKIA[A-Z0-9]+')
-        when 2 then string_split_regex(t, '[0-9a-f]+') else string_split_regex(t, '[A-Za-z0-9+/_-]{20,}') end as g
+        when 2 then string_split_regex(t, '[0-9a-f]+') when 3 then string_split_regex(t, '[0-9a-fA-F]{20,}')
+        when 4 then string_split_regex(t, '[0-9A-Za-z]{20,}') else string_split_regex(t, '[0-9A-Za-z+/_-]{20,}') end as g
     from docs, forms where rank <> 2 or regexp_matches(t, '[0-9a-f]{32}'))
 ), found as (
   select doc_id, rank, kind, m[k] as v, (list_sum(gl[1:k]) + coalesce(list_sum(ml[1:k - 1]), 0))::bigint as s0, ml[k] as n
@@ -184,18 +183,17 @@ cut as (
   select doc_id, rank, kind, s0, s0 + n as stop from found
   where rank = 0 and length(regexp_extract(v, '@assign', 1)) >= 8 or rank = 1 and n >= 16 or rank = 2 and n >= 32
 ), mixed as (
-  select doc_id, s0, s0 + n as stop, v,
-    case when regexp_full_match(v, '[0-9a-fA-F]+') then 3 when regexp_full_match(v, '[0-9A-Za-z]+') then 4 else 5 end as rank,
+  select doc_id, s0, s0 + n as stop, v, rank, kind,
     round(list_max(list_transform(range(1, length(v) - 18), lambda i: list_aggregate(string_split(substr(v, i, 20), ''), 'entropy'))), 9) as bits
-  from found where rank = 9 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
+  from found where rank > 2 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
+    and not (rank = 4 and regexp_full_match(v, '[0-9a-fA-F]+')) and not (rank = 5 and regexp_full_match(v, '[0-9A-Za-z]+'))
     and not regexp_matches(v, '(?i)(example|sample|placeholder|changeme|dummy|xxxx|redacted)')
     and not regexp_matches(v, '(?i)0123456789|abcdefgh|12345678901234567890')
     and not regexp_matches(v, '(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$')
 ), every as (
   select doc_id, rank, kind, s0, stop from base
   union all
-  select doc_id, rank, ['entropy_hex', 'entropy_alnum', 'entropy_base64'][rank - 2], s0, stop from mixed
-  where bits >= [2.9, 3.4, 3.8][rank - 2]
+  select doc_id, rank, kind, s0, stop from mixed where bits >= [2.9, 3.4, 3.8][rank - 2]
 )
 select d.doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
   sha256(coalesce(string_agg(kind || ':' || s0 || ':' || stop, ',' order by s0, rank) filter (rank < 3), '')) as base_sha256,

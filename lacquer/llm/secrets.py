@@ -1,8 +1,8 @@
 """Secrets in texts: fixed forms, and strings whose characters are too evenly mixed to be words.
 
-Candidate strings are runs of token characters. For each character class a window slides over the runs of that class;
-its Shannon entropy changes only by the counts of the character that enters and of the one that leaves. Spans whose
-entropy passes the threshold of the class are found, unless an allow-list pattern says what they are.
+For each character class a window slides over the maximal runs of that class; its Shannon entropy changes only by the
+counts of the character that enters and of the one that leaves. Runs with a window whose entropy passes the threshold
+of the class are found, unless an allow-list pattern says what the run is.
 """
 
 from __future__ import annotations
@@ -22,34 +22,53 @@ BASE = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 WIDTH = 20
-# What the entropy search looks at, and the least entropy (bits) of a window of WIDTH characters for each
-# class; a run belongs to the first class whose alphabet holds it all, and needs a digit and a letter.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+# The alphabet of each class, and the least entropy (bits) of a window of WIDTH characters of it. A run
+# needs a digit and a letter; one whose characters are all of the class before belongs to that class.
 CLASSES = {
-    "entropy_hex": (r"^[0-9a-fA-F]+$", 2.9),
-    "entropy_alnum": (r"^[0-9A-Za-z]+$", 3.4),
-    "entropy_base64": (r"^[0-9A-Za-z+/_-]+$", 3.8),
+    "entropy_hex": ("[0-9a-fA-F]", 2.9),
+    "entropy_alnum": ("[0-9A-Za-z]", 3.4),
+    "entropy_base64": ("[0-9A-Za-z+/_-]", 3.8),
 }
-# Strings that are no secrets: placeholders, counters, one part of a path after another, UUIDs.
+# Runs that are no secrets: placeholders, counters, UUIDs.
 ALLOWED = [
-    r"(?i)(example|sample|placeholder|changeme|dummy|xxxx|redacted)", r"^(.)\1+$", r"(?i)0123456789|abcdefgh|12345678901234567890",
-    r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"^[a-z]+([/_-][a-z]+)+$", r"^[0-9/_-]+$",
+    r"(?i)(example|sample|placeholder|changeme|dummy|xxxx|redacted)", r"(?i)0123456789|abcdefgh|12345678901234567890",
+    r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
 ]
+#: Matches of a text whose places are summed up in one array; places of such blocks are summed up in a second step.
+_BLOCK = 256
+#: Counts of a window's characters lie side by side in numbers of 12 fields of 5 bits (a count is at most WIDTH).
+_FIELDS, _BITS, _FIRST, _LAST = 12, 5, ord("+"), ord("z")
 
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<at, end, m>> of the leftmost non-overlapping matches, in code points: gaps and matches alternate,
     so a match begins after all gaps and matches before it."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<at: int, end: int, m: string>>)").alias("out"))
+    one = "struct<at: int, end: int, m: string>"
+    empty = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
 
     def step(a, z):
         at = a["at"] + F.length(z["g"])
         end = at + F.length(z["m"])
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("at"), end.alias("end"), z["m"].alias("m")))).alias("out"))
 
+    def block(pairs):
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty(one).alias("out")), step)
+
+    def add(a, b):
+        return F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    def place(blocks):
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty("int").alias("out")), add, lambda a: a["out"])
+        moved = F.zip_with(blocks, starts, lambda b, s: F.transform(
+            b["out"], lambda x: F.struct((x["at"] + s).alias("at"), (x["end"] + s).alias("end"), x["m"].alias("m"))))
+        return F.flatten(moved)
+
     def pair(both):
-        return F.aggregate(F.arrays_zip(both["m"].alias("m"), F.slice(both["g"], 1, F.size(both["m"])).alias("g")), start, step, lambda a: a["out"])
+        pairs = F.arrays_zip(both["m"].alias("m"), F.slice(both["g"], 1, F.size(both["m"])).alias("g"))
+        cuts = F.sequence(F.lit(0), F.floor((F.size(both["m"]) - 1) / _BLOCK).cast("int"))
+        blocks = let(pairs, lambda z: F.transform(cuts, lambda k: block(F.slice(z, k * _BLOCK + 1, F.lit(_BLOCK)))))
+        return F.when(F.size(both["m"]) > 0, let(blocks, place)).otherwise(empty(one))
 
     return let(F.struct(found.alias("m"), gaps.alias("g")), pair)
 
@@ -57,29 +76,45 @@ def spans(text: Column, pattern: str) -> Column:
 def _gain(n: Column) -> Column:
     """(n + 1) log2 (n + 1) - n log2 n: what one more of a character adds, by its count before."""
     table = [(k + 1) * math.log2(k + 1) - (k * math.log2(k) if k else 0.0) for k in range(WIDTH + 1)]
-    return F.element_at(F.array(*map(F.lit, table)), n + 1)
+    return F.get(F.array(*map(F.lit, table)), n)
 
 
 def best_entropy(value: Column, width: int = WIDTH) -> Column:
-    """Greatest Shannon entropy (bits a character) of any window of `width` characters; of shorter strings, -1.
+    """Greatest Shannon entropy (bits a character) of any window of `width` characters from + to z; of shorter
+    strings, -1.
 
-    The first window is built by entering its characters; after that each step lets one leave and one enter.
+    The window's counts are carried along: at each step the character that leaves takes one from its count and the one
+    that enters adds one, and the sum changes by these two alone. The time is linear in the length.
     """
-    times = lambda part, c: F.length(part) - F.length(F.replace(part, c))
-
-    def step(a, i):
-        enter = F.substr(value, i, F.lit(1))
-        held = F.substr(value, F.greatest(i - width + 1, F.lit(1)), F.least(i - 1, F.lit(width - 1)))
-        leave = F.substr(value, i - width, F.lit(1))
-        before = F.substr(value, i - width + 1, F.lit(width - 1))
-        s = a["s"] + _gain(times(held, enter)) - F.when(i > width, _gain(times(before, leave))).otherwise(0.0)
-        s = s.alias("s")
-        return F.struct(s, F.when(i >= width, F.least(a["least"], s)).otherwise(a["least"]).alias("least"))
-
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(1e300).alias("least"))
-    each = F.sequence(F.lit(1), F.length(value))
+    fields = (_LAST - _FIRST) // _FIELDS + 1
+    none = F.expr("struct(cast(-1 as int) as w, 0L as u, cast(0 as int) as s)")  # nothing leaves the first window
+
+    def place(c):  # number, unit and shift of a character's field
+        code = F.ascii(c) - _FIRST
+        shift = F.expr("cast(0 as int)") + code % _FIELDS * _BITS
+        return let(shift, lambda s: F.struct(F.floor(code / _FIELDS).cast("int").alias("w"), F.call_function("shiftleft", F.expr("1L"), s).alias("u"), s.alias("s")))
+
+    def times(counts, c):
+        return F.call_function("shiftright", F.get(counts, c["w"]), c["s"]).bitwiseAND(F.expr(f"{(1 << _BITS) - 1}L")).cast("int")
+
+    def step(a, z):
+        counts, out, in_ = a["counts"], z["leave"], z["enter"]
+        same = (out["w"] == in_["w"]) & (out["s"] == in_["s"])
+        less = F.when(out["w"] < 0, 0.0).otherwise(_gain(times(counts, out) - 1))
+        more = _gain(times(counts, in_) - same.cast("int"))
+        each = [F.get(counts, F.lit(k)) + F.when(in_["w"] == k, in_["u"]).otherwise(F.expr("0L"))
+                - F.when(out["w"] == k, out["u"]).otherwise(F.expr("0L")) for k in range(fields)]
+        return let(a["s"] - less + more, lambda s: F.struct(
+            F.array(*each).alias("counts"), s.alias("s"), (a["i"] + 1).alias("i"),
+            F.when(a["i"] + 1 >= width, F.least(a["least"], s)).otherwise(a["least"]).alias("least")))
+
+    zero = F.struct(
+        F.array(*[F.expr("0L")] * fields).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(1e300).alias("least"))
+    chars = F.transform(F.filter(F.split(value, ""), lambda x: x != ""), place)
+    late = F.array_repeat(none, width)
+    both = lambda c: F.arrays_zip(c.alias("enter"), F.slice(F.concat(late, c), F.lit(1), F.size(c)).alias("leave"))
     done = lambda a: F.lit(math.log2(width)) - a["least"] / width
-    return F.when(F.length(value) >= width, F.aggregate(each, zero, step, done)).otherwise(F.lit(-1.0))
+    return F.when(F.length(value) >= width, F.aggregate(let(chars, both), zero, step, done)).otherwise(F.lit(-1.0))
 
 
 def allowed(value: Column) -> Column:
@@ -100,20 +135,21 @@ def _base(text: Column, kind: str) -> Column:
     return F.transform(found, lambda x: _span(x, F.lit(kind), F.lit([*BASE].index(kind))))
 
 
-def _entropy(text: Column) -> Column:
-    def kind_of(x):
-        kind, rank, bits = F.lit(None), F.lit(None), F.lit(None)
-        for i, (name, (alphabet, need)) in reversed([*enumerate(CLASSES.items(), len(BASE))]):
-            fits = x["m"].rlike(alphabet)
-            kind, rank, bits = (F.when(fits, F.lit(v)).otherwise(o) for v, o in ((name, kind), (i, rank), (need, bits)))
-        return F.struct(x.alias("x"), kind.alias("kind"), rank.alias("rank"), bits.alias("bits"))
+def _entropy(text: Column, kind: str) -> Column:
+    """Spans of the maximal runs of a class that hold a window as mixed as the class asks."""
+    names = [*CLASSES]
+    alphabet, bits = CLASSES[kind]
+    narrower = CLASSES[names[names.index(kind) - 1]][0] if kind != names[0] else None
 
-    def secret(y):
-        m = y["x"]["m"]
-        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~allowed(m) & (F.round(best_entropy(m), 9) >= y["bits"])
+    def secret(x):
+        m = x["m"]
+        own = m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~allowed(m)
+        if narrower:
+            own = own & ~m.rlike(f"^{narrower}+$")
+        return own & (F.round(best_entropy(m), 9) >= bits)
 
-    found = F.filter(F.transform(spans(text, CANDIDATE), kind_of), secret)
-    return F.transform(found, lambda y: _span(y["x"], y["kind"], y["rank"]))
+    found = F.filter(spans(text, f"{alphabet}{{{WIDTH},}}"), secret)
+    return F.transform(found, lambda x: _span(x, F.lit(kind), F.lit(len(BASE) + names.index(kind))))
 
 
 def _span(x: Column, kind: Column, rank: Column) -> Column:
@@ -124,20 +160,21 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, found): array<struct<at, rank, kind, end>> of all spans of the whole text, by start and kind, ends
     exclusive, in code points.
 
-    Kinds are the base forms (each leftmost and non-overlapping by itself) and the entropy classes. A null or empty
-    text has none. Rows are scanned each by itself, so repeated rows give equal results and an empty table an empty
+    Kinds are the base forms (each leftmost and non-overlapping by itself) and the entropy classes. Every maximal run of
+    a class is judged by itself, so a run of a narrower class is found inside one of a wider class and may lie in its
+    span. Long texts and runs take time in proportion. A null or empty text has none. Rows are scanned each by itself, so repeated rows give equal results and an empty table an empty
     one; other columns are not read.
     """
     body = F.col("__t")
     # most texts hold none of it: cheap tests first
     hints = {
         "assign": body.rlike("[:=]") & body.rlike(BASE["assign"][0]), "access": body.contains("AKIA"),
-        "hex": body.rlike(BASE["hex"][0]), "entropy": body.rlike(CANDIDATE),
+        "hex": body.rlike(BASE["hex"][0]), **{k: body.rlike(f"{a}{{{WIDTH},}}") for k, (a, _) in CLASSES.items()},
     }
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
     none = F.array().cast(_SPAN)
     parts = [F.when(hints[k], _base(body, k).cast(_SPAN)).otherwise(none) for k in BASE]
-    parts.append(F.when(hints["entropy"], _entropy(body).cast(_SPAN)).otherwise(none))
+    parts += [F.when(hints[k], _entropy(body, k).cast(_SPAN)).otherwise(none) for k in CLASSES]
     return rows.select("doc_id", F.sort_array(F.concat(*parts)).alias("found"))
 
 
