@@ -16,19 +16,6 @@ def fixed_text(x: Column, places: int) -> Column:
     return F.when(r == 0, F.lit(0.0)).otherwise(r).cast(f"decimal(38,{places})").cast("string")
 
 
-def canonical_hash(pairs: dict[str, Column]) -> Column:
-    """sha256 of compact JSON with sorted keys. Values are columns already rendered as JSON text."""
-    parts = []
-    for i, k in enumerate(sorted(pairs)):
-        parts += [F.lit(("," if i else "{") + f'"{k}":'), F.coalesce(pairs[k], F.lit("null"))]
-    return F.sha2(F.concat(*parts, F.lit("}")), 256)
-
-
-def json_string(x: Column) -> Column:
-    """A JSON string literal of a text column (to_json escapes it)."""
-    return F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'^\{"v":(.*)\}$', 1)
-
-
 def hash_bucket(text: Column) -> Column:
     """First 8 bytes of sha256 as an unsigned number, modulo 10000."""
     head = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")

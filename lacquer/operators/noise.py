@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .overlaid import overlap_added
 from .quantiles import median, median_mad, medians
 from .spectral import TINY, cosine
 from .validate import codes
@@ -135,8 +136,9 @@ def global_reasons(blocks: DataFrame, scopes: DataFrame, silence_db: float = -88
 
 
 def unless_settled(decision: DataFrame, settled: DataFrame) -> DataFrame:
-    """Clipping or silence anywhere in a scope abstains whatever its spectra say. settled: global_reasons()."""
-    j = decision.join(settled, "capture_id", "left")
+    """Clipping or silence anywhere in a scope abstains whatever its spectra say, and so does a settled capture without
+    a decision. settled: (capture_id, global_reason)."""
+    j = decision.join(settled.where("global_reason is not null"), "capture_id", "full")
     off = F.col("global_reason").isNotNull()
     keep = {"status": F.when(off, "abstained").otherwise(F.col("status")), "confidence": F.when(off, 0.0).otherwise(F.col("confidence")),
             "reason": F.coalesce("global_reason", "reason")}
@@ -214,21 +216,6 @@ def fit_lines(cut: DataFrame, frequencies: list[float], rate: int) -> DataFrame:
     return g.groupBy("capture_id", "channel").agg(F.array_sort(F.collect_list(F.struct("hz", "c", "s"))).alias("lines"))
 
 
-def remove_lines(samples: DataFrame, lines: DataFrame, scopes: DataFrame, rate: int, fade: int) -> DataFrame:
-    """Subtract the fitted lines inside each scope, faded at its edges: closed form on the sample index.
-
-    samples: (capture_id, channel, sample_ix, amp); scopes: (capture_id, scope_start, scope_end).
-    """
-    j = samples.join(lines, ["capture_id", "channel"], "left").join(scopes, "capture_id", "left")
-    at, length = F.col("sample_ix") - F.col("scope_start"), F.col("scope_end") - F.col("scope_start")
-    edge = F.least(at, length - 1 - at)
-    env = F.when(edge < 0, 0.0).when(edge < fade, 0.5 - 0.5 * F.cos(F.pi() * edge / fade)).otherwise(1.0)
-    turn = lambda q: 2.0 * F.pi() * q["hz"] * F.col("sample_ix") / float(rate)
-    model = F.aggregate("lines", F.lit(0.0), lambda a, q: a + q["c"] * F.cos(turn(q)) + q["s"] * F.sin(turn(q)))
-    gone = F.coalesce(model * env, F.lit(0.0))
-    return j.select("capture_id", "channel", "sample_ix", F.col("amp").alias("original"), (F.col("amp") - gone).alias("amp"), gone.alias("removed"))
-
-
 def high_pass(cut: DataFrame, rate: int, cutoff: float, order: int, pad: int, fade: int) -> DataFrame:
     """Zero-phase high-pass of each scope window (at most 90 s) with reflected padding, blended in at the edges."""
 
@@ -264,41 +251,32 @@ def reference_psd(frames: DataFrame) -> DataFrame:
     return med.groupBy("capture_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "p"))), lambda x: x["p"]).alias("psd"))
 
 
-def subtract_noise(frames: DataFrame, psd: DataFrame, rate: int, lower: float, upper: float, strength: float = 0.20, most_db: float = 1.5) -> DataFrame:
-    """What gentle spectral subtraction would remove: (capture_id, channel, sample_ix, removed).
+def subtract_noise(cut: DataFrame, psd: DataFrame, rate: int, lower: float, upper: float, frame: int, hop: int, fade: int,
+                   strength: float = 0.20, most_db: float = 1.5) -> DataFrame:
+    """What gentle spectral subtraction would remove, per stretch of a scope: (capture_id, channel, scope_start,
+    own_start, removed array<double>), faded over `fade` samples at the scope's ends.
 
-    frames: root-Hann frames covering the scope with overlap; unsafe (tonal or transient) frames remove nothing.
-    Overlapping parts are summed per sample and divided by the summed window.
+    cut: samples of stretches(); unsafe (tonal or transient) frames remove nothing.
     """
-    least = 10.0 ** (-most_db / 20.0)
-
-    @F.pandas_udf("array<double>")
-    def removed(xs: pd.Series, noise: pd.Series) -> pd.Series:
-        out = []
-        for x, q in zip(xs, noise):
-            x, q = np.asarray(x), np.asarray(q)
-            taper, hz = np.sqrt(np.hanning(x.size)), np.fft.rfftfreq(x.size, 1.0 / rate)
-            band, spec = (hz >= lower) & (hz <= upper), np.fft.rfft(x * taper)
-            p = np.abs(spec) ** 2
-            inside = p[band]
-            safe = inside.size > 0 and inside.sum() > TINY
-            if safe:
-                flat = np.exp(np.log(np.maximum(inside, TINY)).mean()) / max(inside.mean(), TINY)
-                y = np.fft.irfft(np.where(band, spec, 0.0), n=x.size)
-                crest = np.abs(y).max() / max(np.sqrt(np.mean(y**2)), TINY)
-                safe = flat >= 0.35 * 0.75 and inside.max() / inside.sum() <= 0.08 and crest <= 8.75
-            gain = np.ones_like(p)
-            if safe:
-                keep = np.sqrt(np.maximum(1.0 - strength * q / np.maximum(p, TINY), 0.0))
-                gain[band] = np.maximum(keep, least)[band]
-            out.append((np.fft.irfft(spec * (1.0 - gain), n=x.size) * taper).tolist())
-        return pd.Series(out)
-
-    j = frames.join(psd, ["capture_id", "channel"])
-    flat = j.select("capture_id", "channel", "start_ix", F.size("samples").alias("n"), F.posexplode(removed("samples", "psd")).alias("i", "v"))
-    hann = 0.5 - 0.5 * F.cos(2.0 * F.pi() * F.col("i") / (F.col("n") - 1))
-    g = flat.groupBy("capture_id", "channel", (F.col("start_ix") + F.col("i")).alias("sample_ix")).agg(F.sum("v").alias("v"), F.sum(hann).alias("w"))
-    return g.select("capture_id", "channel", "sample_ix", F.when(F.col("w") > TINY, F.col("v") / F.col("w")).otherwise(F.col("v")).alias("removed"))
+    least, hz = 10.0 ** (-most_db / 20.0), np.fft.rfftfreq(frame, 1.0 / rate)
+    band = (hz >= lower) & (hz <= upper)
+
+    def removed(x: np.ndarray, taper: np.ndarray, noise: np.ndarray):
+        spec = np.fft.rfft(x * taper)
+        p = np.abs(spec) ** 2
+        inside = p[band]
+        if inside.size == 0 or inside.sum() <= TINY:
+            return None
+        flat = np.exp(np.log(np.maximum(inside, TINY)).mean()) / max(inside.mean(), TINY)
+        y = np.fft.irfft(np.where(band, spec, 0.0), n=frame)
+        crest = np.abs(y).max() / max(np.sqrt(np.mean(y**2)), TINY)
+        if flat < 0.35 * 0.75 or inside.max() / inside.sum() > 0.08 or crest > 8.75:
+            return None
+        keep = np.sqrt(np.maximum(1.0 - strength * noise / np.maximum(p, TINY), 0.0))
+        gain = np.where(band, np.maximum(keep, least), 1.0)
+        return np.fft.irfft(spec * (1.0 - gain), n=frame) * taper
+
+    return overlap_added(cut, psd.withColumnRenamed("psd", "side"), frame, hop, fade, removed)
 
 
 def band_powers(cut: DataFrame, rate: int, bands: dict[str, tuple[float, float]]) -> DataFrame:

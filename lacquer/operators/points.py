@@ -1,42 +1,20 @@
-"""Chained folds over ordered points: each step depends on the last point kept.
-
-A point farther than the limit from its predecessor always starts afresh, so every chain of close points is
-folded on its own, in one pass over an array, by a higher-order function.
-"""
+"""Chained folds over ordered points: each step depends on the last point kept."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import coalesce_runs
-
-
-def _chains(points: DataFrame, at: str, item, limit: float, chunk: float) -> DataFrame:
-    src = points.select("capture_id", F.col(at).alias("s"), F.col(at).alias("e"), item.alias("item"))
-    runs = coalesce_runs(
-        src, ["capture_id"], "s", "e", limit, {"items": (F.collect_list("item"), lambda c: F.flatten(F.collect_list(c)))}, chunk)
-    return runs.withColumn("items", F.array_sort("items"))
+from .chains import collapse
 
 
 def collapse_points(points: DataFrame, near: float, chunk_seconds: float = 600.0) -> DataFrame:
-    """Chain points closer than `near` to the last kept one, keeping the better score: (capture_id, cut_seconds, score)."""
-    item = F.struct(F.col("cut_seconds").alias("c"), (-F.col("score")).alias("n"))
-    chains = _chains(points, "cut_seconds", item, math.nextafter(near, 0.0), chunk_seconds)
-    empty = F.array().cast("array<struct<c:double,n:double>>")
+    """Chain points closer than `near` to the last kept one, keeping the better score: (capture_id, cut_seconds, score).
 
-    def step(kept, p):
-        last = F.try_element_at(kept, F.lit(-1))
-        close = p["c"] - last["c"] < near
-        body = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
-        return F.when(F.coalesce(close, F.lit(False)) & (p["n"] < last["n"]), F.concat(body, F.array(p))).when(
-            F.coalesce(close, F.lit(False)), kept).otherwise(F.concat(kept, F.array(p)))
-
-    kept = F.aggregate("items", empty, step)
-    return chains.select("capture_id", F.explode(kept).alias("k")).select(
-        "capture_id", F.col("k.c").alias("cut_seconds"), (-F.col("k.n")).alias("score"))
+    However long a chain is, its points stay in chunks of time.
+    """
+    own = points.select("capture_id", F.col("cut_seconds").alias("cut"), "score")
+    return collapse(own, "capture_id", near, [], chunk_seconds).select("capture_id", F.col("cut").alias("cut_seconds"), "score")
 
 
 def refractory_counts(hits: DataFrame, key: str, at: str, gap: int, window: int) -> DataFrame:
@@ -55,16 +33,20 @@ def refractory_counts(hits: DataFrame, key: str, at: str, gap: int, window: int)
     return w.select(key, "win_ix", F.aggregate("_h", start, step)["n"].alias("impulses"))
 
 
-def strongest_apart(hits: DataFrame, key: str, at: str, strength: str, gap: int, window: int, most: int = 12) -> DataFrame:
-    """Greedy non-maximum suppression per window: by falling strength, keep what is more than `gap` from all kept."""
+def strongest_apart(hits: DataFrame, key: str, at: str, strength: str, gap: int, window: int, most: int | None) -> DataFrame:
+    """Greedy non-maximum suppression per window: by falling strength, keep what is more than `gap` from all kept.
+
+    Of those the `most` strongest of a window come out (all with None), with `left_out`, the number of the others.
+    """
     w = hits.groupBy(key, F.expr(f"{at} div {window}").alias("win_ix")).agg(
         F.array_sort(F.collect_list(F.struct((-F.col(strength)).alias("n"), F.col(at).cast("bigint").alias("at")))).alias("_h"))
     none = F.array().cast("array<struct<n:double,at:bigint>>")
 
     def step(kept, p):
         clash = F.exists(kept, lambda k: F.abs(k["at"] - p["at"]) <= gap)
-        return F.when(clash | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(p)))
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(p)))
 
-    kept = F.aggregate("_h", none, step)
-    return w.select(key, "win_ix", F.explode(kept).alias("k")).select(
-        key, "win_ix", F.col("k.at").alias(at), (-F.col("k.n")).alias(strength))
+    w = w.withColumn("_k", F.aggregate("_h", none, step))
+    top, more = ("_k", F.lit(0)) if most is None else (F.slice("_k", 1, most), F.greatest(F.size("_k") - most, F.lit(0)))
+    return w.select(key, "win_ix", more.alias("left_out"), F.explode(top).alias("k")).select(
+        key, "win_ix", F.col("k.at").alias(at), (-F.col("k.n")).alias(strength), "left_out")

@@ -44,10 +44,11 @@ def coalesce_overlaps(regions: DataFrame, wide: int = 1 << 20) -> DataFrame:
     return runs.select("scope_id", F.col("start_ix").alias("start_sample"), F.col("end_ix").alias("end_sample"))
 
 
-def tiles(ranges: DataFrame, size: int, hop: int | None = None, force_last: bool = False, chunk: int = 4096) -> DataFrame:
+def tiles(ranges: DataFrame, size: int, hop: int | None = None, force_last: bool = False, chunk: int = 4096, short: bool = False) -> DataFrame:
     """Full windows of `size` at every `hop`; with `force_last` one more ends exactly at the range's end.
 
-    Tiles are numbered chunk by chunk, so no row holds all tiles of a long range. A range shorter than a tile has none.
+    Tiles are numbered chunk by chunk, so no row holds all tiles of a long range. A range shorter than a tile has
+    none, or with `short` one that is the whole range and whose `complete` is false.
     """
     hop = hop or size
     last = F.col("end_sample") - size
@@ -57,4 +58,9 @@ def tiles(ranges: DataFrame, size: int, hop: int | None = None, force_last: bool
     out = out.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {chunk}"))))
     out = out.withColumn("_i", F.explode(F.sequence(F.col("_k") * chunk, F.least(F.col("_n"), (F.col("_k") + 1) * chunk) - 1)))
     out = out.withColumn("tile_start", F.least(last, F.col("start_sample") + F.col("_i") * hop)).drop("_n", "_k", "_i")
-    return out.withColumn("tile_end", F.col("tile_start") + size)
+    out = out.withColumn("tile_end", F.col("tile_start") + size)
+    if not short:
+        return out
+    part = ranges.where((room < 0) & (F.col("end_sample") > F.col("start_sample")))
+    part = part.withColumn("tile_start", F.col("start_sample")).withColumn("tile_end", F.col("end_sample"))
+    return out.withColumn("complete", F.lit(True)).unionByName(part.withColumn("complete", F.lit(False)))

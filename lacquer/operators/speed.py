@@ -202,11 +202,3 @@ def release_identity(project: DataFrame, reference: DataFrame) -> DataFrame:
         .otherwise("matched")
     )
     return j.select("project_id", status.alias("status"))
-
-
-def corrected_lengths(rate: int, factor: float) -> tuple[int, float]:
-    """Driver-side form of the integer-rate correction, for one configuration value."""
-    if not (math.isfinite(factor) and factor > 0):
-        raise ValueError("factor must be positive and finite")
-    new = math.floor(rate / factor + 0.5)
-    return new, rate / new

@@ -108,19 +108,19 @@ MAX_DEPTH, MAX_ITEMS = 12, 2048
 
 
 def payload_problem(text: str | None) -> str:
-    """First problem of one JSON payload: depth, size, key shape, private keys, numbers out of range."""
+    """First problem of one JSON payload: key shape, private keys, numbers out of range, path-like text; depth and size
+    where nothing else is wrong. The walk goes to the end, so what lies behind a limit is named all the same."""
     try:
         todo = [(json.loads(text), 0)]
+    except RecursionError:
+        return "too_deep"
     except (TypeError, ValueError):
         return "not_json"
-    seen = 0
+    seen, deepest = 0, 0
     while todo:
         item, depth = todo.pop()
         seen += 1
-        if depth > MAX_DEPTH:
-            return "too_deep"
-        if seen > MAX_ITEMS:
-            return "too_many_items"
+        deepest = max(deepest, depth)
         if isinstance(item, float) and not math.isfinite(item):
             return "not_finite"
         if type(item) is int and not -(1 << 63) <= item < 1 << 63:
@@ -135,7 +135,7 @@ def payload_problem(text: str | None) -> str:
                     return "private_key"
         kids = item.values() if isinstance(item, dict) else item if isinstance(item, list) else ()
         todo += [(kid, depth + 1) for kid in kids]
-    return ""
+    return "too_deep" if deepest > MAX_DEPTH else "too_many_items" if seen > MAX_ITEMS else ""
 
 
 def payload_guard(payload: Column) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import impulses as imp
+from ..operators import overlaid
 from ..operators import repair as rep
 from ..operators import validate as va
-from ..operators.intervals import points_in
 from ..operators.ordered import coalesce_runs
 from ..session import stage
 
@@ -53,11 +53,8 @@ def repair_events(blocks: DataFrame, retained: DataFrame, decisions: DataFrame,
     approved = retained.where("repairable").join(decisions.where("decision = 'approved'").select("capture_id", "event_id"), ["capture_id", "event_id"], "left_semi")
     approved = stage(approved.join(bad, "capture_id", "left_anti"))
     patches = stage(rep.patches(rep.event_contexts(approved, blocks, block)))
-    out = stage(rep.overlay_blocks(blocks, patches, block))
-    pair = out.select("capture_id", "channel", "block_ix", "start_sample", F.col("samples").alias("new")).join(
-        blocks.select("capture_id", "channel", "block_ix", F.col("samples").alias("old")), ["capture_id", "channel", "block_ix"])
-    moved = pair.select("capture_id", "channel", "start_sample", F.posexplode(F.zip_with("old", "new", lambda a, b: a != b)).alias("_p", "changed")).where("changed")
-    moved = moved.select("capture_id", "channel", (F.col("start_sample") + F.col("_p")).alias("sample_ix"))
+    out = stage(overlaid.overlay_blocks(blocks, patches, block))
     wins = patches.where("patch is not null").select("capture_id", "channel", F.col("start_frame").alias("start_ix"), F.col("end_frame").alias("end_ix"))
-    outside = points_in(moved, wins, ["capture_id", "channel"], "sample_ix", how="left_anti")
-    return {"problems": problems, "patches": patches, "blocks": out, "outside": outside}
+    stray = overlaid.measured_blocks(out, wins, block).where("changed_outside > 0")
+    outside = stray.select("capture_id", "channel", F.explode("stray").alias("sample_ix"))
+    return {"problems": problems, "patches": patches, "blocks": out.drop("original"), "outside": outside}

@@ -85,12 +85,13 @@ def f24(spark, d):
 
 
 @query("f25_tile_ranges", """with s as (select o_orderkey, cast(floor(o_totalprice / 100) as bigint) as n from orders), t as (select o_orderkey, n, unnest(range(0, greatest(n - 500 + 1, 0), 125)) as start_sample from s),
-  u as (select o_orderkey, start_sample from t union select o_orderkey, n - 500 from s where n >= 500) select o_orderkey, start_sample from u""")
+  u as (select o_orderkey, start_sample from t union select o_orderkey, n - 500 from s where n >= 500)
+  select o_orderkey, start_sample, start_sample + 500 as end_sample, true as complete from u union all select o_orderkey, 0, n, false from s where n > 0 and n < 500""")
 def f25(spark, d):
     from ..operators.regions import tiles
 
     o = table(spark, d, "orders").select("o_orderkey", F.lit(0).cast("bigint").alias("start_sample"), (F.col("o_totalprice") / 100).cast("bigint").alias("end_sample"))
-    return tiles(o, 500, 125, force_last=True).select("o_orderkey", F.col("tile_start").alias("start_sample"))
+    return tiles(o, 500, 125, force_last=True, short=True).select("o_orderkey", F.col("tile_start").alias("start_sample"), F.col("tile_end").alias("end_sample"), "complete")
 
 
 @query("c7_record_strictness", f"""select {K}, concat_ws(',', case when l_partkey % 10 = 0 then 'record_digest_invalid' end, case when l_suppkey % 9 = 0 then 'project_source_disagree' end,
@@ -220,9 +221,9 @@ def c14(spark, d):
 
 
 @query("f22_history_retention", "with" + STATES + """, r as (select project_id, sequence, row_number() over w as n, sum(bytes) over w as b from sx window w as (partition by project_id order by sequence desc))
-  select project_id, sequence from r where n <= 3 and (b <= 900 or n = 1)""")
+  select project_id, sequence, not (n <= 3 and (b <= 900 or n = 1)) as expired from r""")
 def f22(spark, d):
-    return st.retained_history(states(spark, d), 3, 900).select("project_id", "sequence")
+    return st.retained_history(states(spark, d), 3, 900).select("project_id", "sequence", "expired")
 
 
 @query("f23_transition_inference", "with" + STATES + """, l as (select *, lag(role) over w as pr, lag(bytes) over w as pb, lag(after) over w as pa from sx window w as (partition by project_id order by sequence))
@@ -234,7 +235,7 @@ def f23(spark, d):
 
 @query("a19_checkpoints", "with" + STATES + """, e as (select project_id, bytes % 3 as name_key, sequence, case when bytes % 5 = 0 then 'remove' else 'set' end as action, after from sx),
   l as (select *, row_number() over (partition by project_id, name_key order by sequence desc) as r from e), v as (select *, row_number() over (partition by project_id order by sequence desc) as k from l where r = 1 and action = 'set')
-  select project_id, name_key, sequence, after as state from v where k <= 2""")
+  select project_id, name_key, sequence, after as state, k > 2 as expired from v""")
 def a19(spark, d):
     e = states(spark, d).select("project_id", (F.col("bytes") % 3).alias("name_key"), "sequence", F.when(F.col("bytes") % 5 == 0, "remove").otherwise("set").alias("action"), F.col("after").alias("state"))
     return st.latest_checkpoints(e, 2)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import SIG, sig
 from ..operators import impulses as imp
+from ..operators import overlaid
 from ..operators import repair as rep
 from ..operators.intervals import points_in
 from ..operators.ordered import windowed
@@ -200,8 +201,8 @@ def d4(spark, d):
     flat = clips(spark, d).select(
         "capture_id", "channel", F.col("start_ix").alias("start_frame"),
         F.array_repeat(F.lit(0.5), (F.col("end_ix") - F.col("start_ix")).cast("int")).alias("patch"))
-    out = rep.overlay(sig_values(spark, d), flat)
-    return out.select("capture_id", "channel", "sample_ix", F.round("amp", 9).alias("amp"))
+    out = overlaid.overlay_blocks(to_blocks(sig_values(spark, d), 4096), flat, 4096)
+    return overlaid.sample_rows(out).select("capture_id", "channel", "sample_ix", F.round("amp", 9).alias("amp"))
 
 
 @query("e31_render_metrics", "with" + CLIPS + """, o as (select l.*, c.start_ix is not null as inside from loud l left join clips c
@@ -212,7 +213,8 @@ def e31(spark, d):
     c = clips(spark, d)
     flat = c.select("capture_id", "channel", F.col("start_ix").alias("start_frame"),
                     F.array_repeat(F.lit(0.5), (F.col("end_ix") - F.col("start_ix")).cast("int")).alias("patch"))
-    m = rep.render_metrics(rep.overlay(sig_values(spark, d), flat), c.select("capture_id", "channel", "start_ix", "end_ix"))
+    laid = overlaid.overlay_blocks(to_blocks(sig_values(spark, d), 4096), flat, 4096)
+    m = overlaid.render_metrics(laid, c.select("capture_id", "channel", "start_ix", "end_ix"), 4096)
     return m.select("capture_id", "samples", "changed", F.round("max_removed", 9).alias("max_removed"), "changed_outside",
                     (F.col("reconstruction_error") <= 1e-12).alias("reconstructs"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import SIG, sig, table
 from ..operators import impulses as imp
 from ..operators import noise as nz
+from ..operators import overlaid
 from ..operators import points
 from ..operators import spectral as sx
 from ..operators.regions import tiles
@@ -201,13 +202,13 @@ def f10(spark, d):
   dv as (select capture_id, sample_ix, abs(amp - coalesce(lag(amp) over (partition by capture_id order by sample_ix), amp)) as s from sig),
   od as (select capture_id, sample_ix, s, sample_ix // 500 as w, row_number() over (partition by capture_id, sample_ix // 500 order by s desc, sample_ix) as rn from dv where s > 0.02),
   fo as (select capture_id, w, rn, [sample_ix] as kept from od where rn = 1 union all
-    select f.capture_id, f.w, o.rn, case when len(f.kept) >= 12 or list_bool_or(list_transform(f.kept, lambda k: abs(k - o.sample_ix) <= 15)) then f.kept else list_append(f.kept, o.sample_ix) end
+    select f.capture_id, f.w, o.rn, case when list_bool_or(list_transform(f.kept, lambda k: abs(k - o.sample_ix) <= 15)) then f.kept else list_append(f.kept, o.sample_ix) end
     from fo f join od o on o.capture_id = f.capture_id and o.w = f.w and o.rn = f.rn + 1),
-  ls as (select capture_id, w, arg_max(kept, rn) as kept from fo group by 1, 2), un as (select capture_id, w, unnest(kept) as sample_ix from ls)
-  select u.capture_id, u.w as win_ix, u.sample_ix, round(s, 9) as strength from un u join dv using (capture_id, sample_ix)""")
+  ls as (select capture_id, w, arg_max(kept, rn) as kept from fo group by 1, 2), un as (select capture_id, w, unnest(kept[1:12]) as sample_ix, greatest(len(kept) - 12, 0)::integer as left_out from ls)
+  select u.capture_id, u.w as win_ix, u.sample_ix, round(s, 9) as strength, left_out from un u join dv using (capture_id, sample_ix)""")
 def f11(spark, d):
     near = imp.derivatives(sig(spark, d), ["capture_id"]).withColumn("strength", F.abs("derivative"))
-    out = points.strongest_apart(near.where("strength > 0.02"), "capture_id", "sample_ix", "strength", 15, 500)
+    out = points.strongest_apart(near.where("strength > 0.02"), "capture_id", "sample_ix", "strength", 15, 500, 12)
     return out.withColumn("strength", F.round("strength", 9))
 
 
@@ -322,10 +323,10 @@ def i9(spark, d):
   r as (select capture_id, sample_ix, amp, (0.01 * cos(2 * pi() * 50 * sample_ix / 1000.0::double) + 0.02 * sin(2 * pi() * 50 * sample_ix / 1000.0::double)) * case when least(sample_ix, n - 1 - sample_ix) < 20 then 0.5 - 0.5 * cos(pi() * least(sample_ix, n - 1 - sample_ix) / 20) else 1 end as gone from sig join l using (capture_id))
   select capture_id, sample_ix, round(amp - gone, 8) as amp from r""")
 def i10(spark, d):
-    s = sig(spark, d).withColumn("channel", F.lit(0)).select("capture_id", "channel", "sample_ix", "amp")
     line = F.array(F.struct(F.lit(50.0).alias("hz"), F.lit(0.01).alias("c"), F.lit(0.02).alias("s")))
     lines = extent(spark, d).select("capture_id", F.lit(0).alias("channel"), line.alias("lines"))
-    return nz.remove_lines(s, lines, scopes(spark, d), RATE, 20).select("capture_id", "sample_ix", F.round("amp", 8).alias("amp"))
+    laid = overlaid.remove_lines(blocks(spark, d), lines, scopes(spark, d), RATE, 20)
+    return overlaid.sample_rows(laid).select("capture_id", "sample_ix", F.round("amp", 8).alias("amp"))
 
 
 HALF = SIG + """, h as (select capture_id, sample_ix, amp as original, amp * case when capture_id < 'f' then 0.9 else 0.8 end as amp from sig)"""
@@ -387,10 +388,10 @@ def i19(spark, d):
 @query("i18_crackle_repair")
 def i18(spark, d):
     b = blocks(spark, d)
-    e = stage(imp.merge_channels(imp.impulse_events(b, max_length=8)))
+    e = stage(imp.merge_channels(imp.impulse_events(b).where("end_ix - start_ix <= 8")))
     ok = extent(spark, d).select("capture_id", F.lit("proposed").alias("status"))
-    out = noise.preview_crackle(b, ok, e, BLOCK)
-    return out.select("capture_id", "channel", "event_id", F.size("patch").alias("filled"))
+    out = noise.preview_crackle(b, ok, e.where(F.substring("capture_id", 1, 1) != "s"), BLOCK)["render"]
+    return flat_text(out)
 
 
 @query("j12_noise_preview")

@@ -12,7 +12,6 @@ ARTIFACTS = {
     "preview": r"^preview-([0-9a-z]{1,64})\.json$",
     "render": r"^render-([0-9a-z]{1,64})\.json$",
 }
-MAX_RECORDS = 4096
 MAX_CHECKPOINTS = 20
 MAX_HISTORY = 100
 MAX_HISTORY_BYTES = 16 * 1024 * 1024
@@ -107,13 +106,15 @@ def pin_state(album: DataFrame, current: DataFrame, fields: list[str], selected:
 
 
 def latest_checkpoints(events: DataFrame, most: int = MAX_CHECKPOINTS) -> DataFrame:
-    """State of each named checkpoint after all set and remove events; at most `most` newest per project stay.
+    """State of each named checkpoint after all set and remove events, and `expired`: not among the `most` newest of
+    its project.
 
     events: (project_id, name_key, sequence, action, state). The last event of a name wins.
     """
     last = events.groupBy("project_id", "name_key").agg(F.max(F.struct("sequence", "action", "state")).alias("e"))
     live = last.where("e.action = 'set'").select("project_id", "name_key", F.col("e.sequence").alias("sequence"), F.col("e.state").alias("state"))
-    return newest(live, most)
+    top = newest(live, most).select("project_id", "name_key", F.lit(False).alias("_in"))
+    return live.join(top, ["project_id", "name_key"], "left").withColumn("expired", F.coalesce("_in", F.lit(True))).drop("_in")
 
 
 def newest(rows: DataFrame, most: int, salts: int = 64) -> DataFrame:
@@ -126,12 +127,14 @@ def newest(rows: DataFrame, most: int, salts: int = 64) -> DataFrame:
 
 
 def retained_history(history: DataFrame, most: int = MAX_HISTORY, most_bytes: int = MAX_HISTORY_BYTES) -> DataFrame:
-    """Newest entries within the count and the cumulative bytes; the newest one always stays.
+    """The history with `expired`, true beyond the newest `most` entries of a project or beyond `most_bytes` summed up
+    from the newest; the newest one never expires. Nothing is dropped.
 
     history: (project_id, sequence, bytes). Only the newest `most` of a project can stay, so only those are summed.
     """
     top = newest(history, most)
     run = Window.partitionBy("project_id").orderBy(F.col("sequence").desc()).rowsBetween(Window.unboundedPreceding, 0)
     first = Window.partitionBy("project_id").orderBy(F.col("sequence").desc())
-    return top.withColumn("_b", F.sum("bytes").over(run)).withColumn("_n", F.row_number().over(first)).where(
-        (F.col("_b") <= most_bytes) | (F.col("_n") == 1)).drop("_b", "_n")
+    kept = top.withColumn("_b", F.sum("bytes").over(run)).withColumn("_n", F.row_number().over(first)).where(
+        (F.col("_b") <= most_bytes) | (F.col("_n") == 1)).select("project_id", "sequence", F.lit(False).alias("_in"))
+    return history.join(kept, ["project_id", "sequence"], "left").withColumn("expired", F.coalesce("_in", F.lit(True))).drop("_in")

@@ -137,3 +137,72 @@ def test_evidence_window_sees_the_needle(spark):
     assert any(t.hint == "needle_drop_candidate" and abs(t.offset - 2000) < 5 for t in f.transients)
     s = out["spectrogram"].first()
     assert len(s.dbfs) == 16 and max(map(max, s.dbfs)) <= 0.0 and out["waveform"].count() == 80
+
+
+def hiss_in_one_piece(x, psd, rate, lower, upper, frame, hop, fade):
+    """The same subtraction over a whole scope at once, as loops over its frames."""
+    taper, hz = np.sqrt(np.hanning(frame)), np.fft.rfftfreq(frame, 1 / rate)
+    band, total, weight = (hz >= lower) & (hz <= upper), np.zeros(x.size), np.zeros(x.size)
+    for f in sorted({*range(0, x.size - frame + 1, hop), x.size - frame}):
+        weight[f : f + frame] += taper**2
+        spec = np.fft.rfft(x[f : f + frame] * taper)
+        p = np.abs(spec) ** 2
+        y = np.fft.irfft(np.where(band, spec, 0), n=frame)
+        flat = np.exp(np.log(np.maximum(p[band], 1e-300)).mean()) / p[band].mean()
+        if flat >= 0.2625 and p[band].max() / p[band].sum() <= 0.08 and np.abs(y).max() / np.sqrt(np.mean(y**2)) <= 8.75:
+            gain = np.where(band, np.maximum(np.sqrt(np.maximum(1 - 0.2 * psd / p, 0)), 10 ** (-1.5 / 20)), 1)
+            total[f : f + frame] += np.fft.irfft(spec * (1 - gain), n=frame) * taper
+    out = np.where(weight > 1e-15, total / np.maximum(weight, 1e-15), total)
+    edge = np.minimum(np.arange(x.size), np.arange(x.size)[::-1])
+    return out * np.where(edge < fade, 0.5 - 0.5 * np.cos(np.pi * np.minimum(edge, fade - 1) / (fade - 1)), 1)
+
+
+@pytest.mark.parametrize("block", [512, 1024, 8192])
+def test_subtraction_over_stretches_equals_one_piece(spark, block):
+    n, frame, hop = 5003, 256, 64
+    x = np.random.default_rng(8).normal(0, 1e-3, n)
+    s = spark.createDataFrame([("n", 0, i, float(v)) for i, v in enumerate(x)], "capture_id string, channel int, sample_ix bigint, amp double")
+    refs = spark.createDataFrame([("n", "a", 0, 1000)], "capture_id string, label string, start_sample bigint, end_sample bigint")
+    sc = spark.createDataFrame([("n", 0, n)], "capture_id string, scope_start bigint, scope_end bigint")
+    rows = noise.preview_hiss(to_blocks(s, block), refs, sc, 1000, block, 100.0, 450.0, frame, hop).orderBy("sample_ix").collect()
+    starts = sorted({*range(0, 1000 - frame + 1, hop), 1000 - frame})
+    psd = np.median([np.abs(np.fft.rfft(x[f : f + frame] * np.sqrt(np.hanning(frame)))) ** 2 for f in starts], axis=0)
+    want = hiss_in_one_piece(x, psd, 1000, 100.0, 450.0, frame, hop, 100)
+    got = np.array([r.removed for r in rows])
+    assert [r.sample_ix for r in rows] == list(range(n)) and np.abs(got - want).max() < 1e-15 and np.abs(want).max() > 0 and got[0] == got[-1] == 0
+
+
+def test_patches_over_block_edges(spark):
+    from lacquer.operators import overlaid
+
+    x = np.arange(1000, dtype=float)
+    s = spark.createDataFrame([(k, 0, i, float(v)) for k in "ab" for i, v in enumerate(x)], "capture_id string, channel int, sample_ix bigint, amp double")
+    b = to_blocks(s, 64)
+    patches = spark.createDataFrame([("a", 0, 60, [-1.0] * 200), ("a", 0, 300, [-2.0]), ("a", 0, 990, [-3.0] * 40), ("a", 0, 400, None), ("a", 0, 500, [500.0])],
+                                    "capture_id string, channel int, start_frame bigint, patch array<double>")
+    laid = overlaid.overlay_blocks(b, patches, 64)
+    want = x.copy()
+    want[60:260], want[300], want[990:] = -1, -2, -3
+    got = {(r.capture_id, r.sample_ix): r for r in overlaid.sample_rows(laid).collect()}
+    assert all(got["a", i].amp == want[i] and got["b", i].amp == x[i] and got["a", i].original == x[i] for i in range(1000))
+    windows = spark.createDataFrame([("a", 0, 60, 260), ("a", 0, 100, 280), ("a", 0, 299, 301)], "capture_id string, channel int, start_ix bigint, end_ix bigint")
+    m = {r.capture_id: r for r in overlaid.gated_render(overlaid.render_metrics(laid, windows, 64)).collect()}
+    gone = x - want
+    assert (m["a"].samples, m["a"].changed, m["a"].changed_outside, m["a"].max_removed) == (1000, 211, 10, gone.max())
+    assert np.isclose(m["a"].removed_rms, np.sqrt(np.mean(gone**2))) and m["a"].reasons == ["changed_outside_events"] and m["a"].status == "refused"
+    assert np.isclose(m["a"].proposed_gain, 1.01) and np.isclose(m["a"].monitor_gain, 0.05 / np.sqrt(np.mean(gone**2)))
+    assert m["b"].reasons == ["no_bounded_change"] and m["b"].monitor_gain == 100.0
+
+
+def test_short_and_incomplete_references_abstain(spark):
+    """A reference shorter than a window, one with a hole, and a scope without samples say why nothing is proposed."""
+    x = side("hum50")
+    b = blocks_of(spark, {"short": x, "hole": x, "whole": x}).where("capture_id <> 'hole' or start_sample <> 0")
+    refs, scopes = regions(spark, ["short", "hole", "whole", "empty"])
+    refs = refs.withColumn("end_sample", F.when((F.col("capture_id") == "short") & (F.col("label") == "lead_in"), RATE).otherwise(F.col("end_sample")))
+    out = noise.noise_evidence(b, refs, scopes, RATE, 2 * RATE, BLOCK)
+    got = {r.capture_id: (r.status, r.reason) for r in out["hum"].collect()}
+    assert got["whole"][0] == "proposed" and got["short"] == ("abstained", "region_shorter_than_window")
+    assert got["empty"] == got["hole"] == ("abstained", "window_incomplete")
+    listed = {(r.capture_id, r.region, r.reason) for r in out["unmeasured"].collect()}
+    assert ("short", "lead_in", "region_shorter_than_window") in listed

@@ -140,3 +140,43 @@ def test_refit_follows_measured_gaps(spark):
     assert [(r.project_id, r.reason) for r in out["refused"].collect()] == [(2, "range_cannot_hold_tracks")]
     assert out["operations"].where("project_id = 1").first().operation == "split"
     assert out["tracks"].agg(F.max("end_sample")).first()[0] == 150000
+
+
+def test_points_in_chunks_are_chosen_as_in_one_task(spark):
+    """Captures of many points, dense ones and infeasible ones, with and without sides and known durations."""
+    rng = np.random.default_rng(12)
+    cands, params = [], []
+    for k in range(14):
+        n, hi = int(rng.integers(2, 220)), float(rng.integers(300, 4000) if k % 3 else rng.integers(90, 130))
+        cuts = np.sort(rng.uniform(0, hi, n))
+        cuts[1::7] = cuts[0::7][: len(cuts[1::7])] + 0.02
+        cands += [(f"c{k}", float(i), float(c), float(c) - 0.4 * (i % 3), float(c) + 0.4 * (i % 3), float(s)) for i, (c, s) in enumerate(zip(cuts, rng.uniform(0.2, 1, n).round(1)))]
+        count = int(rng.integers(1, 8)) if k % 3 else int(hi / 18)
+        sides = (["A"] * (count // 2) + ["B"] * (count - count // 2)) if k % 4 == 1 else None
+        params.append((f"c{k}", 1.0, hi - 1.0, count, [float(x) for x in rng.uniform(10, 90, count)] if k % 5 == 2 else None, sides))
+    cands = spark.createDataFrame(cands, "capture_id string, cut_ix double, cut_seconds double, start_seconds double, end_seconds double, score double").repartition(4)
+    params = spark.createDataFrame(params, "capture_id string, core_start double, core_end double, track_count int, durations array<double>, sides array<string>")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    whole = rows(choice.choose_exact_count(cands, params, 1000, 25.0))
+    assert rows(choice.choose_exact_count(cands, params, 1000, 25.0, limit=0)) == whole and len(whole) > 40
+
+
+@pytest.mark.parametrize("near, chunk", [(0.05, 1.0), (0.3, 0.3), (0.5, 7.0)])
+def test_collapse_equals_the_fold(spark, near, chunk):
+    from lacquer.operators.points import collapse_points
+
+    rng = np.random.default_rng(4)
+    rows = [(k, float(c), float(s)) for k in "ab" for c, s in zip(rng.uniform(0, 40, 600).round(2), rng.uniform(0, 1, 600).round(1))]
+    rows += [("c", 0.04 * i, (i * 7 % 13) / 13) for i in range(3000)] + [("d", 5.0, 0.5)]  # c is one endless chain
+    got = {}
+    for r in collapse_points(spark.createDataFrame(rows, "capture_id string, cut_seconds double, score double").repartition(3), near, chunk).collect():
+        got.setdefault(r.capture_id, []).append((r.cut_seconds, r.score))
+    for k in "abcd":
+        kept = []
+        for c, s in sorted(((c, s) for q, c, s in rows if q == k), key=lambda p: (p[0], -p[1])):
+            if kept and c - kept[-1][0] < near:
+                if s > kept[-1][1]:
+                    kept[-1] = (c, s)
+            else:
+                kept.append((c, s))
+        assert sorted(got[k]) == kept

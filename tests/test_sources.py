@@ -87,6 +87,25 @@ def test_payload_guard():
         "private_key", "private_key", "too_deep", "not_finite", "key_not_supported", "not_json", "too_many_items"]
 
 
+def test_payload_guard_walks_to_the_end():
+    assert va.payload_problem(json.dumps({"a": [*range(3000), {"password": 1}]})) == "private_key"
+    deep = '{"file":1}'
+    for _ in range(40):
+        deep = '{"a":' + deep + "}"
+    assert va.payload_problem(deep) == "private_key"
+    assert va.payload_problem("[" * 200_000 + "]" * 200_000) == "too_deep"
+
+
+def test_expired_rows_are_flagged_not_dropped(spark):
+    from lacquer.sources import stores as st
+
+    h = spark.createDataFrame([("p", i, 10) for i in range(8)] + [("q", 0, 500)], "project_id string, sequence bigint, bytes bigint")
+    got = {(r.project_id, r.sequence): r.expired for r in st.retained_history(h, 5, 30).collect()}
+    assert got == {**{("p", i): i < 5 for i in range(8)}, ("q", 0): False}
+    e = spark.createDataFrame([("p", i, i, "set", "s") for i in range(6)] + [("p", 5, 9, "remove", None)], "project_id string, name_key bigint, sequence bigint, action string, state string")
+    assert {r.name_key: r.expired for r in st.latest_checkpoints(e, 2).collect()} == {0: True, 1: True, 2: True, 3: False, 4: False}
+
+
 def test_long_cycles_are_found(spark):
     nodes = [("g", f"n{i}") for i in range(30)] + [("h", f"n{i}") for i in range(30)]
     edges = [("g", f"n{i}", f"n{i + 1}") for i in range(29)] + [("h", f"n{i}", f"n{(i + 1) % 30}") for i in range(30)] + [("g", "n3", "gone")]
