@@ -323,20 +323,63 @@ def j8(spark, d):
     return refit_topology(rel, music, c, 1000, 1.0, prev)["boundaries"]
 
 
-@query("g6_exact_count_choice")
-def g6(spark, d):
+def choice_sql(count: str, spacing: float) -> str:
+    """Points of a capture as a list, layers of one more point each as lists over it: exact count first, else the most
+    points that fit, then the measured ones, then the value."""
+    far = "case when x.b <= x.a then abs(x.c - t[{k}]) else greatest(0.0, x.a - t[{k}], t[{k}] - x.b) end"
+    gain = f"(x.s - 0.75 * ({far}) / tol)"
+    near = "(x.s - 0.75 * list_min(list_transform(t, lambda w: abs(x.c - w))) / tol)"
+    prev = f"""list_max(list_transform(list_filter(list_transform(st, lambda q, j: {{'r': q.r, 'v': q.v, 'n': -j, 'q': q.q}}),
+      lambda z: z.r >= 0 and x.c - p[-z.n].c >= {spacing}), lambda z: z))"""
+    unit = "case when x.b > x.a then 1 else 0 end"
+
+    def layers(name, of, first, rest):
+        return f"""{name} as (
+  select {of}.*, 1 as k, list_transform(p, lambda x, i: {{'r': case when x.c - lo >= {spacing} then {first[0]} else -1 end, 'v': {first[1]}, 'q': [i]}}) as st from {of} where n > 1
+  union all select capture_id, lo, hi, n, t, tol, p, k + 1, list_transform(list_transform(p, lambda x, i: {{'x': x, 'i': i, 'm': {prev}}}),
+    lambda y: {{'r': coalesce(y.m.r + {rest[0]}, -1), 'v': coalesce(y.m.v + {rest[1]}, 0.0), 'q': list_append(y.m.q, y.i)}}) from {name} where k < n - 1)"""
+
+    best = f"list_max(list_filter(list_transform(st, lambda q, j: {{'r': case when hi - p[j].c >= {spacing} then q.r else -1 end, 'v': q.v, 'n': -j, 'q': q.q}}), lambda z: z.r >= 0))"
+    of_y = lambda e: e.replace("x.", "y.x.")
+    return "with recursive" + CAND.replace("with", "") + f""",
+  tg as (select capture_id, core_start as lo, core_end as hi, ({count})::integer as n from bnd where core_end is not null),
+  tt as (select *, list_transform(range(1, n), lambda i: lo + (hi - lo) * i / n) as t, least(45.0, greatest(8.0, 0.15 * greatest(1.0, (hi - lo) / n))) as tol from tg),
+  al as (select c.capture_id, cut_seconds as c, start_seconds as a, end_seconds as b, score as s, cut_ix::double as ix from cand c join tt using (capture_id)
+      where cut_seconds >= lo + {spacing} and cut_seconds <= hi - {spacing}
+    union all select capture_id, y, y, y, 0.08, -1.0 from (select capture_id, unnest(t) as y from tt)),
+  od as (select *, row_number() over (partition by capture_id order by c, s desc, a, b, ix) as rn from al),
+  fo as (select capture_id, rn, [{{'c': c, 'a': a, 'b': b, 's': s, 'ix': ix}}] as kept from od where rn = 1
+    union all select f.capture_id, o.rn, case when o.c - f.kept[-1].c < 0.05 then case when o.s > f.kept[-1].s then list_append(f.kept[1:len(f.kept) - 1], {{'c': o.c, 'a': o.a, 'b': o.b, 's': o.s, 'ix': o.ix}}) else f.kept end
+      else list_append(f.kept, {{'c': o.c, 'a': o.a, 'b': o.b, 's': o.s, 'ix': o.ix}}) end from fo f join od o on o.capture_id = f.capture_id and o.rn = f.rn + 1),
+  pt as (select tt.*, p from tt join (select capture_id, arg_max(kept, rn) as p from fo group by 1) using (capture_id)),
+  {layers("ex", "pt", ("0", gain.format(k=1)), ("0", of_y(gain.format(k="k + 1"))))},
+  eg as (select capture_id, p, t, {best} as g from ex where k = n - 1),
+  rs as (select pt.* from pt anti join (select capture_id from eg where g is not null) using (capture_id)),
+  {layers("fb", "rs", (unit, near), (of_y(unit), of_y(near)))},
+  fg as (select capture_id, p, arg_max(g, k) as g from (select capture_id, p, k, {best} as g from fb) where g is not null group by 1, 2),
+  ch as (select capture_id, u as boundary, p[g.q[u]] as x, t[u] as goal from (select *, unnest(range(1, len(g.q) + 1)) as u from eg where g is not null)
+    union all select capture_id, u, p[g.q[u]], null from (select *, unnest(range(1, len(g.q) + 1)) as u from fg)),
+  cu as (select capture_id, boundary, x, case when goal is not null and x.b > x.a and goal >= x.a + least(0.5, (x.b - x.a) / 4.0) and goal <= x.b - least(0.5, (x.b - x.a) / 4.0) then goal else x.c end as cut from ch)
+  select capture_id, boundary, round(x.a, 6) as start_seconds, round(x.b, 6) as end_seconds, round(cut, 6) as cut_seconds,
+    cast(round_even(cut * {CFG.rate}, 0) as bigint) as cut_sample, round(x.s, 6) as score, x.ix >= 0 as measured from cu"""
+
+
+def exact_choice(spark, d, count, spacing):
     _, _, b, c = candidates_of(spark, d)
-    p = stage(b.select("capture_id", "core_start", "core_end", F.lit(6).alias("track_count"),
+    p = stage(b.select("capture_id", "core_start", "core_end", count.alias("track_count"),
                        F.lit(None).cast("array<double>").alias("durations"), F.lit(None).cast("array<string>").alias("sides")))
-    return choice.choose_exact_count(stage(c), p, CFG.rate, CFG.min_track_seconds)
+    out = choice.choose_exact_count(stage(c), p, CFG.rate, spacing)
+    return rounded(out, "start_seconds", "end_seconds", "cut_seconds", "score")
+
+
+@query("g6_exact_count_choice", choice_sql("6", CFG.min_track_seconds))
+def g6(spark, d):
+    return exact_choice(spark, d, F.lit(6), CFG.min_track_seconds)
 
 
-@query("g7_infeasible_count_choice")
+@query("g7_infeasible_count_choice", choice_sql("ceil(core_end / 2)", 2.6))
 def g7(spark, d):
-    _, _, b, c = candidates_of(spark, d)
-    p = stage(b.select("capture_id", "core_start", "core_end", F.ceil(F.col("core_end") / 2).cast("int").alias("track_count"),
-                       F.lit(None).cast("array<double>").alias("durations"), F.lit(None).cast("array<string>").alias("sides")))
-    return choice.choose_exact_count(stage(c), p, CFG.rate, 2.6)
+    return exact_choice(spark, d, F.ceil(F.col("core_end") / 2).cast("int"), 2.6)
 
 
 @query("h1_measured_and_virtual_points", "with recursive" + CAND.replace("with", "") + """,
