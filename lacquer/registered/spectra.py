@@ -359,16 +359,50 @@ def i11(spark, d):
     return out.select("capture_id", "channel", "start_ix", F.size("filtered").alias("n"), F.round(F.array_max("filtered"), 6).alias("highest"))
 
 
-@query("i12_spectral_subtraction")
+def framed(name, of, hop):
+    """Root-Hann frames of 128 samples at every `hop` of the ranges `of` (capture_id, a, b), the last ending with its
+    range, and their spectrum: re + i im per bin k."""
+    return f"""
+{name}_s as (select capture_id, unnest(range(a, b - 128 + 1, {hop})) as f from {of} union select capture_id, b - 128 from {of} where b - a >= 128),
+{name}_w as (select t.capture_id, f, sample_ix - f as i, amp, sqrt(0.5 - 0.5 * cos(2 * pi() * (sample_ix - f) / 127.0::double)) as w
+  from {name}_s t join sig s on s.capture_id = t.capture_id and sample_ix >= f and sample_ix < f + 128),
+{name}_f as (select capture_id, f, k, sum(amp * w * cos(2 * pi() * k * i / 128.0::double)) as re, -sum(amp * w * sin(2 * pi() * k * i / 128.0::double)) as im
+  from {name}_w, (select unnest(range(0, 65)) as k) group by all)"""
+
+
+def psd_sql(hop):
+    return SIG + """,
+nn as (select event_type as capture_id, count(*) as n from events group by 1),
+rf as (select capture_id, 0 as a, n // 5 as b from nn union all select capture_id, n - n // 5, n from nn),""" + framed("r", "rf", hop) + """,
+psd as (select capture_id, k, median(re * re + im * im) as q from r_f group by 1, 2)"""
+
+
+# Inverse of a real spectrum of 128: the ends of it count once, the bins between twice.
+BACK = "sum({x} * case when k in (0, 64) then 1 else 2 end * (re * cos(2 * pi() * k * i / 128.0::double) - im * sin(2 * pi() * k * i / 128.0::double))) / 128"
+
+
+@query("i12_spectral_subtraction", "with" + psd_sql(32) + """,
+sp as (select capture_id, 0 as a, n as b from nn),""" + framed("g", "sp", 32) + """,
+bd as (select g.*, re * re + im * im as p, q, k * 1000 / 128.0 between 100 and 450 as band from g_f g join psd using (capture_id, k)),
+st as (select capture_id, f, exp(avg(ln(greatest(p, 2.220446049250313e-16))) filter (band)) / avg(p) filter (band) as flat, max(p) filter (band) / sum(p) filter (band) as conc from bd group by 1, 2),
+cr as (select capture_id, f, max(abs(y)) / sqrt(avg(y * y)) as crest from (
+  select capture_id, f, i, """ + BACK.format(x="case when band then 1 else 0 end") + """ as y from bd, (select unnest(range(0, 128)) as i) group by 1, 2, 3) group by 1, 2),
+ok as (select capture_id, f from st join cr using (capture_id, f) where flat >= 0.35 * 0.75 and conc <= 0.08 and crest <= 8.75),
+gn as (select bd.*, case when band then 1 - greatest(sqrt(greatest(1 - 0.2::double * q / greatest(p, 2.220446049250313e-16), 0)), pow(10, -1.5::double / 20)) else 0 end as less from bd semi join ok using (capture_id, f)),
+rm as (select capture_id, f, i, """ + BACK.format(x="less") + """ as v from gn, (select unnest(range(0, 128)) as i) group by 1, 2, 3),
+ad as (select g.capture_id, g.f + g.i as sample_ix, sum(coalesce(v, 0) * w) as v, sum(w * w) as w from g_w g left join rm using (capture_id, f, i) group by 1, 2)
+select capture_id, 0 as channel, sample_ix, round(v / greatest(w, 2.220446049250313e-16)
+  * case when least(sample_ix, n - 1 - sample_ix) < 100 then 0.5 - 0.5 * cos(pi() * least(sample_ix, n - 1 - sample_ix) / 99) else 1 end, 9) as removed from ad join nn using (capture_id)""")
 def i12(spark, d):
     out = noise.preview_hiss(blocks(spark, d), references(spark, d), scopes(spark, d), RATE, BLOCK, 100.0, 450.0, 128, 32)
     return out.select("capture_id", "channel", "sample_ix", F.round("removed", 9).alias("removed"))
 
 
-@query("e30_reference_psd")
+@query("e30_reference_psd", "with" + psd_sql(128) + " select capture_id, 0 as channel, k::integer as bin, round(q, 8) as power from psd")
 def e30(spark, d):
     t = tiles(references(spark, d), 128, 128, True).select("capture_id", F.col("tile_start").alias("start_ix"), F.col("tile_end").alias("end_ix"))
-    return flat_text(nz.reference_psd(sx.cut_windows(blocks(spark, d), t, BLOCK, [])))
+    psd = nz.reference_psd(sx.cut_windows(blocks(spark, d), t, BLOCK, []))
+    return psd.select("capture_id", "channel", F.posexplode("psd").alias("bin", "power")).withColumn("power", F.round("power", 8))
 
 
 BANDS = SIG + """,
