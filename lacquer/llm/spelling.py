@@ -18,7 +18,9 @@ from ..session import stage, unstage
 
 RUN = "[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Copies of the edges of the first two levels, over which the states of a node there are dealt.
+#: Signs before words that are walked as they are, and reversed.
+_AHEAD, _BACK = "\u0001", "\u0002"
+#: Copies of the edges of the first levels, over which the states of a node there are dealt.
 SALTS = 16
 
 
@@ -86,29 +88,33 @@ def trie(words: DataFrame) -> DataFrame:
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near): each ordered pair of distinct `word`s that differ by one inserted, deleted or replaced code point.
 
-    Two words one edit apart share the first half of the one or its last half. So one walk spends the edit in the
-    second half of a word only, where the trie has few branches, and another does so over the reversed words.
+    Two words one edit apart share the first half of the one or its last half. So every word walks twice, as it is and
+    reversed, a sign before it telling which, and spends the edit only behind its half, where the trie has few branches.
     """
     words = words.where("word <> ''").select("word")
-    ahead = _walk(words, F.floor(F.length("word") / 2).cast("int"))
-    back = _walk(words.select(F.reverse("word").alias("word")), F.ceil(F.length("word") / 2).cast("int"))
-    back = back.select(F.reverse("word").alias("word"), F.reverse("near").alias("near"))
     half = F.expr("cast(floor(length(word) / 2) as int)")
+    both = F.inline(F.array(
+        F.struct(F.concat(F.lit(_AHEAD), "word").alias("word"), (half + 1).alias("spend")),
+        F.struct(F.concat(F.lit(_BACK), F.reverse("word")).alias("word"), (F.length("word") - half + 1).alias("spend"))))
+    found = _walk(words.select(both)).select(
+        F.left("word", F.lit(1)).alias("sign"), F.expr("substr(word, 2)").alias("word"), F.expr("substr(near, 2)").alias("near"))
+    ahead = found.where(F.col("sign") == _AHEAD).select("word", "near")
+    back = found.where(F.col("sign") == _BACK).select(F.reverse("word").alias("word"), F.reverse("near").alias("near"))
     return ahead.union(back.where(F.left("word", half) != F.left("near", half)))
 
 
-def _walk(words: DataFrame, spend: Column) -> DataFrame:
-    """(word, near) whose words part at the code point `spend` of the word or behind it.
+def _walk(words: DataFrame) -> DataFrame:
+    """(word, near) of distinct (word, spend) whose words part at the code point `spend` of the word or behind it.
 
     Every round takes all states over one edge of the trie; the rounds end when no state is left, after as many as the
     most branchings on a path. A state is kept only if its node is an end for it or has an edge to go on with.
     """
-    edges = stage(_looking_ahead(trie(words)))
+    edges = stage(_looking_ahead(trie(words.select("word"))))
     states = stage(words.select(
-        "word", F.lit(0).alias("at"), F.lit("").alias("node"), F.lit(0).alias("edits"), F.lit(False).alias("ends")))
+        "word", "spend", F.lit(0).alias("at"), F.lit("").alias("node"), F.lit(0).alias("edits"), F.lit(False).alias("ends")))
     found: list[DataFrame] = []
     while not states.isEmpty():
-        moved = stage(_step(states, edges, spend))
+        moved = stage(_step(states, edges))
         unstage(states)
         found.append(stage(_reached(moved)))
         states = moved
@@ -133,13 +139,13 @@ def _reached(states: DataFrame) -> DataFrame:
     return states.where(F.col("ends") & end).select("word", F.col("node").alias("near"))
 
 
-def _step(states: DataFrame, edges: DataFrame, spend: Column) -> DataFrame:
+def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
     """All states one edge further: those that may spend the edit at their place over every edge of their node, the
     others over the one edge that begins as they go on. `rest` is what a state has still to match. Nodes near the root
     hold states of most words, so the few edges there are copied and the states dealt over the copies."""
     rest = F.expr("substr(word, at + 1)")
-    here = states.select("word", "at", "edits", F.col("node").alias("parent"), rest.alias("rest"), spend.alias("spend"))
-    shallow = F.length("parent") <= 1
+    here = states.select("word", "spend", "at", "edits", F.col("node").alias("parent"), rest.alias("rest"))
+    shallow = F.length("parent") <= 2
     salt = F.when(shallow, F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("salt")
     copied = edges.select("*", F.explode(F.sequence(F.lit(0), F.when(shallow, F.lit(SALTS - 1)).otherwise(F.lit(0)))).alias("salt"))
     size = F.length("label")
@@ -147,7 +153,7 @@ def _step(states: DataFrame, edges: DataFrame, spend: Column) -> DataFrame:
 
     bound = here.where(~may).select("*", F.left("rest", F.lit(1)).alias("first"), salt)
     bound = bound.join(copied, ["parent", "first", "salt"]).where("startswith(rest, label)").select(
-        "word", (F.col("at") + size).alias("at"), "node", "edits", "ends", "on")
+        "word", "spend", (F.col("at") + size).alias("at"), "node", "edits", "ends", "on")
 
     free = here.where(may).select("*", salt).join(copied, ["parent", "salt"])
     leaves = F.expr("first <> left(rest, 1)")
@@ -157,8 +163,8 @@ def _step(states: DataFrame, edges: DataFrame, spend: Column) -> DataFrame:
         go(leaves & F.expr("rest <> '' and startswith(substr(rest, 2), substr(label, 2))"), size, 1),
         go(leaves & F.expr("rest <> '' and startswith(substr(rest, 2), label)"), size + 1, 1),
         go(leaves & F.expr("startswith(rest, substr(label, 2))"), size - 1, 1)))
-    free = free.select("word", "node", "ends", "on", F.explode(steps).alias("s")).select(
-        "word", "s.at", "node", "s.edits", "ends", "on")
+    free = free.select("word", "spend", "node", "ends", "on", F.explode(steps).alias("s")).select(
+        "word", "spend", "s.at", "node", "s.edits", "ends", "on")
 
     end = F.col("at") == F.length("word")
     alive = (F.col("edits") == 0) | (end & F.col("ends")) | (~end & F.contains("on", F.expr("substr(word, at + 1, 1)")))
