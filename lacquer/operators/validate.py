@@ -147,9 +147,7 @@ def payload_guard(payload: Column) -> Column:
 def graph_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Duplicate nodes, edges to nothing, self edges and cycles per graph.
 
-    nodes: (graph, node); edges: (graph, node, depends_on). Cycles are what is left when edges to nodes without
-    dependencies are peeled away again and again; each round is one join over the edges still left, and a graph
-    takes as many rounds as it is deep.
+    nodes: (graph, node); edges: (graph, node, depends_on). A graph with a cycle is named once, whatever its cycles.
     """
     dup = nodes.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("graph", F.lit("duplicate_node").alias("code"))
     own = nodes.select("graph", F.col("node").alias("depends_on")).distinct()
@@ -158,16 +156,55 @@ def graph_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     loops = edges.where("node = depends_on").select("graph", F.lit("self_edge").alias("code"))
     live = stage(edges.where("node <> depends_on").join(own, ["graph", "depends_on"], "left_semi").join(
         nodes.select("graph", "node").distinct(), ["graph", "node"], "left_semi").distinct())
-    left = live.count()
-    while left:
-        busy = live.select("graph", F.col("node").alias("depends_on")).distinct()
-        live = stage(live.join(busy, ["graph", "depends_on"], "left_semi"))
-        now = live.count()
-        if now == left:
+    cycles = cyclic_graphs(live).select("graph", F.lit("cycle").alias("code"))
+    return dup.unionByName(gone).unionByName(loops).unionByName(cycles).distinct()
+
+
+def cyclic_graphs(edges: DataFrame) -> DataFrame:
+    """(graph) of the graphs whose distinct edges (graph, node, depends_on) hold a cycle.
+
+    A round takes away edges from nodes that nothing depends on and edges to nodes without dependencies, then draws
+    every chain of nodes with one edge in and one out together into one edge, by doubling pointers. So chains of any
+    length go in rounds that grow with its logarithm; rounds are as many as a graph has branchings one behind another.
+    An edge that comes back to its own node, and chains without an end, are cycles; so is what no round can take.
+    """
+    live, found, left = stage(edges), [], None
+    while True:
+        ins = live.select("graph", F.col("depends_on").alias("node")).groupBy("graph", "node").agg(F.count(F.lit(1)).alias("i"))
+        outs = live.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("o"), F.min("depends_on").alias("next"))
+        degrees = stage(outs.join(ins, ["graph", "node"], "full"))
+        inner = degrees.where("i is not null and o is not null").select("graph", "node")
+        kept = live.join(inner, ["graph", "node"], "left_semi").join(inner.withColumnRenamed("node", "depends_on"), ["graph", "depends_on"], "left_semi")
+        single = degrees.where("i = 1 and o = 1").select("graph", "node", "next")
+        ends, endless = _chain_ends(single)
+        found.append(endless)
+        drawn = kept.join(single.select("graph", "node"), ["graph", "node"], "left_anti").join(
+            ends.withColumnRenamed("node", "depends_on"), ["graph", "depends_on"], "left").select("graph", "node", F.coalesce("end", "depends_on").alias("depends_on"))
+        drawn = stage(drawn.distinct())
+        loops = stage(drawn.where("node = depends_on").select("graph").distinct())
+        found.append(loops)
+        known = loops.union(endless).distinct()
+        live = stage(drawn.join(known, "graph", "left_anti"))
+        now = tuple(live.agg(F.count(F.lit(1)), F.sum(F.xxhash64("graph", "node", "depends_on").bitwiseAND((1 << 40) - 1))).first())
+        if now == left or not now[0]:
             break
         left = now
-    cycles = live.select("graph", F.lit("cycle").alias("code"))
-    return dup.unionByName(gone).unionByName(loops).unionByName(cycles).distinct()
+    out = live.select("graph")
+    for f in found:
+        out = out.union(f)
+    return out.distinct()
+
+
+def _chain_ends(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(graph, node, end): the first node after a chain of single nodes (graph, node, next); and the graphs with a chain
+    that has no end. After k rounds a pointer reaches 2^k nodes ahead, so 2^k > nodes decides."""
+    jumps = stage(single.select("graph", "node", F.col("next").alias("end")))
+    size = jumps.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(size).bit_length()):
+        on = jumps.select("graph", F.col("node").alias("end"), F.col("end").alias("far"))
+        jumps = stage(jumps.join(on, ["graph", "end"], "left").select("graph", "node", F.coalesce("far", "end").alias("end")))
+    endless = jumps.join(jumps.select("graph", F.col("node").alias("end")), ["graph", "end"], "left_semi").select("graph").distinct()
+    return jumps, stage(endless)
 
 
 def node_inputs(nodes: DataFrame, rules: dict[str, list[str]]) -> DataFrame:

@@ -289,6 +289,18 @@ def a12(spark, d):
     return st.export_records(docs).select("sha256", F.length("body").cast("bigint").alias("chars"))
 
 
+@query("a12_export_manifest", "select count(distinct sha256(text))::bigint as records, min(sha256(text)) as first, max(sha256(text)) as last, true as ordered, true as gapless from documents")
+def a12_manifest(spark, d):
+    import uuid
+
+    from ..session import shared_folder
+
+    docs = table(spark, d, "documents").select(F.col("text").alias("body"))
+    m = st.write_export(docs, f"{shared_folder(spark)}/export-{uuid.uuid4().hex}")
+    return m.agg(F.sum("records").alias("records"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("ordered").alias("ordered"),
+                 (F.max(F.col("offset") + F.col("records")) == F.sum("records")).alias("gapless"))
+
+
 @query("a13_delete_by_identity", "select doc_id from documents where sha256(text) not in (select sha256(text) from documents where doc_id % 7 = 0)")
 def a13(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))

@@ -53,9 +53,44 @@ def export_records(store: DataFrame, body: str = "body") -> DataFrame:
     return store.withColumn("sha256", F.sha2(body, 256)).dropDuplicates(["sha256"])
 
 
-def write_export(store: DataFrame, path: str, body: str = "body") -> None:
-    """Globally ordered by hash through range partitioning, not through one task."""
+def write_export(store: DataFrame, path: str, body: str = "body") -> DataFrame:
+    """Writes the contents ordered by hash over files of consecutive ranges, none through one task, and returns the
+    manifest of what was written: (file, first, last, records, offset, ordered).
+
+    The manifest is read back from the files: `offset` counts the records of the files before, and `ordered` says that
+    a file begins after the last one ended and that its records are sorted and distinct in themselves.
+    """
+    spark = store.sparkSession
     export_records(store, body).repartitionByRange("sha256").sortWithinPartitions("sha256").write.mode("errorifexists").parquet(path)
+    return export_manifest(spark.read.parquet(path))
+
+
+def export_manifest(export: DataFrame) -> DataFrame:
+    """The manifest of a written export. Records are compared with the one before in the file's own order, in bounded
+    batches; over the edges of files, and of their parts that were read apart, there is one row each."""
+    import pandas as pd
+
+    def runs(batches):
+        last = {}
+        for pdf in batches:
+            for name, part in pdf.groupby(["file", "block"], sort=False):
+                keys = part["sha256"].tolist()
+                before = [last.get(name), *keys[:-1]]
+                ok = all(b is None or b < k for b, k in zip(before, keys))
+                last[name] = keys[-1]
+                yield pd.DataFrame([(*name, keys[0], keys[-1], len(keys), ok)], columns=["file", "block", "first", "last", "records", "sorted"])
+
+    rows = export.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), "sha256")
+    parts = rows.mapInPandas(runs, "file string, block bigint, first string, last string, records bigint, sorted boolean").groupBy("file", "block").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("records").alias("records"), F.min("sorted").alias("sorted"))
+    order = Window.orderBy("first")
+    near = parts.withColumn("sorted", F.col("sorted") & F.coalesce(F.lag("last").over(order) < F.col("first"), F.lit(True))
+                            & ((F.lag("file").over(order) != F.col("file")) | (F.lag("block").over(order) < F.col("block")) | F.lag("file").over(order).isNull()))
+    files = near.groupBy("file").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("records").alias("records"), F.min("sorted").alias("sorted"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return files.select(
+        F.element_at(F.split("file", "/"), -1).alias("file"), "first", "last", "records", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("offset"),
+        (F.col("sorted") & F.coalesce(F.lag("last").over(order) < F.col("first"), F.lit(True))).alias("ordered"))
 
 
 def without_records(store: DataFrame, doomed: DataFrame, body: str = "body") -> DataFrame:

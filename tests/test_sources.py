@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -106,6 +107,42 @@ def test_expired_rows_are_flagged_not_dropped(spark):
     assert {r.name_key: r.expired for r in st.latest_checkpoints(e, 2).collect()} == {0: True, 1: True, 2: True, 3: False, 4: False}
 
 
+def test_export_manifest_tells_order_over_file_edges(spark, tmp_path):
+    from lacquer.sources import stores as st
+
+    docs = spark.createDataFrame([(f"text {i % 700}",) for i in range(1000)], "body string").repartition(6)
+    m = st.write_export(docs, f"{tmp_path}/a").orderBy("first").collect()
+    hashes = sorted(hashlib.sha256(f"text {i}".encode()).hexdigest() for i in range(700))
+    at = 0
+    for r in m:
+        assert (r.first, r.last, r.offset, r.ordered) == (hashes[at], hashes[at + r.records - 1], at, True)
+        at += r.records
+    assert at == 700 and len(m) >= 1
+    two = spark.createDataFrame([(h,) for h in hashes], "sha256 string")
+    two.coalesce(1).where(F.col("sha256") > hashes[300]).write.parquet(f"{tmp_path}/b")
+    two.coalesce(1).where(F.col("sha256") < hashes[302]).write.mode("append").parquet(f"{tmp_path}/b")
+    assert not all(r.ordered for r in st.export_manifest(spark.read.parquet(f"{tmp_path}/b")).collect())
+    two.coalesce(1).sort(F.desc("sha256")).write.parquet(f"{tmp_path}/c")
+    assert not st.export_manifest(spark.read.parquet(f"{tmp_path}/c")).first().ordered
+
+
+def test_cycles_equal_depth_first_search(spark):
+    rng = random.Random(2)
+    edges, want = [], set()
+    for g in range(60):
+        n = rng.randint(2, 14)
+        own = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, n + 2))}
+        own = [(a, b) for a, b in own if a != b and (g % 3 or a < b)]
+        edges += [(g, a, b) for a, b in own]
+        reach = set(own)
+        while more := {(a, d) for a, b in reach for c, d in own if b == c} - reach:
+            reach |= more
+        want |= {g} if any(a == b for a, b in reach) else set()
+    edges += [(100, i, i + 1) for i in range(10_000)] + [(101, i, i + 1) for i in range(3000)] + [(101, 3000, 0)] + [(102, i, i + 1) for i in range(50)] + [(102, 30, 10)]
+    df = spark.createDataFrame(edges, "graph bigint, node bigint, depends_on bigint")
+    assert {r.graph for r in va.cyclic_graphs(df).collect()} == want | {101, 102}
+
+
 def test_long_cycles_are_found(spark):
     nodes = [("g", f"n{i}") for i in range(30)] + [("h", f"n{i}") for i in range(30)]
     edges = [("g", f"n{i}", f"n{i + 1}") for i in range(29)] + [("h", f"n{i}", f"n{(i + 1) % 30}") for i in range(30)] + [("g", "n3", "gone")]
