@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .ordering import rank_by
+
 # Facts that must agree wherever they are given.
 FACTS = ["title", "release_group", "country", "date", "status"]
 # What a pressing is identified by: fixed list.
@@ -70,12 +73,12 @@ def album_totals(obs: DataFrame) -> DataFrame:
 
 
 def rank_releases(scored: DataFrame) -> DataFrame:
-    """Rank and margin to the next. An album's releases are bounded by its admitted references (see volume_caps)."""
+    """Rank and margin to the next."""
     order = [F.col("evidence").desc(), F.col("tracks").desc(), F.col("sides").desc(), F.col("release").asc()]
-    w = Window.partitionBy("album").orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(w)).withColumn(
-        "margin", F.round(F.col("evidence") - F.lead("evidence").over(w), 9)
-    )
+    ranked = stage(rank_by(scored, ["album"], order))
+    after = ranked.select("album", (F.col("rank") - 1).alias("rank"), F.col("evidence").alias("_next"))
+    return ranked.join(after, ["album", "rank"], "left").select(
+        *scored.columns, "rank", F.round(F.col("evidence") - F.col("_next"), 9).alias("margin"))
 
 
 def volume_caps(obs: DataFrame) -> DataFrame:

@@ -120,15 +120,14 @@ def storage_estimate(projects: DataFrame) -> DataFrame:
 
 
 def source_objects(sides: DataFrame) -> DataFrame:
-    """Sides that share one source identity, numbered by their first side: (album, sha256, size_bytes, first_order, sides, object_id).
-
-    An album's sides are few, so the number is a window over its sources.
-    """
-    from pyspark.sql import Window
+    """Sides that share one source identity, numbered by their first side: (album, sha256, size_bytes, first_order, sides, object_id)."""
+    from .ordering import rank_by
 
     g = sides.groupBy("album", "sha256", "size_bytes").agg(F.min("side_order").alias("first_order"), F.count(F.lit(1)).alias("sides"))
-    n = F.row_number().over(Window.partitionBy("album").orderBy("first_order", "sha256"))
-    return g.withColumn("object_id", F.concat(F.lit("source-"), F.lpad(n.cast("string"), 2, "0"), F.lit("-"), F.substring("sha256", 1, 12)))
+    n = F.col("rank").cast("string")
+    number = F.lpad(n, F.greatest(F.length(n), F.lit(2)), F.lit("0"))
+    ranked = rank_by(g, ["album"], [F.col("first_order"), F.col("sha256")])
+    return ranked.withColumn("object_id", F.concat(F.lit("source-"), number, F.lit("-"), F.substring("sha256", 1, 12))).drop("rank")
 
 
 def duplicate_identities(artifacts: DataFrame, keys: list[str]) -> DataFrame:

@@ -119,3 +119,21 @@ def test_waveform_edges_equal_truncated_linspace(spark):
     edges = np.linspace(0, 997, 121, dtype=np.int64)
     level = np.clip((x + 72) / 66, 0, 1)
     assert np.allclose(got, [round(float(level[a:b].max()), 5) for a, b in zip(edges, edges[1:])])
+
+
+def test_ranks_of_a_hot_key_spread_over_ranges(spark):
+    """One key with equal leading columns: the whole order tuple cuts it, so no range holds more than its share."""
+    from lacquer.operators.ordering import rank_by
+
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 70)).alias("k"), F.lit(1.0).alias("score"),
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.xxhash64("id") % 5000).alias("title"), "id")
+    order = [F.col("score").desc(), F.col("title").asc(), F.col("id").desc()]
+    got = {(r.k, r.id): r["rank"] for r in rank_by(df, ["k"], order).collect()}
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.k, []).append((r.title is not None, r.title or 0, -r.id))
+    for k, rows in by.items():
+        assert [got[k, -i] for _, _, i in sorted(rows)] == list(range(1, len(rows) + 1))
+    cut = df.repartitionByRange(4, "k", *order).groupBy(F.spark_partition_id().alias("p")).count()  # as many as asked for: not drawn together
+    assert cut.agg(F.max("count")).first()[0] < 20_000
