@@ -130,14 +130,16 @@ def pin_state(album: DataFrame, current: DataFrame, fields: list[str], selected:
     """Refresh the pins of selected sides from the current state; other sides keep theirs.
 
     album: (album, label, fields...); current: the same keyed by (album, label). `reason` names labels that
-    exist nowhere.
+    exist nowhere and those that the current state holds more than once; neither is repinned.
     """
-    now = current.select("album", "label", *[F.col(f).alias("now_" + f) for f in fields], F.lit(True).alias("_has"))
+    now = current.groupBy("album", "label").agg(
+        F.count(F.lit(1)).alias("_has"), *[F.min(f).alias("now_" + f) for f in fields])
     j = album.join(now, ["album", "label"], "left")
-    pick = selected & F.col("_has").isNotNull()
+    pick = selected & F.coalesce(F.col("_has") == 1, F.lit(False))
     return j.select(
         "album", "label", *[F.when(pick, F.col("now_" + f)).otherwise(F.col(f)).alias(f) for f in fields],
-        F.when(selected & F.col("_has").isNull(), "unknown_label").alias("reason"), pick.alias("repinned"))
+        F.when(selected & F.col("_has").isNull(), "unknown_label").when(selected & (F.col("_has") > 1), "repeated_label").alias("reason"),
+        pick.alias("repinned"))
 
 
 def latest_checkpoints(events: DataFrame, most: int = MAX_CHECKPOINTS) -> DataFrame:

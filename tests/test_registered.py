@@ -21,6 +21,21 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert ok, note
 
 
+def test_every_query_can_be_built(spark, sf_dir):
+    """Every entry gives a plan at the smallest scale, whatever its builder runs for it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def build(name):
+        try:
+            assert entry.queries()[name](spark, sf_dir).columns
+        except Exception as e:
+            return f"{name}: {type(e).__name__} {str(e)[:300]}"
+
+    with ThreadPoolExecutor(4) as pool:
+        bad = [x for x in pool.map(build, sorted(entry.queries())) if x]
+    assert not bad, bad
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

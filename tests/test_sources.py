@@ -148,3 +148,10 @@ def test_long_cycles_are_found(spark):
     edges = [("g", f"n{i}", f"n{i + 1}") for i in range(29)] + [("h", f"n{i}", f"n{(i + 1) % 30}") for i in range(30)] + [("g", "n3", "gone")]
     got = va.graph_problems(spark.createDataFrame(nodes, "graph string, node string"), spark.createDataFrame(edges, "graph string, node string, depends_on string"))
     assert {(r.graph, r.code) for r in got.collect()} == {("h", "cycle"), ("g", "missing_node")}
+
+
+def test_repeated_labels_are_not_repinned(spark):
+    album = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("a", "z", 1), ("a", "w", 1)], "album string, label string, pin int")
+    current = spark.createDataFrame([("a", "x", 2), ("a", "y", 2), ("a", "y", 3), ("a", "w", 5)], "album string, label string, pin int")
+    got = {r.label: (r.pin, r.reason, r.repinned) for r in st.pin_state(album, current, ["pin"], F.col("label") != "w").collect()}
+    assert got == {"x": (2, None, True), "y": (1, "repeated_label", False), "z": (1, "unknown_label", False), "w": (1, None, False)}
