@@ -58,8 +58,8 @@ def sample_rows(laid: DataFrame) -> DataFrame:
 
 
 def measured_blocks(laid: DataFrame, windows: DataFrame, block: int) -> DataFrame:
-    """Per block: samples, changed, changed_outside (changed where no window is), stray (their positions), max_removed,
-    reconstruction_error and the sums of squares of original, proposed and removed.
+    """Per block: samples, covered (inside a window), changed, changed_outside (changed where no window is), stray (their
+    positions), max_removed, reconstruction_error and the sums of squares of original, proposed and removed.
 
     windows: (capture_id, channel, start_ix, end_ix), which may overlap.
     """
@@ -68,19 +68,20 @@ def measured_blocks(laid: DataFrame, windows: DataFrame, block: int) -> DataFram
     j = laid.join(w, ["capture_id", "channel", "block_ix"], "left")
     empty = F.array().cast("array<struct<start_ix:bigint,end_ix:bigint>>")
 
-    @F.pandas_udf("samples bigint, changed bigint, changed_outside bigint, stray array<bigint>, max_removed double, reconstruction_error double, "
+    @F.pandas_udf("samples bigint, covered bigint, changed bigint, changed_outside bigint, stray array<bigint>, max_removed double, reconstruction_error double, "
                   "original_sum double, proposed_sum double, removed_sum double")
     def measure(old: pd.Series, new: pd.Series, first: pd.Series, ws: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b, s, spans in zip(old, new, first, ws):
             a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
             gone, moved = a - b, a != b
-            out = moved.copy()
+            inside = np.zeros(a.size, dtype=bool)
             for q in spans:
-                out[max(q["start_ix"] - s, 0) : max(q["end_ix"] - s, 0)] = False
-            rows.append((a.size, int(moved.sum()), int(out.sum()), (np.flatnonzero(out) + s).tolist(), float(np.abs(gone).max(initial=0.0)),
+                inside[max(q["start_ix"] - s, 0) : max(q["end_ix"] - s, 0)] = True
+            out = moved & ~inside
+            rows.append((a.size, int(inside.sum()), int(moved.sum()), int(out.sum()), (np.flatnonzero(out) + s).tolist(), float(np.abs(gone).max(initial=0.0)),
                          float(np.abs(b + gone - a).max(initial=0.0)), float(a @ a), float(b @ b), float(gone @ gone)))
-        return pd.DataFrame(rows, columns=["samples", "changed", "changed_outside", "stray", "max_removed", "reconstruction_error",
+        return pd.DataFrame(rows, columns=["samples", "covered", "changed", "changed_outside", "stray", "max_removed", "reconstruction_error",
                                            "original_sum", "proposed_sum", "removed_sum"])
 
     m = measure("original", "samples", "start_sample", F.coalesce("_ws", empty))
@@ -88,11 +89,11 @@ def measured_blocks(laid: DataFrame, windows: DataFrame, block: int) -> DataFram
 
 
 def render_metrics(laid: DataFrame, windows: DataFrame, block: int) -> DataFrame:
-    """Per capture: samples, changed, those changed outside the windows (which must be 0), the largest removal, the
+    """Per capture: samples, covered by windows, changed, those changed outside the windows (which must be 0), the largest removal, the
     error of original = proposed + removed, and the levels (RMS) of the three."""
     level = lambda c: F.sqrt(F.sum(f"{c}_sum") / F.sum("samples")).alias(f"{c}_rms")
     return measured_blocks(laid, windows, block).groupBy("capture_id").agg(
-        F.sum("samples").alias("samples"), F.sum("changed").alias("changed"), F.max("max_removed").alias("max_removed"),
+        F.sum("samples").alias("samples"), F.sum("covered").alias("covered"), F.sum("changed").alias("changed"), F.max("max_removed").alias("max_removed"),
         F.max("reconstruction_error").alias("reconstruction_error"), F.sum("changed_outside").alias("changed_outside"),
         level("original"), level("proposed"), level("removed"))
 

@@ -44,7 +44,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["i13_clipped_runs", "e28_merge_channels", "b15_event_identity"])
+@pytest.mark.parametrize("name", ["i13_clipped_runs", "e28_merge_channels", "b15_event_identity", "e31_render_metrics"])
 def test_clips_equal_their_sql_where_a_run_is_uneven(spark, tmp_path, name):
     """A run whose first sample is short of full scale, and one that bridges samples of the value they are patched with."""
     import duckdb
