@@ -254,18 +254,17 @@ def decision_problems(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows on one side only (as sets), with the side: empty exactly when the two sets are equal."""
     cols = left.columns
-    a = left.distinct().select(*cols, F.lit("left").alias("side"))
-    b = right.select(*cols).distinct().select(*cols, F.lit("right").alias("side"))
-    both = a.unionByName(b).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"), F.min("side").alias("only_in"))
-    return both.where("_n = 1").drop("_n")
+    both = left.select(*cols, F.lit(0).alias("_s")).unionByName(right.select(*cols, F.lit(1).alias("_s")))
+    sides = both.groupBy(*cols).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    return sides.where("_lo = _hi").select(*cols, F.when(F.col("_lo") == 0, "left").otherwise("right").alias("only_in"))
 
 
 def rederivation_mismatches(stored: DataFrame, derived: DataFrame) -> DataFrame:
     """Stored result rows against the same rows computed again, duplicates counted: any row left was edited."""
     cols = stored.columns
-    a = stored.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).select(*cols, F.col("n").alias("s"), F.lit(0).cast("bigint").alias("d"))
-    b = derived.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).select(*cols, F.lit(0).cast("bigint").alias("s"), F.col("n").alias("d"))
-    return a.unionByName(b).groupBy(*cols).agg(F.sum("s").alias("stored"), F.sum("d").alias("derived")).where("stored <> derived")
+    count = lambda s, d: [F.lit(s).cast("bigint").alias("s"), F.lit(d).cast("bigint").alias("d")]
+    both = stored.select(*cols, *count(1, 0)).unionByName(derived.select(*cols, *count(0, 1)))
+    return both.groupBy(*cols).agg(F.sum("s").alias("stored"), F.sum("d").alias("derived")).where("stored <> derived")
 
 
 def history_chain(history: DataFrame, current: DataFrame, most: int = 100, most_bytes: int = 16 * 1024 * 1024) -> DataFrame:
