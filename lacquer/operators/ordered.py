@@ -16,16 +16,19 @@ from ..config import CHUNK
 
 
 def dense_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, name: str, sums: dict | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, name: str, sums: dict | None = None, chunk: int = CHUNK
 ) -> DataFrame:
     """0-based position of each row in its key's order, and inclusive running sums (name -> column) along it.
 
-    `bucket` must not decrease along the order. Rows are ranked inside (keys, bucket) and shifted by the
-    totals of all earlier buckets, which are one row per bucket.
+    `bucket` must not decrease along the order. Keys of at most `chunk` rows are ranked by themselves. Rows of longer
+    ones are ranked inside (keys, bucket) and shifted by the totals of all earlier buckets, which are one row per
+    bucket; there are few longer keys, at most one for each `chunk` rows, so they are broadcast.
     """
     keys, sums = list(keys), dict(sums or {})
-    src = df.withColumn("_b", bucket)
-    totals = src.groupBy(*keys, "_b").agg(
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_long")).where(F.col("_long") > chunk)
+    long = F.broadcast(long.select(*keys, F.lit(True).alias("_long")))
+    src = df.join(long, keys, "left").withColumn("_b", F.when(F.col("_long"), bucket)).drop("_long")
+    totals = df.join(long, keys).withColumn("_b", bucket).groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_n_{s}") for s, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
@@ -34,9 +37,10 @@ def dense_index(
     local = Window.partitionBy(*keys, "_b").orderBy(*order)
     run = local.rowsBetween(Window.unboundedPreceding, 0)
     ranked = src.select("*", F.row_number().over(local).alias("_r"), *[F.sum(c).over(run).alias(f"_l_{s}") for s, c in sums.items()])
-    out = ranked.join(offsets, [*keys, "_b"])
-    extra = [(F.coalesce(F.col(f"_l_{s}"), F.lit(0)) + F.col(f"_off_{s}")).alias(s) for s in sums]
-    return out.select(*[c for c in df.columns if c != name], (F.col("_off") + F.col("_r") - 1).cast("bigint").alias(name), *extra)
+    out = ranked.join(offsets, [*keys, "_b"], "left")
+    shift = lambda c, off: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(off), F.lit(0))
+    extra = [shift(f"_l_{s}", f"_off_{s}").alias(s) for s in sums]
+    return out.select(*[c for c in df.columns if c != name], (shift("_r", "_off") - 1).cast("bigint").alias(name), *extra)
 
 
 def with_halo(df: DataFrame, ix: str, before: int, after: int, chunk: int = CHUNK) -> DataFrame:

@@ -26,6 +26,20 @@ def test_dense_index_equals_a_global_order(spark):
         assert [r.ix for r in sorted((r for r in got if r.k == k), key=lambda r: (r.t, r.id))] == list(range(len(ordered)))
 
 
+@pytest.mark.parametrize("chunk", [20, 1000])
+def test_dense_index_of_long_and_short_keys(spark, chunk):
+    """Keys over and under `chunk` rows get the same positions and running sums."""
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 9 else f"b{i % 4}", int(t), i, int(i % 5)) for i, t in enumerate(rng.integers(0, 40, 300))]
+    df = spark.createDataFrame(rows, "k string, t bigint, id bigint, v bigint")
+    got = od.dense_index(df, ["k"], ["t", "id"], F.expr("t div 7"), "ix", {"total": F.col("v")}, chunk=chunk).collect()
+    assert len(got) == 300
+    for k in {r.k for r in got}:
+        own = sorted((r for r in got if r.k == k), key=lambda r: (r.t, r.id))
+        assert [r.ix for r in own] == list(range(len(own)))
+        assert [r.total for r in own] == np.cumsum([r.v for r in own]).tolist()
+
+
 @pytest.mark.parametrize("chunk", [4, 7, 1000])
 def test_smoothing_repeats_the_ends(spark, chunk):
     x = np.random.default_rng(2).normal(size=50)
