@@ -577,6 +577,22 @@ def test_preference_scores(spark):
     assert preference.score(frame(spark, []), scores).count() == 0
 
 
+def test_preference_learns_from_every_label(spark):
+    """Means, weights and cut over 30,000 labelled rows are those of all of them, not of a sample."""
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), (F.pmod(F.xxhash64("id"), F.lit(9)) + 1).cast("int")), F.lit("#"),
+                                 F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, " BAD!").otherwise(" good")).alias("text"))
+    labels = docs.select("doc_id", F.when((F.col("doc_id") % 3 > 0) == (F.col("doc_id") % 11 > 0), 1).otherwise(0).alias("quality"))
+    got = preference.learned(docs, labels)
+    known = stats.with_stats(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), "text", ["doc_id"])
+    rows = known.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("quality", *(F.log1p(F.col(c) * 100).alias(c) for c in stats.SHARES)).toPandas()
+    want = preference.fit(rows[stats.SHARES].to_numpy(float), (rows["quality"] == 1).to_numpy(bool), 0.3)
+    assert len(rows) > 20_000
+    assert np.allclose(got.means, want.means, atol=1e-8) and np.allclose(got.weights, want.weights, atol=1e-6) and abs(got.cut - want.cut) < 1e-6
+
+
 def test_preference_weights_make_the_loss_least():
     r = np.random.default_rng(4)
     x = r.normal(size=(300, len(stats.SHARES)))
