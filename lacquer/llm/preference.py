@@ -133,7 +133,7 @@ def learned_from(measured: DataFrame, labels: DataFrame, threshold: float = 0.3)
     z = F.array(*((F.col(n) - F.lit(float(m))) / F.lit(float(d)) for n, m, d in zip(SHARES, means, spreads)))
     order = F.xxhash64("__id")
     placed = dense_index(known.select("good", order.alias("h"), "__id", z.alias("z")), ["good"], ["h", "__id"],
-                         F.shiftright("h", 48), "place")
+                         F.shiftright("h", 48), "place", chunk=4096)
     placed = stage(placed.select("good", "place", "z"))
     rivals = F.sequence(F.lit(0), F.lit(min(RIVALS, ups) - 1))
     at = F.transform(rivals, lambda i: F.pmod(F.col("place") + i * max(1, ups // RIVALS), F.lit(ups)).cast("bigint"))
