@@ -13,20 +13,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHUNK
+from ..session import stage
+
+
+def long_keys(df: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame | None:
+    """The keys of more than `chunk` rows, as many as a task may order, with `_long`; None where there are none.
+
+    One job counts the rows of each key. There is at most one long key for each `chunk` rows.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_long")).where(F.col("_long") > chunk)
+    long = stage(counts.select(*keys, F.lit(True).alias("_long")))
+    return None if long.isEmpty() else long
 
 
 def dense_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, name: str, sums: dict | None = None, chunk: int = CHUNK
+    df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, name: str, sums: dict | None = None, chunk: int = CHUNK,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of each row in its key's order, and inclusive running sums (name -> column) along it.
 
     `bucket` must not decrease along the order. Keys of at most `chunk` rows are ranked by themselves. Rows of longer
     ones are ranked inside (keys, bucket) and shifted by the totals of all earlier buckets, which are one row per
-    bucket; there are few longer keys, at most one for each `chunk` rows, so they are broadcast.
+    bucket; there are few longer keys, at most one for each `chunk` rows, so they are broadcast. Without longer keys
+    the rows stay dealt by `keys`, so that later steps by them need no shuffle. `counted` may name a cheaper table with
+    the same rows for each key.
     """
     keys, sums = list(keys), dict(sums or {})
-    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_long")).where(F.col("_long") > chunk)
-    long = F.broadcast(long.select(*keys, F.lit(True).alias("_long")))
+    long = long_keys(df if counted is None else counted, keys, chunk)
+    if long is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
+        extra = [F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(s) for s, c in sums.items()]
+        return df.select(*[c for c in df.columns if c != name], (F.row_number().over(whole) - 1).cast("bigint").alias(name), *extra)
+    long = F.broadcast(long)
     src = df.join(long, keys, "left").withColumn("_b", F.when(F.col("_long"), bucket)).drop("_long")
     totals = df.join(long, keys).withColumn("_b", bucket).groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_n_{s}") for s, c in sums.items()])

@@ -81,18 +81,19 @@ def exclude_outliers(rows: DataFrame, cfg: SpeedConfig) -> DataFrame:
 
 
 def side_summaries(rows: DataFrame) -> DataFrame:
-    live = stage(rows.where(F.col("exclusion").isNull())).withColumn("side", side_key(F.col("side")))
+    live = rows.where(F.col("exclusion").isNull()).withColumn("side", side_key(F.col("side")))
     m = median_mad(live, ["project_id", "side"], "log_factor", "center_log", "_mad", "tracks")
     return m.select("project_id", "side", "tracks", "center_log", F.exp("center_log").alias("center_factor"),
                     (1.4826 * F.col("_mad")).alias("dispersion"))
 
 
-def summarize(rows: DataFrame, cfg: SpeedConfig, safety: DataFrame | None = None) -> DataFrame:
+def summarize(rows: DataFrame, cfg: SpeedConfig, safety: DataFrame | None = None, staged: bool = False) -> DataFrame:
     """One estimate per project: center, interval, dispersion, confidence, or the reasons for abstaining.
 
-    `safety` may bring (project_id, safety_reasons array) found before the statistics.
+    `safety` may bring (project_id, safety_reasons array) found before the statistics. Rows that are not yet written
+    (`staged`) are, since four steps read them.
     """
-    rows = stage(rows)
+    rows = rows if staged else stage(rows)
     live = rows.where(F.col("exclusion").isNull())
     m = median_mad(live, ["project_id"], "log_factor", "center_log", "_mad", "tracks")
     sides = side_summaries(rows).groupBy("project_id").agg(

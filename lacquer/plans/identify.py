@@ -41,5 +41,5 @@ def estimate_speeds(
     safety = sp.safety_reasons(status, independence).join(named, "project_id", "full").select(
         "project_id", F.concat(F.coalesce("safety_reasons", none), F.coalesce("_named", none)).alias("safety_reasons"))
     rows = stage(sp.exclude_outliers(sp.track_evidence(project, reference, cfg), cfg))
-    estimates = stage(sp.summarize(rows, cfg, safety))
+    estimates = stage(sp.summarize(rows, cfg, safety, staged=True))
     return {"tracks": rows, "estimates": estimates, "hypotheses": sp.rpm_hypotheses(estimates)}

@@ -151,3 +151,35 @@ def test_ranks_of_a_hot_key_spread_over_ranges(spark):
         assert [got[k, -i] for _, _, i in sorted(rows)] == list(range(1, len(rows) + 1))
     cut = df.repartitionByRange(4, "k", *order).groupBy(F.spark_partition_id().alias("p")).count()  # as many as asked for: not drawn together
     assert cut.agg(F.max("count")).first()[0] < 20_000
+
+
+def test_index_of_short_keys_leaves_rows_dealt_by_the_key(spark):
+    """Steps by the same key that follow need no second shuffle."""
+    df = spark.range(400).select((F.col("id") % 90).alias("k"), "id")
+    got = od.dense_index(df, ["k"], ["id"], F.expr("id div 7"), "ix").groupBy("k").agg(F.max("ix").alias("top"), F.sum("ix").alias("s"))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    assert {(r.k, r.top) for r in got.collect()} == {(k, len(range(k, 400, 90)) - 1) for k in range(90)}
+
+
+@pytest.mark.parametrize("chunk", [20, 1000])
+def test_quantiles_of_long_and_short_keys(spark, chunk):
+    """Keys over and under `chunk` rows, the same results; nulls do not count."""
+    rng = np.random.default_rng(8)
+    x = {"a": rng.normal(size=300).round(2), "b": rng.normal(size=7), "c": np.array([-3.0]), "d": np.array([2.0, -1.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in x.items() for v in vs] + [("a", None), ("e", None)], "k string, v double")
+    got = {r.k: r for r in qt.exact_quantiles(df, ["k"], "v", {"p": 0.3, "q": 0.9}, count_name="n", chunk=chunk).collect()}
+    low = {r.k: r for r in qt.exact_quantiles(df, ["k"], "v", {"p": 0.3}, method="lower", chunk=chunk).collect()}
+    mad = {r.k: r for r in qt.median_mad(df, ["k"], "v", "c", "m", "n", chunk=chunk).collect()}
+    assert set(got) == set(low) == set(mad) == set(x)
+    for k, v in x.items():
+        assert got[k].n == mad[k].n == v.size
+        assert np.allclose([got[k].p, got[k].q], np.quantile(v, [0.3, 0.9])) and low[k].p == np.quantile(v, 0.3, method="lower")
+        assert np.allclose([mad[k].c, mad[k].m], [np.median(v), np.median(np.abs(v - np.median(v)))])
+
+
+def test_quantiles_of_short_keys_take_one_shuffle(spark):
+    df = spark.range(400).select((F.col("id") % 90).alias("k"), F.rand(1).alias("v"))
+    plan = qt.median_mad(df, ["k"], "v", "c", "m", "n")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
