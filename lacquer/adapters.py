@@ -30,8 +30,12 @@ sig as (select capture_id, sample_ix, user_id,
         row_number() over (partition by event_type order by ts, event_id) - 1 as sample_ix from events))"""
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(project_id, number, side, title_ix, duration, start_sample, end_sample): an order's lines as its tracks."""
+def tracks(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) -> DataFrame:
+    """(project_id, number, side, part, supplier, duration, start_sample, end_sample): an order's lines as its tracks.
+
+    `parts` (part, columns) is joined to the tracks: each part's rows travel along as one list while the lines are
+    numbered, so that named tracks stay dealt by project.
+    """
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("project_id"), "l_shipdate", "l_partkey", "l_suppkey", "l_linenumber",
         "l_extendedprice", "l_discount", "l_tax", F.col("l_returnflag").alias("side"),
@@ -41,11 +45,16 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
              "side", "duration"]
     day = F.expr("datediff(l_shipdate, date'1990-01-01')")
     li = li.withColumn("_len", (F.col("duration") * 1000).cast("bigint"))
-    summed = dense_index(li, ["project_id"], order, day, "ix", {"end_sample": F.col("_len")})
+    lines, extra = li, []
+    if parts is not None:
+        own = [c for c in parts.columns if c != "part"]
+        held = parts.groupBy(F.col("part").alias("l_partkey")).agg(F.collect_list(F.struct(*own)).alias("_parts"))
+        li, extra = li.join(held, "l_partkey", "left"), [F.inline("_parts")]
+    summed = dense_index(li, ["project_id"], order, day, "ix", {"end_sample": F.col("_len")}, counted=lines)
     return summed.select(
         "project_id", (F.col("ix") + 1).alias("number"), "side", F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supplier"), "duration",
-        (F.col("end_sample") - F.col("_len")).alias("start_sample"), "end_sample",
+        (F.col("end_sample") - F.col("_len")).alias("start_sample"), "end_sample", *extra,
     )
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import CHUNK
 from ..session import stage
+from .ordered import long_keys
 
 
 def release_order() -> list[Column]:
@@ -14,13 +16,17 @@ def release_order() -> list[Column]:
     return [vinyl.desc(), F.col("score").desc(), F.col("date").asc(), F.lower("title").asc(), F.col("release_id").asc()]
 
 
-def rank_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def rank_by(df: DataFrame, keys: list[str], order: list[Column], chunk: int = CHUNK) -> DataFrame:
     """1-based place in the order per key, ties in any order.
 
-    Rows are dealt by ranges of (keys, order) that Spark draws from a sample of the whole order tuple, so a key's rows
-    spread over tasks also where their leading columns are equal. A range ranks its own rows; what lies before it is
-    one count for each key and range.
+    Where every key has few enough rows for a task to order, keys are ranked by themselves. Otherwise rows are dealt by
+    ranges of (keys, order) that Spark draws from a sample of the whole order tuple, so a key's rows spread over tasks
+    also where their leading columns are equal. A range ranks its own rows; what lies before it is one count for each
+    key and range.
     """
+    df = stage(df)
+    if long_keys(df, keys, chunk) is None:
+        return df.select("*", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int").alias("rank"))
     placed = stage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

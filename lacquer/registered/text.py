@@ -136,7 +136,7 @@ NAMED = TRACKS + """, nm as (select project_id, number, part, side, supplier, t.
 
 def named(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_name", "p_brand")
-    return tracks(spark, d).join(p, "part")
+    return tracks(spark, d, p)
 
 
 def clock(c):

@@ -71,8 +71,8 @@ def release_tracks(parsed: DataFrame) -> DataFrame:
 def parse_matches(docs: DataFrame, body: str = "body") -> DataFrame:
     """One row per (document, recording id, title, artist): best score and the union of its releases.
 
-    Scores are clipped to 0..1, anything that is no finite number counts 0. Rows meet by key, not by document,
-    so one large document is spread out.
+    Scores are clipped to 0..1, anything that is no finite number counts 0. A document is read once; what meets in a key
+    comes from one document, so it is no more than one text holds.
     """
     keep = [c for c in docs.columns if c != body]
     r = docs.select(*keep, F.posexplode(F.from_json(body, MATCH_SCHEMA)["results"]).alias("_rp", "r"))
@@ -84,16 +84,17 @@ def parse_matches(docs: DataFrame, body: str = "body") -> DataFrame:
         F.trim("c.title").alias("title"), joined_credit(F.col("c.artists")).alias("artist_credit"), F.col("c.releasegroups").alias("_g"))
     rec = rec.withColumn("_kt", F.lower("title")).withColumn("_ka", F.lower("artist_credit"))
     key = [*keep, "recording_mbid", "_kt", "_ka"]
-    groups = rec.select(*key, F.explode_outer("_g").alias("g")).select(*key, F.col("g.id").alias("_gid"), F.explode_outer("g.releases").alias("x"))
-    rel = groups.where("x is not null").select(*key, F.coalesce("x.id", F.lit("")).alias("rid"), F.lower(F.coalesce("x.title", F.lit(""))).alias("rt"),
-                                             F.coalesce("_gid", F.lit("")).alias("gid")).where("rid <> '' or rt <> ''").distinct()
-    counted = rel.groupBy(*key).agg(F.count(F.lit(1)).alias("release_count"))
+    named = lambda x, g: F.struct(
+        F.coalesce(x["id"], F.lit("")).alias("rid"), F.lower(F.coalesce(x["title"], F.lit(""))).alias("rt"), F.coalesce(g["id"], F.lit("")).alias("gid"))
+    groups = F.filter("_g", lambda g: g["releases"].isNotNull())
+    of_group = lambda g: F.transform(F.filter(g["releases"], lambda x: x.isNotNull()), lambda x: named(x, g))
+    rel = F.filter(F.flatten(F.transform(groups, of_group)), lambda x: (x["rid"] != "") | (x["rt"] != ""))
     # The earliest of the best-scored spellings is shown.
     lead = F.max(F.struct("score", (-F.col("_at._rp")).alias("a"), (-F.col("_at._cp")).alias("b"), "title", "artist_credit"))
-    best = rec.groupBy(*key).agg(lead.alias("_b"))
-    return best.join(counted, key, "left").select(
+    best = rec.groupBy(*key).agg(lead.alias("_b"), F.array_distinct(F.flatten(F.collect_list(rel))).alias("_rel"))
+    return best.select(
         *keep, "recording_mbid", F.col("_b.title").alias("title"), F.col("_b.artist_credit").alias("artist_credit"),
-        F.col("_b.score").alias("score"), F.coalesce("release_count", F.lit(0)).alias("release_count"))
+        F.col("_b.score").alias("score"), F.size("_rel").cast("bigint").alias("release_count"))
 
 
 def match_releases(docs: DataFrame, body: str = "body") -> DataFrame:
