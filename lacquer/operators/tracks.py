@@ -40,7 +40,11 @@ def side_islands(tracks: DataFrame, keys: list[str] = ["project_id"]) -> DataFra
 
 def side_group_status(tracks: DataFrame, keys: list[str] = ["project_id"]) -> DataFrame:
     """Per project: labels on all or no tracks, and no label that comes back after another one."""
-    per_label = side_islands(tracks, keys).groupBy(*keys, "side").agg(F.count(F.lit(1)).alias("n"), F.sum("tracks").alias("t"))
+    return _island_status(side_islands(tracks, keys), keys)
+
+
+def _island_status(islands: DataFrame, keys: list[str]) -> DataFrame:
+    per_label = islands.groupBy(*keys, "side").agg(F.count(F.lit(1)).alias("n"), F.sum("tracks").alias("t"))
     agg = per_label.groupBy(*keys).agg(
         F.sum("n").alias("groups"), F.max(F.when(F.col("side") != "", F.col("n"))).alias("_most"),
         F.sum(F.when(F.col("side") == "", F.col("t")).otherwise(0)).alias("_blank"), F.sum("t").alias("tracks"),
@@ -54,9 +58,9 @@ def side_group_status(tracks: DataFrame, keys: list[str] = ["project_id"]) -> Da
 
 def ordered_side_groups(tracks: DataFrame, keys: list[str] = ["project_id"]) -> DataFrame:
     """Side groups in order, only for projects with two or more, all labelled, none repeated."""
-    tracks = stage(tracks)
-    good = side_group_status(tracks, keys).where((F.size("reasons") == 0) & (F.col("groups") >= 2)).select(*keys)
-    isl = side_islands(tracks, keys).where("side <> ''").join(good, keys)
+    islands = stage(side_islands(tracks, keys))
+    good = _island_status(islands, keys).where((F.size("reasons") == 0) & (F.col("groups") >= 2)).select(*keys)
+    isl = stage(islands.where("side <> ''").join(good, keys))
     ix = dense_index(isl, keys, ["start_ix"], F.expr("start_ix div 4096"), "group_ix")
     return ix.select(*keys, "group_ix", "side", "start_ix", "end_ix")
 
@@ -86,8 +90,7 @@ def effective_durations(tracks: DataFrame, spans: DataFrame, minimum: float, key
 
 
 def duration_targets(tracks: DataFrame, music: DataFrame, value: str = "effective", keys: list[str] = ["project_id"]) -> DataFrame:
-    """Boundary targets start + round(span * cumulative / total), one per track but the last."""
-    tracks = stage(tracks)
+    """Boundary targets start + round(span * cumulative / total), one per track but the last; `tracks` is read twice."""
     total = tracks.groupBy(*keys).agg(F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_n"))
     cum = prefix_sums(tracks, keys, "number", {"_cum": F.col(value)})
     j = cum.join(total, keys).join(music, keys).where("number < _n")

@@ -190,7 +190,7 @@ ef as (select d.project_id, number, case when k = 0 then 'none' when k = n then
 
 
 def effective(spark, d):
-    t = stage(gappy(spark, d))
+    t = gappy(spark, d)
     spans = t.groupBy("project_id").agg((F.count(F.lit(1)) * 22.0).alias("span_seconds"))
     return tr.effective_durations(t, spans, 5.0)
 
@@ -306,7 +306,7 @@ def b27(spark, d):
 
 
 def topology_inputs(spark, d):
-    t = tracks(spark, d)
+    t = stage(tracks(spark, d))
     rel = t.select(F.col("project_id"), "number", "side", F.when(F.col("part") % 6 != 0, F.col("duration")).alias("duration"))
     n = t.groupBy("project_id").agg(F.max("end_sample").alias("music_end"), F.count(F.lit(1)).alias("previous_tracks"))
     music = n.select("project_id", F.lit(0).cast("bigint").alias("music_start"), "music_end")
