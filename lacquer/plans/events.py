@@ -52,7 +52,7 @@ def repair_events(blocks: DataFrame, retained: DataFrame, decisions: DataFrame,
     bad = problems.select(F.col("scan").alias("capture_id")).distinct()
     approved = retained.where("repairable").join(decisions.where("decision = 'approved'").select("capture_id", "event_id"), ["capture_id", "event_id"], "left_semi")
     approved = stage(approved.join(bad, "capture_id", "left_anti"))
-    patches = stage(rep.patches(rep.event_contexts(approved, blocks, block)))
+    patches = stage(rep.fill_events(approved, blocks, block))
     out = stage(overlaid.overlay_blocks(blocks, patches, block))
     wins = patches.where("patch is not null").select("capture_id", "channel", F.col("start_frame").alias("start_ix"), F.col("end_frame").alias("end_ix"))
     stray = overlaid.measured_blocks(out, wins, block).where("changed_outside > 0")

@@ -118,7 +118,7 @@ def preview_crackle(blocks: DataFrame, evidence: DataFrame, events: DataFrame, b
     ok = evidence.where("status = 'proposed'").select("capture_id")
     e = events.join(ok, "capture_id", "left_semi").select(
         "capture_id", F.concat_ws("-", "start_ix", "end_ix").alias("event_id"), F.col("start_ix").alias("start_frame"), F.col("end_ix").alias("end_frame"), "channels")
-    patches = stage(rep.patches(rep.event_contexts(e, blocks, block, 256), 16))
+    patches = stage(rep.fill_events(e, blocks, block, 256, 16))
     laid = stage(overlaid.overlay_blocks(blocks.join(ok, "capture_id", "left_semi"), patches, block))
     windows = e.select("capture_id", F.explode("channels").alias("channel"), F.col("start_frame").alias("start_ix"), F.col("end_frame").alias("end_ix"))
     render = overlaid.gated_render(overlaid.render_metrics(laid, windows, block))

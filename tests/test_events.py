@@ -105,3 +105,24 @@ def test_range_reads_report_missing_frames(spark):
     whole = read_range(b, 10, 50, 16).orderBy("sample_ix").collect()
     assert [r.amp for r in whole] == list(range(10, 50)) and all(r.complete for r in whole)
     assert not read_range(b, 90, 120, 16).first().complete
+
+
+def test_filling_by_block_equals_filling_by_event(spark):
+    """Windows inside a block, over its edges, at the ends of the capture and longer than a block's edges; samples are
+    moved by block, not by event."""
+    from lacquer.operators import repair as rep
+
+    rng = np.random.default_rng(21)
+    x = np.sin(np.arange(700) / 9) + 0.01 * rng.normal(size=700)
+    samples = spark.createDataFrame([("a", c, i, float(v + c)) for c in (0, 1) for i, v in enumerate(x)], "capture_id string, channel int, sample_ix bigint, amp double")
+    blocks = to_blocks(samples, 64)
+    wins = [(0, 4), (3, 9), (60, 70), (64, 66), (128, 128 + 50), (200, 330), (300, 303), (301, 305), (690, 699), (695, 700)]
+    events = spark.createDataFrame([("a", f"e{i}", s, e, [0, 1] if i % 2 else [0]) for i, (s, e) in enumerate(wins)],
+                                   "capture_id string, event_id string, start_frame bigint, end_frame bigint, channels array<int>")
+    want = {(r.channel, r.event_id): r.patch for r in rep.patches(rep.event_contexts(events, blocks, 64, 20), 6).collect()}
+    out = rep.fill_events(events, blocks, 64, 20, 6)
+    got = {(r.channel, r.event_id): r.patch for r in out.collect()}
+    assert set(got) == set(want) and len(got) == 15 and "samples" not in out.columns
+    for k, v in want.items():
+        assert (got[k] is None) == (v is None)
+        assert v is None or np.allclose(got[k], v)
