@@ -155,3 +155,24 @@ def test_repeated_labels_are_not_repinned(spark):
     current = spark.createDataFrame([("a", "x", 2), ("a", "y", 2), ("a", "y", 3), ("a", "w", 5)], "album string, label string, pin int")
     got = {r.label: (r.pin, r.reason, r.repinned) for r in st.pin_state(album, current, ["pin"], F.col("label") != "w").collect()}
     assert got == {"x": (2, None, True), "y": (1, "repeated_label", False), "z": (1, "unknown_label", False), "w": (1, None, False)}
+
+
+def test_match_documents_are_read_once(spark):
+    from lacquer.sources.catalogs import parse_matches
+
+    rel = '{"releases":[{"id":"r1","title":"A"},{"id":"r1","title":"a"},null,{"id":"","title":""}],"id":"g"}'
+    rec = lambda t, g: f'{{"id":"x","title":"{t}","artists":[{{"name":"N"}}],"releasegroups":[{g}]}}'
+    body = f'{{"results":[{{"score":".5","recordings":[{rec("One", rel)}]}},{{"score":".7","recordings":[{rec("ONE", rel + ",null")},{rec("Two", "")}]}}]}}'
+    out = parse_matches(spark.createDataFrame([(1, body)], "doc int, body string"))
+    assert sorted((r.title, r.score, r.release_count) for r in out.collect()) == [("ONE", 0.7, 1), ("Two", 0.7, 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "Join" not in plan
+
+
+def test_ranks_of_long_and_short_keys(spark):
+    from lacquer.operators.ordering import rank_by
+
+    df = spark.range(300).selectExpr("id % 3 as k", "id * 37 % 101 as v", "id")
+    order = [F.col("v").desc(), F.col("id").asc()]
+    few, many = (sorted(map(tuple, rank_by(df, ["k"], order, chunk=n).collect())) for n in (1000, 20))
+    assert few == many and {r[-1] for r in few} == set(range(1, 101))
