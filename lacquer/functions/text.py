@@ -20,25 +20,38 @@ PARTIAL_DATE = r"^\d{4}(-\d{2}(-\d{2})?)?$"
 
 
 def duration(text: Column) -> Column:
-    """struct(valid, seconds): seconds or M:SS or H:MM:SS(.f). Zero and negative numbers are valid but null."""
+    """struct(valid, seconds): seconds or M:SS or H:MM:SS(.f). Zero and negative numbers are valid but null.
+
+    The clock pattern is matched once; it fixes where the parts lie, so they are cut out without it. Only text that
+    looks like a number is cast: a failed cast to double costs an exception for each row.
+    """
     t = F.trim(text)
     num = t.rlike(NUMBER)
-    n = t.try_cast("double")
-    part = lambda i: F.regexp_extract(t, CLOCK, i)
-    a, b, s, f = part(1), part(2), part(3), part(4)
-    b_, s_ = b.try_cast("double"), s.try_cast("double")
-    hours = F.when(a != "", a.try_cast("double")).otherwise(F.lit(0.0))
-    clock = t.rlike(CLOCK) & (s_ < 60) & ((a == "") | (b_ < 60))
-    frac = F.when(f != "", F.concat(F.lit("0."), f).try_cast("double")).otherwise(F.lit(0.0))
+    n = F.when(num, t).try_cast("double")
+    parts = F.split(t, ":")
+    last, long = F.element_at(parts, -1), F.size(parts) == 3
+    b_, s_ = F.get(parts, F.size(parts) - 2).try_cast("double"), F.substring(last, 1, 2).try_cast("double")
+    hours = F.when(long, F.get(parts, F.lit(0)).try_cast("double")).otherwise(F.lit(0.0))
+    clock = t.rlike(CLOCK) & (s_ < 60) & (~long | (b_ < 60))
+    part = F.concat(F.lit("0."), F.regexp_extract(last, r"\.(\d+)", 1))
+    frac = F.when(F.contains(last, F.lit(".")), part.try_cast("double")).otherwise(F.lit(0.0))
     finite = num & n.isNotNull() & ~F.isnan(n) & (F.abs(n) < F.lit(1e300))
     seconds = F.when(finite, F.when(n > 0, n)).when(clock, hours * 3600 + b_ * 60 + s_ + frac)
     return F.struct(F.coalesce(finite | clock, F.lit(False)).alias("valid"), seconds.alias("seconds"))
 
 
+def bare_title(text: Column) -> Column:
+    """Title without its leading number or side code."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, LEADING_NUMBER, ""), r"^[| ]+", ""))
+
+
+def title_or_number(title: Column, position: Column) -> Column:
+    """The title; a numbered stand-in when nothing is left of it."""
+    return F.when(title != "", title).otherwise(F.concat(F.lit("Track "), F.lpad(position.cast("string"), 2, "0")))
+
+
 def clean_title(text: Column, position: Column) -> Column:
-    """Title without its leading number or side code; a numbered stand-in when nothing is left."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, LEADING_NUMBER, ""), r"^[| ]+", ""))
-    return F.when(t != "", t).otherwise(F.concat(F.lit("Track "), F.lpad(position.cast("string"), 2, "0")))
+    return title_or_number(bare_title(text), position)
 
 
 @F.pandas_udf(StringType())

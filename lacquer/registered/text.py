@@ -134,8 +134,8 @@ def b30(spark, d):
 NAMED = TRACKS + """, nm as (select project_id, number, part, side, supplier, t.duration, p_name, p_brand from tracks t join part on p_partkey = part)"""
 
 
-def named(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_name", "p_brand")
+def named(spark, d, *more):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_name", *more)
     return tracks(spark, d, p)
 
 
@@ -177,9 +177,9 @@ def a3(spark, d):
 @query("a20_reference_durations", "with" + NAMED + """ select project_id, count(*) as tracks, case project_id % 3 when 0 then true when 1 then false end as independent,
     case when project_id % 3 = 2 then 'provenance_unconfirmed' else '' end as reasons from nm group by 1""")
 def a20(spark, d):
-    docs = json_docs(spark, d)
-    prov = docs.where("project_id % 3 <> 2").select("project_id", (F.col("project_id") % 3 == 0).alias("independent"))
-    out = tl.reference_reasons(tl.parse_json(docs), prov, "project_id")
+    orders = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("project_id")).where("project_id % 3 <> 2").distinct()
+    prov = orders.select("project_id", (F.col("project_id") % 3 == 0).alias("independent"))
+    out = tl.reference_reasons(tl.parse_json(json_docs(spark, d)), prov, "project_id")
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -224,7 +224,7 @@ def match_docs(spark, d):
     rec = F.array(F.struct(F.concat(F.lit("rec"), (k % 3).cast("string")).alias("id"), F.col("p_name").alias("title"), arts.alias("artists"), grp.alias("releasegroups")))
     score = F.when(k % 17 == 0, F.lit("oops")).otherwise((F.col("duration") / 40).cast("string"))
     one = F.struct("number", F.struct(score.alias("score"), rec.alias("recordings")).alias("x"))
-    t = named(spark, d).groupBy("project_id").agg(F.array_sort(F.collect_list(one)).alias("a"))
+    t = named(spark, d, "p_brand").groupBy("project_id").agg(F.array_sort(F.collect_list(one)).alias("a"))
     return t.select("project_id", F.to_json(F.struct(F.transform("a", lambda x: x["x"]).alias("results"))).alias("body"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import joined_credit, plain_credit, side_code
@@ -23,9 +23,15 @@ MATCH_SCHEMA = (
 )
 
 
+def parsed(body: Column, schema: str) -> Column:
+    """The value of a JSON text, as a generator of one row: each text is then built and parsed once, where a plain column
+    would be copied by Spark into the filters of later steps."""
+    return F.explode(F.array(F.from_json(body, schema)))
+
+
 def parse_releases(docs: DataFrame, body: str = "body") -> DataFrame:
     keep = [c for c in docs.columns if c != body]
-    return docs.select(*keep, F.from_json(body, RELEASE_SCHEMA).alias("r")).where("r.id is not null")
+    return docs.select(*keep, parsed(F.col(body), RELEASE_SCHEMA).alias("r")).where("r.id is not null")
 
 
 def release_summary(parsed: DataFrame) -> DataFrame:

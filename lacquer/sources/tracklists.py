@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LEADING_NUMBER, NUMBER_FIELD, clean_title, duration
+from ..functions.text import LEADING_NUMBER, NUMBER_FIELD, bare_title, duration, title_or_number
+from .catalogs import parsed
 
 # The metadata keys a track list may carry: fixed list.
 METADATA_KEYS = ["artist", "album", "album_artist", "year", "genre", "side"]
@@ -23,17 +24,17 @@ def read_documents(spark, path: str) -> DataFrame:
 def parse_json(docs: DataFrame, body: str = "body") -> DataFrame:
     """One row per track of a JSON list or of an object with `tracks`; `valid` is false where a duration is not."""
     wrapped = F.when(F.ltrim(body).startswith("["), F.concat(F.lit('{"tracks":'), F.col(body), F.lit("}"))).otherwise(F.col(body))
-    j = docs.withColumn("_d", F.from_json(wrapped, JSON_SCHEMA))
     keep = [c for c in docs.columns if c != body]
+    j = docs.select(*keep, parsed(wrapped, JSON_SCHEMA).alias("_d"))
     meta = [F.coalesce(F.trim(F.col(f"_d.{k}")), F.lit("")).alias(f"list_{k}") for k in METADATA_KEYS]
     t = j.select(*keep, *meta, F.posexplode("_d.tracks").alias("_p", "t"))
-    given = F.coalesce(F.nullif(F.col("t.duration"), F.lit("")), F.nullif(F.col("t.length"), F.lit("")))
-    d = duration(given)
+    t = t.withColumn("_given", F.coalesce(F.nullif(F.col("t.duration"), F.lit("")), F.nullif(F.col("t.length"), F.lit(""))))
+    t = t.withColumn("_s", duration(F.col("_given")))
     title = F.coalesce(F.nullif("t.title", F.lit("")), F.nullif("t.name", F.lit("")))
     return t.select(
         *keep, (F.col("_p") + 1).alias("position"),
         F.trim(F.coalesce(title, F.concat(F.lit("Track "), F.lpad((F.col("_p") + 1).cast("string"), 2, "0")))).alias("title"),
-        d["seconds"].alias("duration"), (given.isNull() | d["valid"]).alias("valid"),
+        F.col("_s.seconds").alias("duration"), (F.col("_given").isNull() | F.col("_s.valid")).alias("valid"),
         F.trim(F.coalesce("t.artist", F.lit(""))).alias("artist"), F.trim(F.coalesce("t.side", F.lit(""))).alias("side"),
         *[f"list_{k}" for k in METADATA_KEYS],
     )
@@ -61,17 +62,19 @@ def parse_text(docs: DataFrame, body: str = "body") -> DataFrame:
     keep = [c for c in docs.columns if c != body]
     lines = text_lines(docs, body).where("kind = 'track'")
     f = lines.withColumn("_f", F.filter(F.transform(F.split("line", r"\t|\s*\|\s*"), lambda x: F.trim(x)), lambda x: x != ""))
-    f = f.where(F.size("_f") > 0).withColumn("_d", duration(F.element_at("_f", -1)))
+    f = f.withColumns({"_any": F.size("_f") > 0, "_d": duration(F.try_element_at("_f", F.lit(-1)))})
     timed = (F.size("_f") > 1) & F.col("_d.valid")
     f = f.withColumn("duration", F.when(timed, F.col("_d.seconds"))).withColumn(
         "_f", F.when(timed, F.slice("_f", F.lit(1), F.size("_f") - 1)).otherwise(F.col("_f")))
     numbered = (F.size("_f") > 1) & F.element_at("_f", 1).rlike(NUMBER_FIELD)
     f = f.withColumn("_f", F.when(numbered, F.slice("_f", F.lit(2), F.size("_f"))).otherwise(F.col("_f")))
-    f = f.withColumn("_t", F.regexp_replace(F.array_join("_f", " | "), LEADING_NUMBER, ""))
-    tracks = f.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("line_ix", "_t", "duration"))).alias("_a"))
+    f = f.withColumn("_t", bare_title(F.regexp_replace(F.array_join("_f", " | "), LEADING_NUMBER, "")))
+    # A line without fields is left out here: a filter on it would have Spark cut each line into fields twice.
+    track = F.when(F.col("_any"), F.struct("line_ix", "_t", "duration"))
+    tracks = f.groupBy(*keep).agg(F.array_sort(F.collect_list(track)).alias("_a"))
     out = tracks.select(*keep, F.posexplode("_a").alias("_p", "t"))
     position = F.col("_p") + 1
-    return out.select(*keep, position.alias("position"), clean_title(F.col("t._t"), position).alias("title"), F.col("t.duration").alias("duration"))
+    return out.select(*keep, position.alias("position"), title_or_number(F.col("t._t"), position).alias("title"), F.col("t.duration").alias("duration"))
 
 
 def reference_reasons(tracks: DataFrame, provenance: DataFrame, key: str) -> DataFrame:

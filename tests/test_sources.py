@@ -176,3 +176,35 @@ def test_ranks_of_long_and_short_keys(spark):
     order = [F.col("v").desc(), F.col("id").asc()]
     few, many = (sorted(map(tuple, rank_by(df, ["k"], order, chunk=n).collect())) for n in (1000, 20))
     assert few == many and {r[-1] for r in few} == set(range(1, 101))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payloads_are_parsed_once(spark):
+    from lacquer.sources import catalogs as cat
+
+    release = '{"id":"r","media":[{"format":"12\\" Vinyl","tracks":[{"number":"A1","title":"x","length":1000}]}]}'
+    docs = spark.createDataFrame([(1, release), (2, "{}"), (3, "no json"), (4, None)], "doc int, body string")
+    tracks = cat.release_tracks(cat.parse_releases(docs))
+    assert [(r.doc, r.medium, r.side, r.side_position, r.duration) for r in tracks.collect()] == [(1, 1, "A", 1, 1.0)]
+    lists = spark.createDataFrame([(1, '[{"title":"x","duration":"0:34"}]'), (2, '{"tracks":[]}'), (3, None)], "doc int, body string")
+    songs = tl.parse_json(lists)
+    assert [(r.doc, r.title, r.duration, r.valid) for r in songs.collect()] == [(1, "x", 34.0, True)]
+    assert plan_of(tracks).count("from_json(") == plan_of(songs).count("from_json(") == 1
+
+
+def test_text_lines_are_cut_once_and_lines_without_fields_left_out(spark):
+    lines = spark.createDataFrame([(1, "1 | x | 0:34\n | |\n2 | y"), (2, "|")], "doc int, body string")
+    got = tl.parse_text(lines)
+    assert [(r.doc, r.position, r.title, r.duration) for r in got.orderBy("position").collect()] == [(1, 1, "x", 34.0), (1, 2, "y", None)]
+    assert plan_of(got).count(r"\t|\s*\|\s*") == 1
+
+
+def test_clock_parts_are_cut_without_the_pattern(spark):
+    text = ["1:02:03.25", "0:34", "12:05\n", "9:99", "1:61:00", "1:2:3:4", "a:b:12", "1:30.", "100:10", "12:30.5.5", "nan", " 7 ", ""]
+    want = [3723.25, 34.0, 725.0, None, None, None, None, None, None, None, None, 7.0, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "i int, t string").select("i", duration(F.col("t")).alias("d"))
+    assert [r.d.seconds for r in df.orderBy("i").collect()] == want
+    assert "regexp_extract(trim" not in plan_of(df.select("d.seconds"))
