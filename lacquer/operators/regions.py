@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import coalesce_runs, dense_index, windowed
+from ..config import CHUNK
+from .ordered import coalesce_runs, dense_index, long_keys, windowed
 
 
-def complement(regions: DataFrame, scopes: DataFrame, wide: int = 1 << 20) -> DataFrame:
-    """What a scope holds outside its regions; touching or overlapping regions count as one.
+def complement(regions: DataFrame, scopes: DataFrame, wide: int = 1 << 20, chunk: int = CHUNK) -> DataFrame:
+    """What a scope holds outside its regions; touching or overlapping regions count as one, empty ones as none.
 
-    regions: (scope_id, start_sample, end_sample); scopes: (scope_id, scope_start, scope_end).
+    regions: (scope_id, start_sample, end_sample); scopes: (scope_id, scope_start, scope_end). Where every scope has few
+    enough regions for a task to order, a region is held against the furthest end before it; else regions become flat first.
     """
-    flat = coalesce_overlaps(regions, wide)
-    ix = dense_index(flat, ["scope_id"], ["start_sample"], F.floor(F.col("start_sample") / wide), "_ix")
-    near = windowed(ix, ["scope_id"], "_ix", 1, 1, {
-        "_p": lambda w: F.lag("end_sample").over(w), "_n": lambda w: F.lead("start_sample").over(w)})
+    regions = regions.where("end_sample > start_sample")
+    if long_keys(regions, ["scope_id"], chunk) is None:
+        w = Window.partitionBy("scope_id").orderBy("start_sample", "end_sample")
+        near = regions.select("scope_id", "start_sample", F.max("end_sample").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end_sample"),
+                              F.max("end_sample").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_p"), F.lead("start_sample").over(w).alias("_n"))
+    else:
+        flat = coalesce_overlaps(regions, wide)
+        ix = dense_index(flat, ["scope_id"], ["start_sample"], F.floor(F.col("start_sample") / wide), "_ix")
+        near = windowed(ix, ["scope_id"], "_ix", 1, 1, {
+            "_p": lambda w: F.lag("end_sample").over(w), "_n": lambda w: F.lead("start_sample").over(w)})
     j = near.join(scopes, "scope_id")
     before = F.struct(F.coalesce("_p", "scope_start").alias("start_sample"), F.col("start_sample").alias("end_sample"))
     after = F.when(F.col("_n").isNull(), F.struct(F.col("end_sample").alias("start_sample"), F.col("scope_end").alias("end_sample")))

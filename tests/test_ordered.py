@@ -183,3 +183,18 @@ def test_quantiles_of_short_keys_take_one_shuffle(spark):
     df = spark.range(400).select((F.col("id") % 90).alias("k"), F.rand(1).alias("v"))
     plan = qt.median_mad(df, ["k"], "v", "c", "m", "n")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_complement_of_short_and_long_scopes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, int(a), int(a + n)) for s in range(6) for a, n in zip(rng.integers(10, 400, 4 * s), rng.integers(0, 40, 4 * s))] + [(9, 50, 50)]
+    r = spark.createDataFrame(rows, "scope_id int, start_sample bigint, end_sample bigint")
+    sc = spark.createDataFrame([(s, 0, 500) for s in [*range(6), 9]], "scope_id int, scope_start bigint, scope_end bigint")
+    want = []
+    for s in [*range(6), 9]:
+        free = [i for i in range(500) if not any(x == s and a <= i < b for x, a, b in rows)]
+        starts = [i for i in free if i - 1 not in free]
+        want += [(s, a, next(i for i in range(a, 501) if i not in free)) for a in starts]
+    for chunk in (1 << 16, 8):
+        got = rg.complement(r, sc, wide=32, chunk=chunk)
+        assert sorted((x.scope_id, x.start_sample, x.end_sample) for x in got.collect()) == sorted(want)
