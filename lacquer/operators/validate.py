@@ -149,13 +149,14 @@ def graph_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     nodes: (graph, node); edges: (graph, node, depends_on). A graph with a cycle is named once, whatever its cycles.
     """
-    dup = nodes.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("graph", F.lit("duplicate_node").alias("code"))
-    own = nodes.select("graph", F.col("node").alias("depends_on")).distinct()
-    edges = stage(edges)
-    gone = edges.join(own, ["graph", "depends_on"], "left_anti").select("graph", F.lit("missing_node").alias("code"))
+    known = stage(nodes.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("n")))
+    dup = known.where("n > 1").select("graph", F.lit("duplicate_node").alias("code"))
+    own = known.select("graph", F.col("node").alias("depends_on"), F.lit(True).alias("_own"))
+    edges = stage(edges.join(own, ["graph", "depends_on"], "left"))
+    gone = edges.where("_own is null").select("graph", F.lit("missing_node").alias("code"))
     loops = edges.where("node = depends_on").select("graph", F.lit("self_edge").alias("code"))
-    live = stage(edges.where("node <> depends_on").join(own, ["graph", "depends_on"], "left_semi").join(
-        nodes.select("graph", "node").distinct(), ["graph", "node"], "left_semi").distinct())
+    live = stage(edges.where("_own and node <> depends_on").select("graph", "node", "depends_on").join(
+        known, ["graph", "node"], "left_semi").distinct())
     cycles = cyclic_graphs(live).select("graph", F.lit("cycle").alias("code"))
     return dup.unionByName(gone).unionByName(loops).unionByName(cycles).distinct()
 

@@ -208,3 +208,12 @@ def test_clock_parts_are_cut_without_the_pattern(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "i int, t string").select("i", duration(F.col("t")).alias("d"))
     assert [r.d.seconds for r in df.orderBy("i").collect()] == want
     assert "regexp_extract(trim" not in plan_of(df.select("d.seconds"))
+
+
+def test_graph_nodes_are_grouped_once(spark):
+    nodes = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c")], "graph int, node string")
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "a"), (2, "c", "c"), (2, "c", "x"), (3, "y", "y")], "graph int, node string, depends_on string")
+    got = va.graph_problems(nodes, edges)
+    assert sorted((r.graph, r.code) for r in got.collect()) == [
+        (1, "cycle"), (1, "duplicate_node"), (2, "missing_node"), (2, "self_edge"), (3, "missing_node"), (3, "self_edge")]
+    assert "Join" not in plan_of(got)
