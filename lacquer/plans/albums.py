@@ -34,5 +34,5 @@ def navigation(tracks: DataFrame, rate: int) -> dict[str, DataFrame]:
     good = tracks.join(checked.where(F.size("reasons") == 0).select("album"), "album", "left_semi")
     lines, chap = sinks.cue_lines(good, rate), sinks.chapters(good)
     summary = chap.select("album", F.length("chapters").alias("chapter_chars")).join(
-        lines.groupBy("album").agg(F.count(F.lit(1)).alias("cue_lines")), "album")
+        sinks.cue_line_counts(good), "album")
     return {"problems": checked.where(F.size("reasons") > 0), "cue": lines, "chapters": chap, "summary": summary}

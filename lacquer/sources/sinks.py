@@ -10,19 +10,31 @@ from ..functions.text import cue_quoted
 from ..operators.intervals import overlapping
 
 
+def _cue_starts(tracks: DataFrame) -> DataFrame:
+    """Adds whether a track is its album's first and whether it opens a side or a file."""
+    from ..operators.ordered import dense_index, windowed
+
+    ix = dense_index(tracks, ["album"], ["side_order", "album_number"], F.expr("side_order div 64"), "_ix")
+    prev = windowed(ix, ["album"], "_ix", 1, 0, {"_f": lambda w: F.lag("file_path").over(w), "_s": lambda w: F.lag("side_order").over(w)})
+    return prev.withColumns({
+        "_first": F.col("_ix") == 0, "_new_side": ~F.col("side_order").eqNullSafe(F.col("_s")), "_new_file": ~F.col("file_path").eqNullSafe(F.col("_f"))})
+
+
+def cue_line_counts(tracks: DataFrame) -> DataFrame:
+    """(album, cue_lines): how many lines cue_lines() gives an album, without writing them."""
+    one = lambda c: F.col(c).cast("bigint")
+    lines = 4 + 3 * one("_first") + one("_new_side") + one("_new_file")
+    return _cue_starts(tracks).groupBy("album").agg(F.sum(lines).alias("cue_lines"))
+
+
 def cue_lines(tracks: DataFrame, rate: int) -> DataFrame:
     """Lines of each album's cue sheet with their place: (album, side_order, album_number, line_no, line).
 
     tracks: (album, side_order, label, album_number, title, artist, file_path, file_start, album_title,
     album_artist). A side's tracks share files in order; a FILE line opens each new one.
     """
-    from ..operators.ordered import dense_index, windowed
-
-    ix = dense_index(tracks, ["album"], ["side_order", "album_number"], F.expr("side_order div 64"), "_ix")
-    prev = windowed(ix, ["album"], "_ix", 1, 0, {"_f": lambda w: F.lag("file_path").over(w), "_s": lambda w: F.lag("side_order").over(w)})
-    new_side = ~F.col("side_order").eqNullSafe(F.col("_s"))
-    new_file = ~F.col("file_path").eqNullSafe(F.col("_f"))
-    first = F.col("_ix") == 0
+    prev = _cue_starts(tracks)
+    first, new_side, new_file = F.col("_first"), F.col("_new_side"), F.col("_new_file")
     line = lambda n, text, cond=None: F.when(F.lit(True) if cond is None else cond, F.struct(F.lit(n).alias("line_no"), text.alias("line")))
     number = F.lpad(F.col("album_number").cast("string"), 2, "0")
     rows = F.array_compact(F.array(

@@ -217,3 +217,13 @@ def test_graph_nodes_are_grouped_once(spark):
     assert sorted((r.graph, r.code) for r in got.collect()) == [
         (1, "cycle"), (1, "duplicate_node"), (2, "missing_node"), (2, "self_edge"), (3, "missing_node"), (3, "self_edge")]
     assert "Join" not in plan_of(got)
+
+
+def test_cue_line_counts_are_those_of_the_lines(spark):
+    rows = [(a, 1 + n // 3, n + 1, f"s{n // f}.wav") for a, f in (("x", 3), ("y", 2), ("z", 9)) for n in range(7)]
+    t = spark.createDataFrame(rows, "album string, side_order int, album_number int, file_path string")
+    t = t.selectExpr("*", "'l' label", "'t' title", "'p' artist", "0L file_start", "'a' album_title", "'b' album_artist")
+    lines = sinks.cue_lines(t, 1000).groupBy("album").count()
+    counts = sinks.cue_line_counts(t)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, lines.collect()))
+    assert "regexp_replace" not in plan_of(counts)
