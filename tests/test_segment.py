@@ -194,3 +194,10 @@ def test_collapse_equals_the_fold(spark, near, chunk):
             else:
                 kept.append((c, s))
         assert sorted(got[k]) == kept
+
+
+def test_side_labels_are_folded_once(spark):
+    p = spark.createDataFrame([(["A", " a", "b"], 3)], "sides array<string>, n int")
+    got = p.select(choice.side_spans(F.col("sides"), F.col("n")).alias("s"))
+    assert [tuple(x) for x in got.first().s] == [(0, 2), (2, 3)]
+    assert got._jdf.queryExecution().analyzed().toString().count("upper(") == 1
