@@ -50,7 +50,7 @@ def tracks(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) ->
         own = [c for c in parts.columns if c != "part"]
         held = parts.groupBy(F.col("part").alias("l_partkey")).agg(F.collect_list(F.struct(*own)).alias("_parts"))
         li, extra = li.join(held, "l_partkey", "left"), [F.inline("_parts")]
-    summed = dense_index(li, ["project_id"], order, day, "ix", {"end_sample": F.col("_len")}, counted=lines)
+    summed = dense_index(li, ["project_id"], order, day, "ix", {"end_sample": F.col("_len")}, counted=lines, undealt=True)
     return summed.select(
         "project_id", (F.col("ix") + 1).alias("number"), "side", F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supplier"), "duration",

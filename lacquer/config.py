@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 # Rows of one series that a single task may order at a time.
 CHUNK = 1 << 16
+# Rows of many short series that a single task orders at a time.
+TASK_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)

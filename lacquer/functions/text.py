@@ -115,7 +115,7 @@ def plain_credit(artists: Column) -> Column:
 
 def cue_quoted(text: Column) -> Column:
     """One printable line in double quotes; inner double quotes become two single ones."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(text, "\x00", " "), r"\s+", " "))
+    flat = F.trim(F.regexp_replace(text, r"[\x00\s]+", " "))
     return F.concat(F.lit('"'), F.replace(flat, F.lit('"'), F.lit("''")), F.lit('"'))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CHUNK
+from ..config import CHUNK, TASK_ROWS
 from ..session import stage
 
 
@@ -26,9 +26,20 @@ def long_keys(df: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFra
     return None if long.isEmpty() else long
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int, most: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt by `keys` into parts of some `most` rows each, where the session's number of partitions makes larger ones.
+
+    A task then orders its short keys in memory, however large the table is.
+    """
+    parts = -(-rows // most)
+    if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(parts, *keys)
+
+
 def dense_index(
     df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, name: str, sums: dict | None = None, chunk: int = CHUNK,
-    counted: DataFrame | None = None,
+    counted: DataFrame | None = None, undealt: bool = False,
 ) -> DataFrame:
     """0-based position of each row in its key's order, and inclusive running sums (name -> column) along it.
 
@@ -36,11 +47,14 @@ def dense_index(
     ones are ranked inside (keys, bucket) and shifted by the totals of all earlier buckets, which are one row per
     bucket; there are few longer keys, at most one for each `chunk` rows, so they are broadcast. Without longer keys
     the rows stay dealt by `keys`, so that later steps by them need no shuffle. `counted` may name a cheaper table with
-    the same rows for each key.
+    the same rows for each key. `undealt` says that the rows do not lie by `keys` yet: short keys are then dealt into parts that
+    a task orders in memory.
     """
     keys, sums = list(keys), dict(sums or {})
-    long = long_keys(df if counted is None else counted, keys, chunk)
+    counted = df if counted is None else counted
+    long = long_keys(counted, keys, chunk)
     if long is None:
+        df = dealt(df, keys, counted.count()) if undealt else df
         whole = Window.partitionBy(*keys).orderBy(*order)
         so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
         extra = [F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(s) for s, c in sums.items()]

@@ -464,15 +464,27 @@ def g3(spark, d):
 NAV = TRACKS + """, nv as (select project_id as album, number, part, supplier, start_sample, end_sample, 1 + (number - 1) // 3 as side_order from tracks)"""
 
 
-def nav(spark, d):
+def places(spark, d):
+    """An album's tracks with their side and file, before texts are made of them."""
     t = tracks(spark, d)
     so = F.expr("1 + (number - 1) div 3")
-    s = F.concat(F.lit("Side "), so.cast("string"))
     path = F.concat(F.lit("s"), so.cast("string"), F.lit(".wav"))
-    return t.select(F.col("project_id").alias("album"), so.alias("side_order"), s.alias("label"), F.lower(s).alias("label_key"), F.col("number").alias("album_number"), "number",
-                    F.concat(F.lit('Part "'), F.col("part").cast("string"), F.lit('"')).alias("title"), F.concat(F.lit("Supp "), F.col("supplier").cast("string")).alias("artist"), path.alias("file_path"), path.alias("file_key"),
-                    F.when(F.col("part") % 50 == 3, "x").otherwise("y").alias("file_sha256"), F.col("start_sample").alias("file_start"), F.concat(F.lit("Album "), F.col("project_id").cast("string")).alias("album_title"),
-                    F.lit("Someone").alias("album_artist"), "start_sample", "end_sample")
+    return t.select(F.col("project_id").alias("album"), so.alias("side_order"), F.col("number").alias("album_number"), "number", path.alias("file_path"),
+                    F.col("start_sample").alias("file_start"), "start_sample", "end_sample", "part", "supplier")
+
+
+def named(t):
+    """Adds the texts of albums, sides and tracks."""
+    s = F.concat(F.lit("Side "), F.col("side_order").cast("string"))
+    return t.withColumns({
+        "label": s, "label_key": F.lower(s), "title": F.concat(F.lit('Part "'), F.col("part").cast("string"), F.lit('"')),
+        "artist": F.concat(F.lit("Supp "), F.col("supplier").cast("string")), "file_key": F.col("file_path"),
+        "file_sha256": F.when(F.col("part") % 50 == 3, "x").otherwise("y"),
+        "album_title": F.concat(F.lit("Album "), F.col("album").cast("string")), "album_artist": F.lit("Someone")}).drop("part", "supplier")
+
+
+def nav(spark, d):
+    return named(places(spark, d))
 
 
 @query("c12_navigation_integrity", "with" + NAV + """, g as (select album, count(*) as tracks, count(distinct side_order) as sides from nv group by 1), f as (select album, bool_or(x) as clash from (select album, side_order, count(distinct part % 50 = 3) > 1 as x from nv group by 1, 2) group by 1)
@@ -487,7 +499,8 @@ def c12(spark, d):
     {'line_no': 5, 'line': '  TRACK ' || lpad(number::varchar, 2, '0') || ' AUDIO'}, {'line_no': 6, 'line': '    TITLE "Part ''''' || part || '''''"'}, {'line_no': 7, 'line': '    PERFORMER "Supp ' || supplier || '"'},
     {'line_no': 8, 'line': '    INDEX 01 ' || lpad((fr // 4500)::varchar, 2, '0') || ':' || lpad((fr % 4500 // 75)::varchar, 2, '0') || ':' || lpad((fr % 75)::varchar, 2, '0')}]) as x from l) where x is not null""")
 def a14(spark, d):
-    return sinks.cue_lines(nav(spark, d), 1000)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("album"))
+    return sinks.started_lines(named(sinks.cue_starts(places(spark, d), lines)), 1000)
 
 
 CHAP = NAV + """, s as (select album, side_order, '[' || string_agg('{"number":' || number || ',"start_sample":' || start_sample || ',"end_sample":' || end_sample || '}', ',' order by number) || ']' as t from nv group by 1, 2)"""

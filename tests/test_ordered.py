@@ -198,3 +198,13 @@ def test_complement_of_short_and_long_scopes(spark):
     for chunk in (1 << 16, 8):
         got = rg.complement(r, sc, wide=32, chunk=chunk)
         assert sorted((x.scope_id, x.start_sample, x.end_sample) for x in got.collect()) == sorted(want)
+
+
+def test_many_short_keys_are_dealt_into_parts_that_fit_a_task(spark):
+    """More rows than the session's partitions may hold go to more parts; a key stays in one, positions are the same."""
+    df = spark.range(4000).select((F.col("id") % 500).alias("k"), "id")
+    many, few = od.dealt(df, ["k"], 4000, most=100), od.dealt(df, ["k"], 4000, most=1000)
+    assert many.rdd.getNumPartitions() == 40 and few is df
+    assert many.select("k", F.spark_partition_id().alias("p")).distinct().count() == 500
+    got = od.dense_index(many, ["k"], ["id"], F.expr("id div 7"), "ix")
+    assert got.where("ix <> id div 500").count() == 0

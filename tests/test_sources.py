@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from lacquer.functions.text import duration, identity_text
+from lacquer.functions.text import cue_quoted, duration, identity_text
 from lacquer.operators import validate as va
 from lacquer.sources import blocks as bl
 from lacquer.sources import sinks
@@ -227,3 +227,32 @@ def test_cue_line_counts_are_those_of_the_lines(spark):
     counts = sinks.cue_line_counts(t)
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, lines.collect()))
     assert "regexp_replace" not in plan_of(counts)
+
+
+CUE_TRACKS = "album string, side_order int, album_number int, file_path string"
+
+
+def test_cue_tracks_are_ordered_once_and_without_their_texts(spark):
+    """Texts made behind cue_starts() stay out of the sort, and no track is copied for its successor."""
+    rows = [(a, 1 + n // 3, n + 1, f"s{n // f}.wav") for a, f in (("x", 3), ("y", 2)) for n in range(7)]
+    started = sinks.cue_starts(spark.createDataFrame(rows, CUE_TRACKS))
+    t = started.selectExpr("*", "concat('Side ', side_order) label", "concat('Part ', album_number) title", "'p' artist", "0L file_start", "'a' album_title", "'b' album_artist")
+    plan = plan_of(sinks.started_lines(t, 1000))
+    assert plan.count("Sort [") == 1 and "sequence(" not in plan
+    assert "Part " not in plan[plan.index("Sort ["):]
+
+
+def test_cue_starts_of_long_and_short_albums(spark):
+    rows = [(a, 1 + n // 3, n + 1, f"s{n // f % 2}.wav") for a, f, m in (("x", 3, 40), ("y", 2, 7), ("z", 9, 1)) for n in range(m)]
+    t = spark.createDataFrame(rows[::-1], CUE_TRACKS)
+    got = [sorted(map(tuple, sinks.cue_starts(t, chunk=c).select("album", "album_number", "_first", "_new_side", "_new_file").collect())) for c in (5, 1000)]
+    assert got[0] == got[1]
+    want = [(a, n, n == 1, (n - 1) % 3 == 0, n == 1 or p != q) for a, n, p, q in
+            ((a, n, p, rows[i - 1][3]) for i, (a, _, n, p) in enumerate(rows))]
+    assert got[1] == sorted(want)
+
+
+def test_cue_text_is_one_line(spark):
+    text = ["a\x00b", " \x00 a \t\n b\x00", 'say  "x"', ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(text)], "i int, t string")
+    assert [r.q for r in df.orderBy("i").select(cue_quoted(F.col("t")).alias("q")).collect()] == ['"a b"', '"a b"', "\"say ''x''\"", '""']
