@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -110,20 +110,25 @@ def feasible_targets(targets: DataFrame, minimum: int, keys: list[str] = ["proje
     return run.withColumn("feasible", (F.least(ceiling, floor_) + F.col("number") * minimum).cast("bigint")).drop("_run")
 
 
-def build_tracks(selected: DataFrame, bounds: DataFrame, rate: int) -> DataFrame:
+def build_tracks(selected: DataFrame, bounds: DataFrame, rate: int, short: bool = False) -> DataFrame:
     """Contiguous tracks between music start, the selected cuts and music end.
 
     selected: (capture_id, cut_sample, score); bounds: (capture_id, start_sample, end_sample). Cuts on the
-    same sample merge to the best score; a track is as sure as its weaker edge.
+    same sample merge to the best score; a track is as sure as its weaker edge. `short` says that a task may order the
+    cuts of any capture.
     """
     b = bounds.where("end_sample > start_sample")
     inner = selected.join(b, "capture_id").where("end_sample - start_sample > 1")
     at = F.greatest(F.col("start_sample") + 1, F.least(F.col("end_sample") - 1, F.col("cut_sample")))
     cuts = inner.groupBy("capture_id", at.alias("at")).agg(F.max("score").alias("s"))
     ends = b.select("capture_id", F.explode(F.array("start_sample", "end_sample")).alias("at"), F.lit(1.0).alias("s"))
-    marks = dense_index(stage(cuts.unionByName(ends)), ["capture_id"], ["at"], F.expr(f"at div {rate * 600}"), "ix")
-    nxt = windowed(marks, ["capture_id"], "ix", 0, 1, {
-        "end_sample": lambda w: F.lead("at").over(w), "_s2": lambda w: F.lead("s").over(w)})
+    marks, after = cuts.unionByName(ends), {"end_sample": lambda w: F.lead("at").over(w), "_s2": lambda w: F.lead("s").over(w)}
+    if short:
+        w = Window.partitionBy("capture_id").orderBy("at")
+        nxt = marks.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("ix"), *[f(w).alias(n) for n, f in after.items()])
+    else:
+        marks = dense_index(stage(marks), ["capture_id"], ["at"], F.expr(f"at div {rate * 600}"), "ix")
+        nxt = windowed(marks, ["capture_id"], "ix", 0, 1, after)
     return nxt.where("end_sample is not null").select(
         "capture_id", (F.col("ix") + 1).alias("number"), F.col("at").alias("start_sample"), "end_sample",
         F.least("s", "_s2").alias("confidence"))

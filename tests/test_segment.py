@@ -11,6 +11,7 @@ from lacquer.config import SegmentSettings
 from lacquer.operators import choice, envelope, gaps
 from lacquer.operators import tracks as tr
 from lacquer.plans.segment import refit_topology, segment_captures
+from lacquer.session import stage
 
 
 def gap_fixture(spark, clicks=True):
@@ -201,3 +202,95 @@ def test_side_labels_are_folded_once(spark):
     got = p.select(choice.side_spans(F.col("sides"), F.col("n")).alias("s"))
     assert [tuple(x) for x in got.first().s] == [(0, 2), (2, 3)]
     assert got._jdf.queryExecution().analyzed().toString().count("upper(") == 1
+
+
+def odd_projects(spark):
+    """Releases with all kinds of sides, durations, numbers, ranges and gaps; half of the projects are regular."""
+    rng = np.random.default_rng(31)
+    rel, music, cands, prev = [], [], [], []
+    for k in range(260):
+        p, odd = f"p{k}", k % 2 == 1
+        n = int(rng.integers(1, 9)) if k % 26 else 40
+        cut = max(1, n // 2)
+        sides = [["A"] * cut + ["B"] * (n - cut), [None] * n, [" a", "A "] * n, ["A", "b", "C", "d", "E", "f", "G", "h", "I"] * 5, ["A"] * cut + [" "] * (n - cut)][k % 5]
+        known = [1.0, 0.0, 0.7, 0.9][k % 4]
+        lengths = [float(x) if rng.random() < known else None for x in rng.uniform(1, 12, n)]  # no halves: single steps add up in any order
+        numbers = list(range(1, n + 1))
+        if odd and k % 13 == 1:
+            numbers[-1] += int(rng.integers(0, 2))
+        if odd and k % 17 == 1:
+            lengths[0] = 0.0
+        rel += [(p, i, s, x) for i, s, x in zip(numbers, sides, lengths)]
+        start = int(rng.integers(0, 3000))
+        span = int(n * rng.uniform(0.9, 8) * 1000) + (0 if k % 7 else 400)
+        if k % 41:
+            music.append((p, start, start + span) if k % 43 else (p, None, start + span))
+        if k % 47 == 3:
+            music.append((p, start, start + span))
+        m = int(rng.integers(0, 2 * n + 2)) if k % 52 else 130
+        cuts = np.sort(rng.uniform(start, start + span, m).round(-1 if k % 3 else 0)) / 1000
+        if k % 6 == 0 and m > 1:
+            cuts[1::3] = cuts[0::3][: len(cuts[1::3])] + 0.03
+        for i, c in enumerate(cuts):
+            half = 0.6 if k % 4 else float(rng.choice([0.0, 0.1, 0.3, 1.2]))
+            score = round(float(rng.uniform(0.2, 1)), 1) if not (odd and k % 19 == 1 and i == 0) else None
+            cands.append((p, i, float(c) - half, float(c) + half, float(c), int(c * 1000), 2 * half, score))
+        prev.append((p, int(rng.integers(1, 9))))
+    return (
+        spark.createDataFrame(rel, "project_id string, number bigint, side string, duration double").repartition(3),
+        spark.createDataFrame(music, "project_id string, music_start bigint, music_end bigint"),
+        spark.createDataFrame(cands, "project_id string, candidate_index int, start_seconds double, end_seconds double, cut_seconds double, cut_sample bigint, duration_seconds double, score double").repartition(3),
+        spark.createDataFrame(prev, "project_id string, previous_tracks bigint"))
+
+
+def test_short_projects_are_refitted_in_one_pass(spark, monkeypatch):
+    from lacquer.plans import segment
+
+    rel, music, cands, prev = odd_projects(spark)
+    even = lambda df: df.where("cast(substring(project_id, 2) as int) % 10 in (2, 6)")
+    staged = []
+    monkeypatch.setattr(segment, "stage", lambda df: staged.append(1) or stage(df))
+    monkeypatch.setattr(segment, "_refit_in_steps", None, raising=False)
+    out = refit_topology(even(rel), even(music), even(cands), 1000, 1.0, prev)
+    assert out["boundaries"].count() > 50 and len(staged) == 1
+
+
+def test_one_pass_refits_as_the_steps_do(spark):
+    """Same boundaries, tracks, operations and refusals for regular and odd projects, in small batches too."""
+    from lacquer.operators import refit
+
+    rel, music, cands, prev = odd_projects(spark)
+    rows = lambda df: sorted(tuple(str(x) for x in r) for r in df.collect())
+    steps, once = (refit_topology(rel, music, cands, 1000, 1.0, prev, limit=n) for n in (0, 1 << 16))
+    assert {r.status for r in refit.refit_at_once(refit.tagged(rel, music, cands), 1000, 1.0).select("status").distinct().collect()} == {0, 1, 2, 3}
+    for name in ("boundaries", "tracks", "operations", "refused"):
+        assert rows(once[name]) == rows(steps[name]) and rows(once[name])
+    parts = refit.tagged(rel, music, cands)
+    assert rows(refit.refit_at_once(parts, 1000, 1.0, 1, batch_rows=50)) == rows(refit.refit_at_once(parts, 1000, 1.0, 5))
+
+
+def test_equal_problems_are_chosen_as_alone(monkeypatch):
+    from lacquer.operators import refit
+
+    rng = np.random.default_rng(8)
+    lo, hi, count, own, points, ends = [], [], [], [], [], [0]
+    for _ in range(400):
+        n, m = int(rng.integers(1, 5)), int(rng.integers(0, 6))
+        cuts = np.sort(rng.uniform(0, 6 * n, m).round(1))
+        half = rng.choice([0.0, 0.4, 1.5], m)
+        points += sorted((float(c), float(c - h), float(c + h), float(s), float(i)) for i, (c, h, s) in enumerate(zip(cuts, half, rng.uniform(0.2, 1, m).round(1))))
+        ends.append(len(points))
+        lo.append(0.3), hi.append(6.0 * n - 0.2), count.append(n), own.append(rng.uniform(0.5, 9, n).tolist())
+    count, known = np.array(count), rng.random(400) < 0.6
+    args = np.array(lo), np.array(hi), count, np.concatenate(own), np.cumsum(count) - count, known, np.array(points), np.array(ends[:-1]), np.array(ends[1:])
+    for spacing in (1.0, 3.0, 5.7):
+        good, got = refit.exact_choices(*args, spacing)
+        at = 0
+        for q in range(400):
+            pts = [dict(zip(choice.POINT, p)) for p in points[ends[q] : ends[q + 1]]]
+            want = choice.choose_points(pts, lo[q], hi[q], int(count[q]), own[q] if known[q] else None, spacing)
+            assert good[q] == (len(want) == count[q] - 1)
+            if good[q]:
+                assert [tuple(x) for x in got[at : at + count[q] - 1].tolist()] == [tuple(p[c] for c in choice.POINT) for p in want]
+            at += count[q] - 1
+        assert good.sum() > 20
