@@ -26,6 +26,14 @@ def long_keys(df: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFra
     return None if long.isEmpty() else long
 
 
+def maybe_long(df: DataFrame, keys: Sequence[str], chunk: int = CHUNK, buckets: int = CHUNK) -> DataFrame | None:
+    """The rows of keys that share a hash bucket of more than `chunk` rows, all keys of more than `chunk` among them; None
+    where there are none. Counting buckets shuffles little, however many keys there are."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    full = stage(df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk).select("_b"))
+    return None if full.isEmpty() else df.join(F.broadcast(full), bucket == F.col("_b"), "left_semi")
+
+
 def dealt(df: DataFrame, keys: Sequence[str], rows: int, most: int = TASK_ROWS) -> DataFrame:
     """Rows dealt by `keys` into parts of some `most` rows each, where the session's number of partitions makes larger ones.
 
@@ -52,7 +60,8 @@ def dense_index(
     """
     keys, sums = list(keys), dict(sums or {})
     counted = df if counted is None else counted
-    long = long_keys(counted, keys, chunk)
+    crowded = maybe_long(counted, keys, chunk) if undealt else counted
+    long = None if crowded is None else long_keys(crowded, keys, chunk)
     if long is None:
         df = dealt(df, keys, counted.count()) if undealt else df
         whole = Window.partitionBy(*keys).orderBy(*order)

@@ -29,16 +29,20 @@ EXACT = 1 << 53
 
 
 def tagged(release: DataFrame, music: DataFrame, cands: DataFrame) -> DataFrame:
-    """All rows of the three tables as one: (project_id, kind, i1, i2, x1 to x5, s1, s2)."""
+    """All rows of the three tables as one: (project_id, kind, i1, i2, x1 to x5, s).
+
+    s: both forms of the side, behind the length of the first one; a second column of texts would cost more than either.
+    """
     long, real, text = (lambda c, t=t: F.col(c).cast(t) for t in ("bigint", "double", "string"))
     side = F.coalesce(text("side"), F.lit(""))
+    name = F.upper(F.trim(side))
     shape = {
         MUSIC: (music, {"i1": long("music_start"), "i2": long("music_end")}),
-        TRACK: (release, {"i1": long("number"), "x1": real("duration"), "s1": F.upper(F.trim(side)), "s2": F.lower(side)}),
+        TRACK: (release, {"i1": long("number"), "x1": real("duration"), "s": F.concat(F.length(name).cast("string"), F.lit(":"), name, F.lower(side))}),
         GAP: (cands, {"i1": long("candidate_index"), "i2": long("cut_sample"), "x1": real("start_seconds"), "x2": real("end_seconds"),
                       "x3": real("cut_seconds"), "x4": real("duration_seconds"), "x5": real("score")}),
     }
-    kinds = {**dict.fromkeys(["i1", "i2"], "bigint"), **dict.fromkeys(["x1", "x2", "x3", "x4", "x5"], "double"), **dict.fromkeys(["s1", "s2"], "string")}
+    kinds = {**dict.fromkeys(["i1", "i2"], "bigint"), **dict.fromkeys(["x1", "x2", "x3", "x4", "x5"], "double"), "s": "string"}
     parts = [
         df.where("project_id is not null").select("project_id", F.lit(kind).alias("kind"), *(cols.get(n, F.lit(None).cast(t)).alias(n) for n, t in kinds.items()))
         for kind, (df, cols) in shape.items()
@@ -150,9 +154,15 @@ def _same_shape(lo, hi, n, lengths, at, known, points, p0, held, spacing):
     cut = np.where(real, src[:, :, 0], np.where(is_made, t, np.inf))
     start, end = np.where(real, src[:, :, 1], t), np.where(real, src[:, :, 2], t)
     score, ix = np.where(real, src[:, :, 3], VIRTUAL_SCORE), np.where(real, src[:, :, 4], -1.0)
-    o = np.argsort(-score, axis=1, kind="stable")
-    o = np.take_along_axis(o, np.argsort(np.take_along_axis(cut, o, axis=1), axis=1, kind="stable"), axis=1)
-    cut, start, end, score, ix = (np.take_along_axis(x, o, axis=1) for x in (cut, start, end, score, ix))
+    full = cut, start, end, score, ix
+    base = (rows * wide)[:, None]
+    order = base + np.argsort(cut, axis=1, kind="stable")
+    cut = np.take(full[0], order)
+    if ((cut[:, 1:] == cut[:, :-1]) & np.isfinite(cut[:, 1:])).any():
+        order = base + np.argsort(-score, axis=1, kind="stable")
+        order = np.take(order, base + np.argsort(np.take(full[0], order), axis=1, kind="stable"))
+        cut = np.take(full[0], order)
+    score = np.take(score, order)
     # points within 50 ms of the last kept one: the better of both is kept
     kept = np.zeros((size, wide), np.int64)
     number, top, best = np.zeros(size, np.int64), np.full(size, -np.inf), np.zeros(size)
@@ -166,10 +176,10 @@ def _same_shape(lo, hi, n, lengths, at, known, points, p0, held, spacing):
         kept[r, number[take] - 1] = i
         top, best = np.where(take, cut[:, i], top), np.where(take, score[:, i], best)
     wide = int(number.max())
-    kept = kept[:, :wide]
+    kept = np.take(order, base + kept[:, :wide])
     valid = np.arange(wide)[None, :] < number[:, None]
-    cut = np.where(valid, np.take_along_axis(cut, kept, axis=1), np.inf)
-    start, end, score, ix = (np.take_along_axis(x, kept, axis=1) for x in (start, end, score, ix))
+    cut = np.where(valid, np.take(full[0], kept), np.inf)
+    start, end, score = (np.take(x, kept) for x in full[1:4])
     # the earliest and the latest path bound the points of each target
     early, late = np.full((size, m), wide), np.full((size, m), -1)
     got, last = np.zeros(size, np.int64), lo.copy()
@@ -191,6 +201,7 @@ def _same_shape(lo, hi, n, lengths, at, known, points, p0, held, spacing):
             before[:, i] = ((cut[:, i : i + 1] - cut[:, :i]) >= spacing).sum(axis=1)
     tolerance = np.minimum(45.0, np.maximum(8.0, 0.15 * np.maximum(1.0, (hi - lo) / n)))[:, None]
     slot, values, back = np.arange(wide)[None, :], None, []
+    any_before, prior = before > 0, (rows * wide)[:, None] + np.maximum(before - 1, 0)
     with np.errstate(invalid="ignore"):
         for k in range(m):
             t = targets[:, k : k + 1]
@@ -202,9 +213,8 @@ def _same_shape(lo, hi, n, lengths, at, known, points, p0, held, spacing):
                 rise = np.zeros((size, wide), np.int64)
                 rise[:, 1:] = np.where(values[:, 1:] > run[:, :-1], slot[:, 1:], 0)
                 rise = np.maximum.accumulate(rise, axis=1)
-                prior = np.maximum(before - 1, 0)
-                back.append(np.take_along_axis(rise, prior, axis=1))
-                gain = np.where(before > 0, np.take_along_axis(run, prior, axis=1), -np.inf) + gain
+                back.append(np.take(rise, prior))
+                gain = np.where(any_before, np.take(run, prior), -np.inf) + gain
             values = np.where(inside, gain, -np.inf)
     path = np.zeros((size, m), np.int64)
     i = np.argmax(values, axis=1)
@@ -212,7 +222,8 @@ def _same_shape(lo, hi, n, lengths, at, known, points, p0, held, spacing):
     for k in range(m - 1, 0, -1):
         i = back[k - 1][rows, i]
         path[:, k - 1] = i
-    cut, start, end, score, ix = (np.take_along_axis(x, path, axis=1) for x in (cut, start, end, score, ix))
+    path = np.take(kept, (rows * wide)[:, None] + path)
+    cut, start, end, score, ix = (np.take(x, path) for x in full)
     guard = np.minimum(0.5, (end - start) / 4.0)
     cut = np.where((end > start) & (start + guard <= targets) & (targets <= end - guard), targets, cut)
     return fit, np.stack([cut, start, end, score, ix], axis=2)
@@ -250,6 +261,7 @@ class _Batch:
         odd = (ranges > 1) | (self.start <= -EXACT) | (self.start >= EXACT) | (self.end <= -EXACT) | (self.end >= EXACT)
 
         at = np.flatnonzero(kind == TRACK)
+        at = at[in_order(group[at], ints["i1"][0][at])]
         self.n = per(at)
         self.track = offsets(self.n)
         number = ints["i1"][0][at]
@@ -257,10 +269,13 @@ class _Batch:
         bad = ints["i1"][1][at] | (number != np.arange(len(at)) - self.track[group[at]] + 1)
         bad |= ~self.missing & ~(np.isfinite(self.duration) & (self.duration > 0))
         odd |= per(at, bad) > 0
-        labels = [pc.fill_null(col(c), "").take(pa.array(at)).dictionary_encode() for c in ("s1", "s2")]
-        self.side, self.lower = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in labels)
-        blank = [i for i, x in enumerate(labels[0].dictionary.to_pylist()) if x == ""]
-        self.blank = self.side == blank[0] if blank else np.zeros(len(at), bool)
+        labels = col("s").take(pa.array(at)).dictionary_encode()
+        code = labels.indices.to_numpy(zero_copy_only=False)
+        sizes, texts = zip(*(x.split(":", 1) for x in labels.dictionary.to_pylist())) if len(at) else ((), ())
+        names = [x[: int(k)] for k, x in zip(sizes, texts)]
+        lower = [x[int(k) :] for k, x in zip(sizes, texts)]
+        self.side, self.lower = (np.array([seen.setdefault(x, len(seen)) for x in xs], np.int64)[code] for xs, seen in ((names, {}), (lower, {})))
+        self.blank = np.array([x == "" for x in names], bool)[code]
 
         at = np.flatnonzero(kind == GAP)
         self.gaps = per(at)
@@ -513,4 +528,4 @@ def refit_at_once(rows: DataFrame, rate: int, minimum_seconds: float, parts: int
             yield from solved(pa.Table.from_batches(held))
 
     dealt = rows.repartition(parts, "project_id") if parts else rows.repartition("project_id")
-    return dealt.sortWithinPartitions("project_id", "kind", "x3", "i1").mapInArrow(solve, out)
+    return dealt.sortWithinPartitions("project_id").mapInArrow(solve, out)  # one key: the rows of a project are ordered in arrays

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from ..functions.levels import seconds_to_sample
 from ..operators import choice, envelope, gaps, refit
 from ..operators import tracks as tr
 from ..operators import validate as va
-from ..operators.ordered import long_keys
+from ..operators.ordered import long_keys, maybe_long
 from ..session import stage
 
 
@@ -70,9 +73,11 @@ def refit_topology(
     """
     key = ["project_id"]
     rows = refit.tagged(release, music, cands)
-    long = long_keys(rows.select(*key), key, limit)
+    each = release.select(*key).unionByName(cands.select(*key))
+    crowded = maybe_long(each, key, limit)
+    long = None if crowded is None else long_keys(crowded, key, limit)
     short = rows if long is None else rows.join(F.broadcast(long.select(*key)), key, "left_anti")
-    parts = -(-(release.count() + music.count() + cands.count()) // TASK_ROWS)
+    parts = -(-each.count() // TASK_ROWS)
     parts = max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     done = stage(refit.refit_at_once(short, rate, minimum_seconds, parts))
     name = F.col("project_id").cast("string").alias("capture_id")
@@ -107,19 +112,24 @@ def _judged(b: DataFrame, rate: int) -> DataFrame:
     b = b.withColumn("residual", residual)
     none = F.col("match_score").isNull()
     average = (F.col("music_end") - F.col("music_start")) / F.lit(float(rate)) / F.col("track_count")
-    warnings = F.array_compact(F.array(
-        F.when(none, "no_measured_gap"),
-        F.when(F.col("match_score") < 0.55, "weak_gap"),
-        F.when(F.col("side_change") & none, "side_change_without_gap"),
-        F.when(F.col("chosen_sample") != F.col("raw_sample"), "moved_for_spacing"),
-        F.when(F.col("fitting_target") != F.col("target_sample"), "target_projected"),
-        F.when(F.coalesce(F.abs("residual") > F.greatest(F.lit(2.0), average * 0.08), F.lit(False)), "differs_from_duration"),
-        F.when(F.col("mode") == "partial-imputed", "imputed_durations"),
-    ))
+    rules = {
+        "no_measured_gap": none,
+        "weak_gap": F.col("match_score") < 0.55,
+        "side_change_without_gap": F.col("side_change") & none,
+        "moved_for_spacing": F.col("chosen_sample") != F.col("raw_sample"),
+        "target_projected": F.col("fitting_target") != F.col("target_sample"),
+        "differs_from_duration": F.abs("residual") > F.greatest(F.lit(2.0), average * 0.08),
+        "imputed_durations": F.col("mode") == "partial-imputed",
+    }
+    # one constant list for each set of broken rules, so that no row builds its own
+    names = list(rules)
+    lists = [[n for i, n in enumerate(names) if k >> i & 1] for k in range(1 << len(names))]
+    table = F.array(*(F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in lists))
+    which = reduce(add, (F.when(rule, F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(rules.values())))
     sure = F.when(none, F.when(F.col("target_sample").isNotNull(), 0.18).otherwise(0.08)).otherwise(
         0.52 + 0.43 * F.col("match_score") + F.when(F.col("side_change"), 0.03).otherwise(0.0)
         - F.least(F.lit(0.18), F.coalesce(F.abs("residual"), F.lit(0.0)) / 120.0))
-    b = b.withColumn("warnings", warnings).withColumn("confidence", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 6))
+    b = b.withColumn("warnings", F.get(table, which)).withColumn("confidence", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 6))
     return b.withColumn("uncertain", (F.size("warnings") > 0) | (F.col("confidence") < 0.6))
 
 

@@ -208,3 +208,15 @@ def test_many_short_keys_are_dealt_into_parts_that_fit_a_task(spark):
     assert many.select("k", F.spark_partition_id().alias("p")).distinct().count() == 500
     got = od.dense_index(many, ["k"], ["id"], F.expr("id div 7"), "ix")
     assert got.where("ix <> id div 500").count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 50])
+def test_crowded_buckets_hold_all_long_keys(spark, buckets):
+    rows = [(k, "x" if k % 2 else None) for k in range(40) for _ in range(k % 7 + (60 if k in (3, 18) else 0))]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(3)
+    crowded = od.maybe_long(df, ["k", "t"], 50, buckets)
+    assert sorted(r.k for r in od.long_keys(crowded, ["k", "t"], 50).collect()) == [3, 18]
+    assert od.maybe_long(df, ["k", "t"], 300, buckets) is None
+    src = spark.createDataFrame([(k, i) for k in range(5) for i in range(30 * (k == 2) + 3)], "k int, i int").repartition(3)
+    got = od.dense_index(src, ["k"], ["i"], F.expr("i div 4"), "ix", chunk=20, undealt=True)
+    assert {(r.k, r.i, r.ix) for r in got.collect()} == {(k, i, i) for k in range(5) for i in range(30 * (k == 2) + 3)}
